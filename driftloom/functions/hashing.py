@@ -6,6 +6,8 @@ same numbers can be produced in any SQL engine that has ``md5`` and 64-bit integ
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,6 +35,12 @@ def hash31(*parts: Column | str | int) -> Column:
     return hash60(*parts) % F.lit(PRIME)
 
 
+def key31(*parts: object) -> int:
+    """:func:`hash31` inside a Python task."""
+    text = "|".join(str(p) for p in parts)
+    return int(hashlib.md5(text.encode()).hexdigest()[:15], 16) % PRIME
+
+
 def _quintic(x):
     square = x * x % PRIME
     return square * square % PRIME * x % PRIME

@@ -95,5 +95,10 @@ def top_n(
     return kept.withColumn(rank, F.row_number().over(outer)).where(F.col(rank) <= n)
 
 
+def fresh(df: DataFrame) -> DataFrame:
+    """The same rows under new column identities, for joins of a table with its own derivative."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
 def _hashable(df: DataFrame, name: str) -> bool:
     return df.schema[name].dataType.typeName() not in ("map", "variant")
