@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftloom.functions.hashing import hash60, uniform
-from driftloom.operators.ordered import dense_position, top_n
+from driftloom.operators.ordered import dense_position, fresh, top_n
 
 # The drift plan of one run (sequence numbers, documents, milliseconds).
 DEFAULT_LENGTH = 4500
@@ -89,10 +89,12 @@ def schedule_frame(spark: SparkSession, plans: dict[str, list[Segment]]) -> Data
     return spark.createDataFrame([tuple(r[n] for n in names) for r in rows], _SEGMENT)
 
 
-def subsample(df: DataFrame, category: str, key: str, n: int, seed: int) -> DataFrame:
-    """At most ``n`` documents of each category in seeded random order (1-based ``draw_rank``)."""
-    hashed = df.withColumn("_h", hash60(seed, F.col(key)))
-    return top_n(hashed, [category], [F.col("_h"), F.col(key)], n, rank="draw_rank").drop("_h")
+def subsample(
+    df: DataFrame, keys: list[str], doc: str, n: int, seed: Column | int, rank: str = "draw_rank"
+) -> DataFrame:
+    """At most ``n`` documents of each key in seeded random order (1-based ``rank``)."""
+    hashed = df.withColumn("_h", hash60(seed, F.col(doc)))
+    return top_n(hashed, keys, [F.col("_h"), F.col(doc)], n, [doc], rank=rank).drop("_h")
 
 
 def categories_in_group(df: DataFrame, category: str, group: str) -> DataFrame:
@@ -101,7 +103,7 @@ def categories_in_group(df: DataFrame, category: str, group: str) -> DataFrame:
     return df.where((c == group) | c.startswith(group + "."))
 
 
-def schedule_categories(seqs: DataFrame, schedule: DataFrame, seed: int) -> DataFrame:
+def schedule_categories(seqs: DataFrame, schedule: DataFrame, seed: Column | int) -> DataFrame:
     """Category and drift labels for rows ``(schedule, seq)``.
 
     The schedule comes from parameters, not from data: a handful of segments for each plan, so it
@@ -113,7 +115,7 @@ def schedule_categories(seqs: DataFrame, schedule: DataFrame, seed: int) -> Data
     )
     p = F.col("seq") - F.col("start_seq")
     completes = p >= F.col("span") - 1
-    on_gradual = completes | (uniform(seed, F.col("schedule"), F.col("seq")) < p / F.col("span"))
+    on_gradual = completes | (uniform(seed, F.col("seq")) < p / F.col("span"))
     on_recurring = F.floor(p / F.col("span")) % 2 == 0
     kind = F.col("kind")
     category = (
@@ -142,64 +144,66 @@ def explode_range(df: DataFrame, n: Column, name: str, keys: list[str], width: i
     return fine.withColumn(name, F.col("_hi") * width + F.col("_lo")).drop("_n", "_hi", "_lo")
 
 
-def cyclic_draw(requests: DataFrame, pool: DataFrame, seed: int, stream: list[str] | None = None) -> DataFrame:
+def cyclic_draw(requests: DataFrame, pool: DataFrame, seed: Column | int, run: str = "run_id") -> DataFrame:
     """The j-th request of a category gets pool document j; each further pass is reshuffled.
 
-    ``requests`` has ``category`` and ``seq``; ``pool`` has ``category`` and ``doc_key``. The pool is
-    expanded only for the passes that are drawn, so the work is linear in requests plus pool, and
-    ``(category, pass, position)`` is unique on both sides of the join. Only keys travel here.
+    ``requests`` has ``(run_id, category, seq)``, ``pool`` has ``(run_id, category, doc_key)`` with
+    keys in load order. The pool is expanded only for the passes that are drawn, so the work is
+    linear in requests plus pool, and ``(run, category, pass, position)`` is unique on both sides of
+    the join, however often a category is asked for. Only keys travel here, no texts.
     """
-    keys = [*(stream or []), "category"]
-    sizes = pool.groupBy("category").agg(F.count(F.lit(1)).alias("pool_size"))
-    counted = dense_position(requests, keys, "seq", "_j").join(sizes, "category", "left")
+    keys = [run, "category"]
+    sizes = pool.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    counted = dense_position(requests, keys, "seq", "_j").join(sizes, keys, "left")
     unknown = F.raise_error(F.concat(F.lit("Unknown or empty category: "), F.col("category")))
-    size = F.when(F.col("pool_size").isNull(), unknown.cast("long")).otherwise(F.col("pool_size"))
+    size = F.when(F.col("_size").isNull(), unknown.cast("long")).otherwise(F.col("_size"))
     placed = counted.withColumn("draw_pass", F.floor(F.col("_j") / size)).withColumn(
-        "draw_pos", F.col("_j") - F.col("draw_pass") * F.col("pool_size")
+        "draw_pos", F.col("_j") - F.col("draw_pass") * F.col("_size")
     )
-    ids = pool.select("category", "doc_key")
-    first = dense_position(ids, ["category"], "doc_key", "draw_pos").withColumn("draw_pass", F.lit(0).cast("long"))
-    later = placed.groupBy("category").agg(F.max("draw_pass").alias("_passes"))
-    again = explode_range(ids.join(later, "category"), F.col("_passes"), "draw_pass", ["category", "doc_key"])
+    first = dense_position(pool, keys, "doc_key", "draw_pos").withColumn("draw_pass", F.lit(0).cast("long"))
+    later = fresh(placed.groupBy(*keys).agg(F.max("draw_pass").alias("_passes")))
+    again = explode_range(pool.join(later, keys), F.col("_passes"), "draw_pass", [*keys, "doc_key"])
     again = again.withColumn("draw_pass", F.col("draw_pass") + 1).withColumn(
         "_h", hash60(seed, F.col("category"), F.col("draw_pass"), F.col("doc_key"))
     )
     shuffled = dense_position(
-        again,
-        ["category", "draw_pass"],
-        "_h",
-        "draw_pos",
-        tiebreak=["doc_key"],
-        block=F.shiftright("_h", 44),
-    )
-    deck = first.select("category", "draw_pass", "draw_pos", "doc_key").unionByName(
-        shuffled.select("category", "draw_pass", "draw_pos", "doc_key")
+        again, [*keys, "draw_pass"], "_h", "draw_pos", tiebreak=["doc_key"], block=F.shiftright("_h", 44)
     )
-    return placed.drop("_j", "pool_size").join(deck, ["category", "draw_pass", "draw_pos"])
+    seat = [*keys, "draw_pass", "draw_pos"]
+    deck = first.select(*seat, "doc_key").unionByName(shuffled.select(*seat, "doc_key"))
+    return placed.drop("_j", "_size").join(fresh(deck), seat)
 
 
-def assemble_stream(
+def assemble_streams(
     corpus: DataFrame,
     schedule: DataFrame,
-    plan: str,
+    runs: DataFrame,
     n: int,
-    seed: int,
     t0_ms: int = 0,
     rate_ms: int = RATE_MS,
     subset_size: int | None = None,
 ) -> DataFrame:
-    """A labelled stream of ``n`` documents from a corpus ``(doc_key, text, category)``."""
-    pool = corpus
+    """Labelled streams of ``n`` documents, one for each row ``(run_id, schedule, seed)`` of ``runs``.
+
+    ``corpus`` has ``(doc_key, text, category)``. With ``subset_size`` each run draws from its own
+    seeded sub-sample of every category; use it for grids, because otherwise a pool is the corpus.
+    """
+    parts = schedule.select("schedule", F.explode(F.array("base", "target")).alias("category"))
+    wanted = runs.join(parts.where("category is not null").distinct(), "schedule").select("run_id", "seed", "category")
+    ids = corpus.select("category", F.col("doc_key").alias("doc_id"))
+    pool = ids.join(wanted, "category").withColumn("doc_key", F.col("doc_id"))
     if subset_size is not None:
-        drawn = subsample(corpus, "category", "doc_key", subset_size, seed)
-        pool = drawn.withColumn("_load", F.col("doc_key")).withColumn("doc_key", F.col("draw_rank").cast("long"))
-    spark = corpus.sparkSession
-    seqs = spark.range(n).select(F.col("id").alias("seq"), F.lit(plan).alias("schedule"))
-    labelled = schedule_categories(seqs, schedule, seed)
-    texts = pool.select("category", "doc_key", "text")
-    drawn = cyclic_draw(labelled, pool, seed).join(texts, ["category", "doc_key"])
-    return drawn.select(
-        F.concat_ws("-", F.lit(plan), F.lit(seed), F.col("seq")).alias("docId"),
+        drawn = subsample(pool, ["run_id", "category"], "doc_id", subset_size, F.col("seed"))
+        pool = drawn.withColumn("doc_key", F.col("draw_rank").cast("long"))
+    pool = pool.select("run_id", "category", "seed", "doc_key", "doc_id")
+    seqs = explode_range(runs, F.lit(n), "seq", ["run_id"])
+    labelled = schedule_categories(seqs, schedule, F.col("seed"))
+    drawn = cyclic_draw(labelled, pool.select("run_id", "category", "seed", "doc_key"), F.col("seed"))
+    chosen = drawn.join(fresh(pool.drop("seed")), ["run_id", "category", "doc_key"])
+    texts = chosen.join(corpus.select(F.col("doc_key").alias("doc_id"), "text"), "doc_id")
+    return texts.select(
+        "run_id",
+        F.concat_ws("-", "run_id", "seq").alias("docId"),
         (F.lit(t0_ms) + F.col("seq") * rate_ms).cast("long").alias("timestamp"),
         "text",
         F.col("category").alias("sourceCategory"),

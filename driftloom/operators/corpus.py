@@ -52,7 +52,7 @@ def truncate(c: Column | str, n: int) -> Column:
 
 def cap_per_bucket(df: DataFrame, bucket: str, order: str, n: int = TARGET_PER_BUCKET) -> DataFrame:
     """The first ``n`` rows of each bucket in input order."""
-    return top_n(df, [bucket], [F.col(order)], n, rank="bucket_rank")
+    return top_n(df, [bucket], [F.col(order)], n, [order], rank="bucket_rank")
 
 
 def category_counts(df: DataFrame, category: str = "category") -> DataFrame:

@@ -91,7 +91,7 @@ def reference_window(positioned: DataFrame, n: int = REFERENCE_SIZE) -> DataFram
 
 def bounded_store(df: DataFrame, keys: list[str], seq: str, size: int = STORE_SIZE) -> DataFrame:
     """The latest ``size`` rows of each stream."""
-    return top_n(df, keys, [F.col(seq).desc()], size, rank="age")
+    return top_n(df, keys, [F.col(seq).desc()], size, [seq], rank="age")
 
 
 def trigger_batches(positioned: DataFrame, n: int = TRIGGER_N, reference: int = REFERENCE_SIZE, keys: tuple[str, ...] = ("stream_id",)) -> DataFrame:

@@ -81,14 +81,21 @@ def dense_position(
 
 
 def top_n(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank", salts: int = 64
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    n: int,
+    spread: Sequence[str],
+    rank: str = "rank",
+    salts: int = 64,
 ) -> DataFrame:
     """The first ``n`` rows of each key with their 1-based rank.
 
-    Ranked inside salted parts first, so that no task sees more than ``n * salts`` rows of a key
-    after the first exchange (and only ``n`` per map task before it, by the window group limit).
+    Ranked inside salted parts first (``spread`` names columns that tell rows apart), so that no
+    task sees more than ``n * salts`` rows of a key in the end; before each exchange Spark's window
+    group limit keeps ``n`` rows of a group in each task.
     """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns if _hashable(df, c)]), F.lit(salts)))
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
     inner = Window.partitionBy(*keys, "_salt").orderBy(*order)
     kept = salted.withColumn("_r", F.row_number().over(inner)).where(F.col("_r") <= n).drop("_r", "_salt")
     outer = Window.partitionBy(*keys).orderBy(*order)
@@ -98,7 +105,3 @@ def top_n(
 def fresh(df: DataFrame) -> DataFrame:
     """The same rows under new column identities, for joins of a table with its own derivative."""
     return df.select(*[F.col(c).alias(c) for c in df.columns])
-
-
-def _hashable(df: DataFrame, name: str) -> bool:
-    return df.schema[name].dataType.typeName() not in ("map", "variant")
