@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftloom.operators.ordered import fresh, running
+from driftloom.storage import cut
 
 # Match window and cool-down in documents, name of the total row.
 MATCH_WINDOW = 500
@@ -79,7 +80,7 @@ def drift_events(docs: DataFrame, match_window: int = MATCH_WINDOW) -> DataFrame
     drift = docs.where("is_drift").select(RUN, "seq", "drift_start", "drift_type", "ts")
     prev = {"_prev": ("max", F.struct(F.col("seq"), F.col("drift_start")))}
     seen = running(drift, [RUN], "seq", prev, inclusive=False)
-    begins = seen.where(F.col("_prev").isNull() | (F.col("_prev.drift_start") != F.col("drift_start")))
+    begins = cut(seen.where(F.col("_prev").isNull() | (F.col("_prev.drift_start") != F.col("drift_start"))))
     ahead = {"_next": ("min", F.struct(F.col("seq"), F.col("_prev.seq").alias("before")))}
     linked = running(begins, [RUN], "seq", ahead, inclusive=False, descending=True)
     last = drift.groupBy(RUN).agg(F.max("seq").alias("_last"))
@@ -160,7 +161,7 @@ def match_alerts(alerts: DataFrame, events: DataFrame, match_window: int = MATCH
     clustered = running(reached, [RUN], "start_seq", opened, tiebreak=["first_seq"])
     clustered = clustered.withColumn("cluster", F.col("cluster.first_seq")).drop("_reach")
     sizes = clustered.groupBy(RUN, "cluster").agg(F.count(F.lit(1)).alias("cluster_size"))
-    sized = clustered.join(fresh(sizes), [RUN, "cluster"])
+    sized = cut(clustered.join(fresh(sizes), [RUN, "cluster"]))
 
     usable = alerts.where("window_end_seq is not null").select(RUN, "window_end", "window_end_seq", "detected_at")
     pairs = candidates(usable, sized, max(match_window, 1))
@@ -313,7 +314,7 @@ def evaluate(docs: DataFrame, alerts: DataFrame, p: EvaluationParams = Evaluatio
     """Result rows of all runs from unique documents and located, unique alerts."""
     good, _ = usable_documents(docs)
     states = sequence_states(good, p.cooldown)
-    matched = match_alerts(alerts, drift_events(good, p.match_window), p.match_window)
+    matched = cut(match_alerts(alerts, drift_events(good, p.match_window), p.match_window))
     return result_rows(matched, false_positives(alerts, matched, states), run_totals(states), p)
 
 

@@ -1,13 +1,33 @@
-"""The shared folder for checkpoints and written tables."""
+"""The shared folder for checkpoints, and cutting lineage there."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; every executor must be able to reach it."""
+    """The folder named by ``spark.checkpoint.dir``, which every executor can reach.
+
+    A session on one machine that names none gets a new temporary folder; a cluster must name one.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="driftloom-")
+        spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows from a reliable checkpoint: later plans start here and survive lost executors.
+
+    Used where a small or expensive intermediate is read several times, because every reader would
+    otherwise repeat the whole plan above it.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
