@@ -60,28 +60,50 @@ def load_detectors(names: Iterable[str], **params: dict) -> list[Detector]:
     return found
 
 
-def _per_chunk(docs: DataFrame, refs: DataFrame, n: int, detectors: list[Detector]) -> DataFrame:
-    limits = {d.name: getattr(d.params, "most_rejections", None) for d in detectors}
+Emit = Callable[[str, np.ndarray, list[tuple[int, np.ndarray]], dict[int, int]], Iterable[tuple]]
+
+
+def per_batch(docs: DataFrame, refs: DataFrame, n: int, emit: Emit, schema: str) -> DataFrame:
+    """Rows that ``emit(stream, reference, batches, last sequence numbers)`` yields for each chunk."""
+    names = [field.split()[0] for field in schema.split(", ")]
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows: list[tuple] = []
         if len(left) and len(right):
-            stream = left["stream_id"].iloc[0]
             reference = np.stack(right.sort_values("pos")["vec"])
             left = left.sort_values(["batch_no", "pos"])
-            vectors = np.stack(left["vec"])
+            vectors, seqs = np.stack(left["vec"]), left["seq"].to_numpy()
             numbers, starts = np.unique(left["batch_no"].to_numpy(), return_index=True)
             ends = np.append(starts[1:], len(left))
-            seqs = left["seq"].to_numpy()
             whole = [(int(b), s, e) for b, s, e in zip(numbers, starts, ends) if e - s == n]
             last = {b: int(seqs[e - 1]) for b, s, e in whole}
-            batches = [(b, vectors[s:e]) for b, s, e in whole]
-            for d in detectors:
-                for b, score, threshold in d.scorer(d.params, stream, reference, batches):
-                    rows.append((stream, b, d.name, score, threshold, _is_alert(d, score, threshold, limits), n, last[b]))
-        return pd.DataFrame(rows, columns=[f.split()[0] for f in SCORES.split(", ")])
+            rows.extend(emit(left["stream_id"].iloc[0], reference, [(b, vectors[s:e]) for b, s, e in whole], last))
+        return pd.DataFrame(rows, columns=names)
+
+    return docs.groupBy("stream_id", "chunk").cogroup(refs.groupBy("stream_id", "chunk")).applyInPandas(run, schema)
+
 
-    return docs.groupBy("stream_id", "chunk").cogroup(refs.groupBy("stream_id", "chunk")).applyInPandas(run, SCORES)
+def chunked(
+    positioned: DataFrame, n: int, reference: int, reference_rows: DataFrame | None = None, chunk_rows: int = 6400
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Trigger documents by chunk, the reference once for each chunk, and the plain reference.
+
+    A chunk is a run of whole batches with at most ``chunk_rows`` vectors (or one batch).
+    """
+    pos = F.col("pos")
+    skip = reference if reference_rows is None else 0
+    per_chunk = max(1, chunk_rows // n)
+    batch = F.floor((pos - skip) / n)
+    docs = positioned.where(pos >= skip).select(
+        "stream_id", "pos", "seq", "vec", batch.alias("batch_no"), F.floor(batch / per_chunk).alias("chunk")
+    )
+    head = positioned.where(pos < reference) if reference_rows is None else reference_rows
+    head = head.select("stream_id", "pos", "vec")
+    lengths = positioned.groupBy("stream_id").agg(
+        F.floor(((F.max("pos") + 1 - skip) / n - 1) / per_chunk + 1).alias("_chunks")
+    )
+    refs = fresh(explode_range(head.join(lengths, "stream_id"), F.col("_chunks"), "chunk", ["stream_id"]))
+    return docs, refs, head
 
 
 def _is_alert(d: Detector, score: float, threshold: float | None, limits: dict) -> bool | None:
@@ -111,26 +133,23 @@ def detect(
     if n < MIN_TRIGGER:
         return positioned.sparkSession.createDataFrame([], SCORES)
     detectors = list(detectors)
-    skip = reference if reference_rows is None else 0
-    per_chunk = max(1, chunk_rows // n)
-    pos = F.col("pos")
-    batch = F.floor((pos - skip) / n)
-    docs = positioned.where(pos >= skip).select(
-        "stream_id", "pos", "seq", "vec", batch.alias("batch_no"), F.floor(batch / per_chunk).alias("chunk")
-    )
-    head = positioned.where(pos < reference) if reference_rows is None else reference_rows
-    head = head.select("stream_id", "pos", "vec")
+    docs, refs, head = chunked(positioned, n, reference, reference_rows, chunk_rows)
     parts = []
     scored = [d for d in detectors if d.scorer]
+    limits = {d.name: getattr(d.params, "most_rejections", None) for d in detectors}
+
+    def verdicts(stream, ref, batches, last):
+        for d in scored:
+            for b, score, threshold in d.scorer(d.params, stream, ref, batches):
+                yield stream, b, d.name, score, threshold, _is_alert(d, score, threshold, limits), n, last[b]
+
     if scored:
-        lengths = positioned.groupBy("stream_id").agg(F.floor(((F.max("pos") + 1 - skip) / n - 1) / per_chunk + 1).alias("_chunks"))
-        refs = fresh(explode_range(head.join(lengths, "stream_id"), F.col("_chunks"), "chunk", ["stream_id"]))
-        parts.append(_finish_noise(_per_chunk(docs, refs, n, scored), scored))
+        parts.append(_finish_noise(per_batch(docs, refs, n, verdicts, SCORES), scored))
     for d in detectors:
         if d.scorer is None:
             source = positioned
             if reference_rows is not None:
-                shifted = positioned.withColumn("pos", pos + reference)
+                shifted = positioned.withColumn("pos", F.col("pos") + reference)
                 source = shifted.unionByName(head.withColumn("seq", F.lit(-1).cast("long")), allowMissingColumns=True)
             parts.append(_with_last(padd.sequential(source, n, reference, d.params), docs, d.name, n))
     out = parts[0]
@@ -167,6 +186,52 @@ def _finish_noise(scores: DataFrame, detectors: list[Detector]) -> DataFrame:
     return rest.withColumns({"threshold": threshold, "is_alert": verdict}).drop("_limit")
 
 
+def mmd_statistics(positioned: DataFrame, n: int = TRIGGER_N, reference: int = REFERENCE_SIZE) -> DataFrame:
+    """Parts of the two-sample distance of each batch: distances, median bandwidth, MMD² and score."""
+    schema = (
+        "stream_id string, batch_no long, n_positive long, sum_sq_distance double, median_sq_distance double, "
+        "mmd2 double, score double"
+    )
+
+    def parts(stream, ref, batches, last):
+        for b, rows in batches:
+            d2 = np.triu(mmd.sq_distances(np.vstack([rows, ref]).astype(np.float64)), 1)
+            value, base = mmd.mmd2(rows, ref)
+            score = float(np.sqrt(max(value, 0.0))) if value == value else None
+            yield stream, b, int((d2 > 0).sum()), float(d2.sum()), base, value, score
+
+    docs, refs, _ = chunked(positioned, n, reference)
+    return per_batch(docs, refs, n, parts, schema)
+
+
+def forest_scores(positioned: DataFrame, reference: int = REFERENCE_SIZE, p: iforest.ForestParams = iforest.ForestParams()) -> DataFrame:
+    """Forest score of each vector, those of the reference included (``is_reference``).
+
+    The forest of a stream is grown again from the bounded reference in each chunk: it depends on
+    the reference and the seed alone, and costs less than to send its nodes.
+    """
+
+    def scores(pdf: pd.DataFrame, ref: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf) or len(ref) < iforest.MIN_REFERENCE:
+            return pd.DataFrame(columns=["stream_id", "pos", "seq", "is_reference", "score"])
+        own = np.stack(ref.sort_values("pos")["vec"]).astype(np.float64)
+        found = iforest.score_samples(iforest.grow(own, p), np.stack(pdf["vec"]).astype(np.float64), len(own), p.max_samples)
+        return pdf[["stream_id", "pos", "seq"]].assign(is_reference=pdf["pos"] < reference, score=found)
+
+    rows = positioned.withColumn("chunk", F.floor(F.col("pos") / 6400))
+    lengths = positioned.groupBy("stream_id").agg(F.floor(F.max("pos") / 6400 + 1).alias("_chunks"))
+    head = positioned.where(F.col("pos") < reference).select("stream_id", "pos", "vec")
+    refs = fresh(explode_range(head.join(lengths, "stream_id"), F.col("_chunks"), "chunk", ["stream_id"]))
+    pair = rows.groupBy("stream_id", "chunk").cogroup(refs.groupBy("stream_id", "chunk"))
+    return pair.applyInPandas(scores, "stream_id string, pos long, seq long, is_reference boolean, score double")
+
+
+def forest_threshold(scores: DataFrame) -> DataFrame:
+    """Mean minus three population deviations of the reference scores of each stream."""
+    own = scores.where("is_reference").groupBy("stream_id")
+    return own.agg((F.avg("score") - iforest.SIGMAS * F.stddev_pop("score")).alias("threshold"))
+
+
 def enrich_alerts(alerts: DataFrame, doc_windows: DataFrame, detected_at) -> DataFrame:
     """Alerts with the window batch whose arrival completed the trigger.
 
