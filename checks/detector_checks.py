@@ -77,12 +77,10 @@ def m4(spark, sf):
 
 def m6(spark, sf):
     noise = em.noise_documents(vocab(spark, sf))
-    refs = em.embed(noise, "text", em.hashing_encoder(DIM)).select("noise_id", "vec")
+    vectors = em.embed(noise, "text", em.hashing_encoder(DIM))
+    scaled = F.expr("transform(vec, x -> cast(x / 40 as float))").alias("vec")
     pos = positioned(spark, sf)
-    streams = pos.select("stream_id").distinct()
-    # a few reference rows for each stream: the noise documents are the reference of all of them
-    each = F.expr("transform(vec, x -> cast(x / 40 as float))")
-    ref = refs.join(streams, F.lit(True)).select("stream_id", F.col("noise_id").alias("pos"), each.alias("vec"))
+    ref = dt.shared_reference(pos.select("stream_id").distinct(), vectors.select(F.col("noise_id").alias("pos"), scaled))
     found = dt.detect(pos, dt.load_detectors(["mmd"], mmd={"noise_warmup": True}), N, REF, ref)
     return found.select("stream_id", "batch_no", F.round("score", 6).alias("score"), F.round("threshold", 6).alias("threshold"), "is_alert")
 

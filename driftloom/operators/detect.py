@@ -186,6 +186,16 @@ def _finish_noise(scores: DataFrame, detectors: list[Detector]) -> DataFrame:
     return rest.withColumns({"threshold": threshold, "is_alert": verdict}).drop("_limit")
 
 
+def shared_reference(streams: DataFrame, reference: DataFrame) -> DataFrame:
+    """The same reference rows ``(pos, vec)`` for every stream, as for noise warm-up.
+
+    The reference has a fixed, small number of vectors: it is folded to one value, attached to each
+    stream and unfolded there.
+    """
+    rows = reference.agg(F.collect_list(F.struct(F.col("pos").cast("long").alias("pos"), "vec"))).scalar()
+    return streams.select("stream_id", F.inline(rows))
+
+
 def mmd_statistics(positioned: DataFrame, n: int = TRIGGER_N, reference: int = REFERENCE_SIZE) -> DataFrame:
     """Parts of the two-sample distance of each batch: distances, median bandwidth, MMD² and score."""
     schema = (
