@@ -15,6 +15,7 @@ from driftloom.functions.timecols import epoch_ms
 from driftloom.operators import evaluate as ev
 from driftloom.operators import windows as wn
 from driftloom.operators.ordered import dense_position
+from driftloom.storage import cut
 
 PERIOD, FIRST, LENGTH = 240, 100, 80
 PARAMS = ev.EvaluationParams(match_window=100, cooldown=20)
@@ -34,13 +35,8 @@ def runs(spark, sf):
     at, cycle = F.col("seq") % PERIOD, F.floor(F.col("seq") / PERIOD)
     drift = (at >= FIRST) & (at < FIRST + LENGTH) & (F.col("event_id") % 10 != 0)
     kinds = F.element_at(F.array(*[F.lit(t) for t in _TYPES]), (cycle % 3 + 1).cast("int"))
-    return placed.withColumns(
-        {
-            "is_drift": drift,
-            "drift_start": F.when(drift, cycle * PERIOD + FIRST),
-            "drift_type": F.when(drift, kinds),
-        }
-    )
+    start = F.when(drift, cycle * PERIOD + FIRST)
+    return cut(placed.withColumns({"is_drift": drift, "drift_start": start, "drift_type": F.when(drift, kinds)}))
 
 
 def _variants(df, variants):
@@ -54,16 +50,17 @@ def exploded(spark, sf):
     return docs.withColumn("arrival", F.col("window_start")).withColumn("tag", F.col("window_start"))
 
 
-def versions(spark, sf):
-    slim = runs(spark, sf).select("run_id", "seq", "ts", "value", "event_id")
+def versions(base):
+    slim = base.select("run_id", "seq", "ts", "value", "event_id")
     sent = wn.window_versions(wn.hopping(slim, "ts", SIZE, ADVANCE), ["run_id"], "seq", 3)
     return sent.withColumn("doc_count", F.col("document_count"))
 
 
 def inputs(spark, sf, variants):
     """Labelled documents, batch ends and raw alerts of all variants."""
-    docs = _variants(runs(spark, sf).select("run_id", "seq", "is_drift", "drift_start", "drift_type", "ts"), variants)
-    sent = _variants(versions(spark, sf), variants)
+    base = runs(spark, sf)
+    docs = _variants(base.select("run_id", "seq", "is_drift", "drift_start", "drift_type", "ts"), variants)
+    sent = _variants(versions(base), variants)
     ends = sent.select("run_id", "window_end", "doc_count", F.col("seq").alias("arrival"), F.col("seq").alias("max_seq"))
     limit = 60 + F.col("n") / 5 + F.when(F.col("detector") == "padd", 40).otherwise(0)
     odd = F.when(F.col("event_id") % 3 == 0, 1000).otherwise(0)
@@ -76,7 +73,7 @@ def inputs(spark, sf, variants):
 
 def located(spark, sf, variants=ONE):
     docs, ends, alerts = inputs(spark, sf, variants)
-    return docs, ev.window_end_seq(ev.unique_alerts(alerts, "arrival"), ends, "arrival")
+    return docs, cut(ev.window_end_seq(ev.unique_alerts(alerts, "arrival"), ends, "arrival"))
 
 
 def results(spark, sf, variants=ALL, params=PARAMS):
@@ -94,11 +91,11 @@ def v3(spark, sf):
 
 
 def v4(spark, sf):
-    return ev.drift_events(located(spark, sf)[0], PARAMS.match_window)
+    return ev.drift_events(inputs(spark, sf, ONE)[0], PARAMS.match_window)
 
 
 def _states(spark, sf):
-    return ev.sequence_states(located(spark, sf)[0], PARAMS.cooldown)
+    return ev.sequence_states(inputs(spark, sf, ONE)[0], PARAMS.cooldown)
 
 
 def _matched(spark, sf, params=PARAMS):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from driftloom.functions.hashing import hash60, uniform
 from driftloom.operators.ordered import dense_position, fresh, top_n
+from driftloom.storage import cut
 
 # The drift plan of one run (sequence numbers, documents, milliseconds).
 DEFAULT_LENGTH = 4500
@@ -161,7 +162,8 @@ def cyclic_draw(requests: DataFrame, pool: DataFrame, seed: Column | int, run: s
         "draw_pos", F.col("_j") - F.col("draw_pass") * F.col("_size")
     )
     first = dense_position(pool, keys, "doc_key", "draw_pos").withColumn("draw_pass", F.lit(0).cast("long"))
-    later = fresh(placed.groupBy(*keys).agg(F.max("draw_pass").alias("_passes")))
+    asked = requests.groupBy(*keys).agg(F.count(F.lit(1)).alias("_asked")).join(fresh(sizes), keys)
+    later = fresh(asked.select(*keys, F.floor((F.col("_asked") - 1) / F.col("_size")).alias("_passes")))
     again = explode_range(pool.join(later, keys), F.col("_passes"), "draw_pass", [*keys, "doc_key"])
     again = again.withColumn("draw_pass", F.col("draw_pass") + 1).withColumn(
         "_h", hash60(seed, F.col("category"), F.col("draw_pass"), F.col("doc_key"))
@@ -195,9 +197,9 @@ def assemble_streams(
     if subset_size is not None:
         drawn = subsample(pool, ["run_id", "category"], "doc_id", subset_size, F.col("seed"))
         pool = drawn.withColumn("doc_key", F.col("draw_rank").cast("long"))
-    pool = pool.select("run_id", "category", "seed", "doc_key", "doc_id")
+    pool = cut(pool.select("run_id", "category", "seed", "doc_key", "doc_id"))
     seqs = explode_range(runs, F.lit(n), "seq", ["run_id"])
-    labelled = schedule_categories(seqs, schedule, F.col("seed"))
+    labelled = cut(schedule_categories(seqs, schedule, F.col("seed")))
     drawn = cyclic_draw(labelled, pool.select("run_id", "category", "seed", "doc_key"), F.col("seed"))
     chosen = drawn.join(fresh(pool.drop("seed")), ["run_id", "category", "doc_key"])
     texts = chosen.join(corpus.select(F.col("doc_key").alias("doc_id"), "text"), "doc_id")

@@ -11,11 +11,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftloom.functions.hashing import hash60
 from driftloom.operators import iforest, mmd, padd
 from driftloom.operators.assemble import explode_range
-from driftloom.functions.hashing import hash60
 from driftloom.operators.embed import MIN_TRIGGER, REFERENCE_SIZE, TRIGGER_N
 from driftloom.operators.ordered import dense_position, fresh
+from driftloom.storage import cut
 
 DEFAULT_DETECTORS = ("mmd", "padd")
 SCORES = (
@@ -192,7 +193,7 @@ def shared_reference(streams: DataFrame, reference: DataFrame) -> DataFrame:
     The reference has a fixed, small number of vectors: it is folded to one value, attached to each
     stream and unfolded there.
     """
-    rows = reference.agg(F.collect_list(F.struct(F.col("pos").cast("long").alias("pos"), "vec"))).scalar()
+    rows = cut(reference).agg(F.collect_list(F.struct(F.col("pos").cast("long").alias("pos"), "vec"))).scalar()
     return streams.select("stream_id", F.inline(rows))
 
 

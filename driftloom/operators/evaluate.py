@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftloom.operators.ordered import fresh, running
-from driftloom.storage import cut
+from driftloom.storage import cut, is_small
 
 # Match window and cool-down in documents, name of the total row.
 MATCH_WINDOW = 500
@@ -71,6 +71,11 @@ def usable_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return docs.where(~broken), docs.where(broken)
 
 
+def _levels(df: DataFrame) -> int:
+    """No blocks are needed where all rows together fit one task."""
+    return 0 if is_small(df) else 1
+
+
 def drift_events(docs: DataFrame, match_window: int = MATCH_WINDOW) -> DataFrame:
     """Stretches of drift documents with the same declared start; gaps do not split a stretch.
 
@@ -82,7 +87,7 @@ def drift_events(docs: DataFrame, match_window: int = MATCH_WINDOW) -> DataFrame
     seen = running(drift, [RUN], "seq", prev, inclusive=False)
     begins = cut(seen.where(F.col("_prev").isNull() | (F.col("_prev.drift_start") != F.col("drift_start"))))
     ahead = {"_next": ("min", F.struct(F.col("seq"), F.col("_prev.seq").alias("before")))}
-    linked = running(begins, [RUN], "seq", ahead, inclusive=False, descending=True)
+    linked = running(begins, [RUN], "seq", ahead, inclusive=False, descending=True, levels=_levels(begins))
     last = drift.groupBy(RUN).agg(F.max("seq").alias("_last"))
     return linked.join(fresh(last), RUN).select(
         RUN,
@@ -154,14 +159,16 @@ def match_alerts(alerts: DataFrame, events: DataFrame, match_window: int = MATCH
     the first ``c`` alerts that see the same ``c`` events can win one, so the others are left out
     before the cluster's turn-taking, and a group holds a few rows for each of its events.
     """
+    levels = _levels(events)
     reach = {"_reach": ("max", F.col("match_deadline"))}
-    reached = running(events, [RUN], "start_seq", reach, tiebreak=["first_seq"], inclusive=False)
+    by_start = {"tiebreak": ["first_seq"], "levels": levels}
+    reached = running(events, [RUN], "start_seq", reach, inclusive=False, **by_start)
     opens = F.col("_reach").isNull() | (F.col("start_seq") > F.col("_reach"))
     opened = {"cluster": ("max", F.when(opens, F.struct(F.col("start_seq"), F.col("first_seq"))))}
-    clustered = running(reached, [RUN], "start_seq", opened, tiebreak=["first_seq"])
+    clustered = running(reached, [RUN], "start_seq", opened, **by_start)
     clustered = clustered.withColumn("cluster", F.col("cluster.first_seq")).drop("_reach")
     sizes = clustered.groupBy(RUN, "cluster").agg(F.count(F.lit(1)).alias("cluster_size"))
-    sized = cut(clustered.join(fresh(sizes), [RUN, "cluster"]))
+    sized = clustered.join(fresh(sizes), [RUN, "cluster"])
 
     usable = alerts.where("window_end_seq is not null").select(RUN, "window_end", "window_end_seq", "detected_at")
     pairs = candidates(usable, sized, max(match_window, 1))
@@ -169,7 +176,20 @@ def match_alerts(alerts: DataFrame, events: DataFrame, match_window: int = MATCH
     turn = F.struct("window_end", "window_end_seq", "detected_at")
     single = pairs.where("cluster_size = 1").groupBy(RUN, "first_seq").agg(F.min(turn).alias("_m"))
 
-    shared = pairs.where("cluster_size > 1")
+    matches = single.select(RUN, "first_seq", "_m.*")
+    if sizes.where("cluster_size > 1").limit(1).count():
+        matches = matches.unionByName(_take_turns(pairs.where("cluster_size > 1")))
+    out = events.join(fresh(matches), [RUN, "first_seq"], "left")
+    verdict = {
+        "matched": F.col("window_end").isNotNull(),
+        "latency_docs": F.col("window_end_seq") - F.col("start_seq"),
+        "latency_ms": F.col("detected_at") - F.col("start_ts"),
+    }
+    return cut(out.withColumns(verdict))
+
+
+def _take_turns(shared: DataFrame) -> DataFrame:
+    """Matches within clusters of several events, one alert after the other."""
     seen = shared.groupBy(RUN, "cluster", "window_end", "window_end_seq", "detected_at").agg(
         F.array_sort(F.collect_list(F.struct("first_seq", "distance"))).alias("choices")
     )
@@ -183,7 +203,7 @@ def match_alerts(alerts: DataFrame, events: DataFrame, match_window: int = MATCH
     )
     able = ranked.where(F.col("_rank") <= F.size("choices"))
 
-    def take_turns(pdf: pd.DataFrame) -> pd.DataFrame:
+    def serve(pdf: pd.DataFrame) -> pd.DataFrame:
         taken: set[int] = set()
         rows = []
         for a in pdf.sort_values("window_end").itertuples():
@@ -194,18 +214,9 @@ def match_alerts(alerts: DataFrame, events: DataFrame, match_window: int = MATCH
                 rows.append((a.run_id, best, a.window_end, a.window_end_seq, a.detected_at))
         return pd.DataFrame(rows, columns=[RUN, "first_seq", "window_end", "window_end_seq", "detected_at"])
 
-    run_type = events.schema[RUN].dataType.simpleString()
-    won = able.groupBy(RUN, "cluster").applyInPandas(
-        take_turns, f"{RUN} {run_type}, first_seq long, window_end long, window_end_seq long, detected_at long"
-    )
-    matches = single.select(RUN, "first_seq", "_m.*").unionByName(won)
-    out = events.join(fresh(matches), [RUN, "first_seq"], "left")
-    return out.withColumns(
-        {
-            "matched": F.col("window_end").isNotNull(),
-            "latency_docs": F.col("window_end_seq") - F.col("start_seq"),
-            "latency_ms": F.col("detected_at") - F.col("start_ts"),
-        }
+    run_type = shared.schema[RUN].dataType.simpleString()
+    return able.groupBy(RUN, "cluster").applyInPandas(
+        serve, f"{RUN} {run_type}, first_seq long, window_end long, window_end_seq long, detected_at long"
     )
 
 
@@ -245,7 +256,9 @@ def distance_measures(matched: DataFrame) -> DataFrame:
         "_cover": ("max", F.when(F.col("is_start"), F.col("end_seq"))),
     }
     ahead = {"_nb": ("min", F.when(is_bound, x)), "_nh": ("min", F.when(is_hit, x))}
-    both = running(running(points, [RUN], "x", back, peers=True), [RUN], "x", ahead, peers=True, descending=True)
+    levels = _levels(matched)
+    behind = running(points, [RUN], "x", back, peers=True, levels=levels)
+    both = running(behind, [RUN], "x", ahead, peers=True, descending=True, levels=levels)
     near = lambda a, b: F.least(x - F.col(a), F.col(b) - x)
     d1 = F.when(F.col("_cover") >= x, F.lit(0)).otherwise(near("_lb", "_nb"))
     hits = both.where(is_hit).groupBy(RUN).agg(F.avg(d1.cast("double")).alias("d1"), F.count(F.lit(1)).alias("n_detections"))
@@ -313,8 +326,8 @@ def result_rows(matched: DataFrame, fp: DataFrame, totals: DataFrame, p: Evaluat
 def evaluate(docs: DataFrame, alerts: DataFrame, p: EvaluationParams = EvaluationParams()) -> DataFrame:
     """Result rows of all runs from unique documents and located, unique alerts."""
     good, _ = usable_documents(docs)
-    states = sequence_states(good, p.cooldown)
-    matched = cut(match_alerts(alerts, drift_events(good, p.match_window), p.match_window))
+    states = cut(sequence_states(good, p.cooldown))
+    matched = match_alerts(alerts, drift_events(good, p.match_window), p.match_window)
     return result_rows(matched, false_positives(alerts, matched, states), run_totals(states), p)
 
 

@@ -31,3 +31,15 @@ def cut(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+SMALL_ROWS = 1_000_000
+
+
+def is_small(df: DataFrame, rows: int = SMALL_ROWS) -> bool:
+    """Whether a frame has at most ``rows`` rows, by a count that stops there.
+
+    Asked of frames that are cheap to read (after :func:`cut`), to take a simpler plan where the
+    size is known to allow it; the general plan remains for larger ones.
+    """
+    return df.limit(rows + 1).count() <= rows
