@@ -155,15 +155,18 @@ def cyclic_draw(requests: DataFrame, pool: DataFrame, seed: Column | int, run: s
     """
     keys = [run, "category"]
     sizes = pool.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-    counted = dense_position(requests, keys, "seq", "_j").join(sizes, keys, "left")
-    unknown = F.raise_error(F.concat(F.lit("Unknown or empty category: "), F.col("category")))
-    size = F.when(F.col("_size").isNull(), unknown.cast("long")).otherwise(F.col("_size"))
+    asked = requests.groupBy(*keys).agg(F.count(F.lit(1)).alias("_asked"))
+    unknown = asked.join(fresh(sizes), keys, "left_anti").first()
+    if unknown:
+        raise ValueError(f"Unknown or empty category: {unknown['category']}")
+    size = F.col("_size")
+    counted = dense_position(requests, keys, "seq", "_j").join(sizes, keys)
     placed = counted.withColumn("draw_pass", F.floor(F.col("_j") / size)).withColumn(
-        "draw_pos", F.col("_j") - F.col("draw_pass") * F.col("_size")
+        "draw_pos", F.col("_j") - F.col("draw_pass") * size
     )
     first = dense_position(pool, keys, "doc_key", "draw_pos").withColumn("draw_pass", F.lit(0).cast("long"))
-    asked = requests.groupBy(*keys).agg(F.count(F.lit(1)).alias("_asked")).join(fresh(sizes), keys)
-    later = fresh(asked.select(*keys, F.floor((F.col("_asked") - 1) / F.col("_size")).alias("_passes")))
+    passes = F.floor((F.col("_asked") - 1) / F.col("_size")).alias("_passes")
+    later = fresh(asked.join(fresh(sizes), keys).select(*keys, passes))
     again = explode_range(pool.join(later, keys), F.col("_passes"), "draw_pass", [*keys, "doc_key"])
     again = again.withColumn("draw_pass", F.col("draw_pass") + 1).withColumn(
         "_h", hash60(seed, F.col("category"), F.col("draw_pass"), F.col("doc_key"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_BITS = 17
-_ORD, _BLK, _FRONT = "_ord", "_blk", "_front"
+_ORD, _FRONT = "_ord", "_front"
 _FOLDS = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
@@ -42,34 +42,34 @@ def running(
     ordc = F.col(order) if isinstance(order, str) else order
     ordc = (-ordc if descending else ordc).cast("long")
     blk = F.shiftright(ordc, block_bits) if block is None else (-block if descending else block)
-    keys = list(keys)
+    keys, blk_name = list(keys), f"_blk{levels}"
     tagged = df.withColumns({_ORD: ordc, **{f"_v_{n}": c for n, (_, c) in values.items()}})
     tagged = tagged.withColumn(_FRONT, F.lit(1))
     if levels > 0:
-        tagged = tagged.withColumn(_BLK, blk.cast("long"))
-        totals = tagged.groupBy(*keys, _BLK).agg(
+        tagged = tagged.withColumn(blk_name, blk.cast("long"))
+        totals = tagged.groupBy(*keys, blk_name).agg(
             *[_FOLDS[f](f"_v_{n}").alias(f"_v_{n}") for n, (f, _) in values.items()]
         )
         fronts = running(
             totals,
             keys,
-            _BLK,
+            blk_name,
             {f"_c_{n}": (f, F.col(f"_v_{n}")) for n, (f, _) in values.items()},
             inclusive=False,
             levels=levels - 1,
         )
         fronts = fronts.select(
-            *keys, _BLK, F.lit(0).alias(_FRONT), *[F.col(f"_c_{n}").alias(f"_v_{n}") for n in values]
+            *keys, blk_name, F.lit(0).alias(_FRONT), *[F.col(f"_c_{n}").alias(f"_v_{n}") for n in values]
         )
         tagged = tagged.unionByName(fronts, allowMissingColumns=True)
-    part = [*keys, _BLK] if levels > 0 else keys
+    part = [*keys, blk_name] if levels > 0 else keys
     spec = Window.partitionBy(*part).orderBy(_FRONT, _ORD, *([] if peers else tiebreak))
     first = Window.unboundedPreceding
     frame = spec.rangeBetween(first, 0) if peers else spec.rowsBetween(first, 0 if inclusive else -1)
     out = tagged.withColumns({n: _FOLDS[f](f"_v_{n}").over(frame) for n, (f, _) in values.items()})
     if levels > 0:
         out = out.where(F.col(_FRONT) == 1)
-    return out.drop(_ORD, _FRONT, _BLK if levels > 0 else _ORD, *[f"_v_{n}" for n in values])
+    return out.drop(_ORD, _FRONT, blk_name, *[f"_v_{n}" for n in values])
 
 
 def dense_position(

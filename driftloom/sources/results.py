@@ -61,10 +61,13 @@ def read_results(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame
     """
     schema = ", ".join(f"{c} string" for c in RESULT_COLUMNS.values()) + ", _line string"
     reader = spark.read.schema(schema).option("header", True).option("columnNameOfCorruptRecord", "_line")
-    rows = reader.option("mode", "PERMISSIVE").csv(paths)
-    older = F.size(F.split("_line", ",")) == len(RESULT_COLUMNS) - 1
-    good = F.col("_line").isNull() | older
-    return normalise_results(rows.where(good)), rows.where(~good).select(F.col("_line").alias("line"))
+    # with pruned columns a line of the wrong length would not be noticed
+    rows = reader.option("mode", "PERMISSIVE").option("columnPruning", False).csv(paths)
+    older = len(RESULT_COLUMNS) - 1
+    good = rows.where(F.col("_line").isNull() | (F.size(F.split("_line", ",")) == older))
+    lines = spark.read.text(paths).where(F.trim("value") != "")
+    bad = lines.where(~F.size(F.split("value", ",")).isin(older, older + 1)).select(F.col("value").alias("line"))
+    return normalise_results(good), bad
 
 
 def append_results(results: DataFrame, path: str) -> None:

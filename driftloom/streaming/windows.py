@@ -42,7 +42,8 @@ def sliding_batches(
         doc = F.struct(F.col(seq).alias("_o"), F.struct(*fields).alias("d"))
         aggregates.append(F.array_sort(F.collect_list(doc)).alias("_docs"))
     grouped = docs.groupBy(key, F.window("ts", size, advance)).agg(*aggregates)
-    out = grouped.where(F.col("document_count") >= min_batch)
+    # windows begin at the epoch, as in the batch form
+    out = grouped.where((F.col("document_count") >= min_batch) & (F.unix_millis(F.col("window.start")) >= 0))
     bounds = {
         "window_start": F.unix_millis(F.col("window.start")),
         "window_end": F.unix_millis(F.col("window.end")),
