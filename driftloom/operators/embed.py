@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from driftloom.functions.hashing import hash60
 from driftloom.operators.ordered import dense_position, top_n
+from driftloom.storage import spread
 
 # Reference size, store size, trigger sizes and warm-up text shape.
 REFERENCE_SIZE = 100
@@ -26,10 +27,8 @@ NOISE_SEED = 42
 Encoder = Callable[[list[str]], np.ndarray]
 
 
-@lru_cache(maxsize=1 << 16)
-def _slot(token: str, dim: int) -> tuple[int, float]:
-    word = int(hashlib.md5(token.encode()).hexdigest()[:8], 16)
-    return (word >> 1) % dim, 1.0 if word & 1 else -1.0
+def _token_hash(token: str) -> int:
+    return int.from_bytes(hashlib.md5(token.encode()).digest()[:4], "big")
 
 
 def hashing_encoder(dim: int = 64) -> Callable[[], Encoder]:
@@ -37,12 +36,14 @@ def hashing_encoder(dim: int = 64) -> Callable[[], Encoder]:
 
     def load() -> Encoder:
         def encode(texts: list[str]) -> np.ndarray:
-            out = np.zeros((len(texts), dim), dtype=np.float32)
-            for row, text in zip(out, texts):
-                for token in text.split():
-                    at, sign = _slot(token, dim)
-                    row[at] += sign
-            return out
+            tokens = [t.split() for t in texts]
+            row = np.repeat(np.arange(len(texts)), [len(t) for t in tokens])
+            codes, words = pd.factorize(np.array(list(chain.from_iterable(tokens)), dtype=object))
+            hashed = np.fromiter(map(_token_hash, words), dtype=np.int64, count=len(words))[codes]
+            cells = row * dim + (hashed >> 1) % dim
+            signs = np.where(hashed & 1, 1.0, -1.0)
+            flat = np.bincount(cells, weights=signs, minlength=len(texts) * dim)
+            return flat.reshape(len(texts), dim).astype(np.float32)
 
         return encode
 
@@ -50,18 +51,26 @@ def hashing_encoder(dim: int = 64) -> Callable[[], Encoder]:
 
 
 def embed(df: DataFrame, text: str, loader: Callable[[], Encoder], into: str = "vec", batch: int = MODEL_BATCH) -> DataFrame:
-    """Vectors of the non-blank texts; the model is loaded once per Python worker and partition."""
+    """Vectors of the non-blank texts; the model is loaded once per Python worker and partition.
+
+    The function is declared non-deterministic so that no later filter or explosion makes Spark
+    evaluate it, or the text it reads, a second time.
+    """
 
     @F.pandas_udf("array<float>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = loader()
         for texts in parts:
-            vectors: list[np.ndarray] = []
-            for at in range(0, len(texts), batch):
-                vectors.extend(np.asarray(encode(texts.iloc[at : at + batch].tolist()), dtype=np.float32))
-            yield pd.Series(vectors, index=texts.index)
-
-    return df.where(F.trim(text) != "").withColumn(into, run(text))
+            out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
+            filled = np.flatnonzero(texts.fillna("").str.strip().to_numpy() != "")
+            for at in range(0, len(filled), batch):
+                some = filled[at : at + batch]
+                vectors = np.asarray(encode(texts.iloc[some].tolist()), dtype=np.float32)
+                for i, vector in zip(some, vectors):
+                    out.iat[i] = vector
+            yield out
+
+    return spread(df).withColumn(into, run.asNondeterministic()(text)).where(F.col(into).isNotNull())
 
 
 def vocabulary(df: DataFrame, text: str) -> DataFrame:

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -24,6 +26,20 @@ def test_clean(spark, raw, want):
     assert one(spark, raw, tx.clean_text("t")) == want
 
 
+def test_addresses_equal_the_plain_pattern(spark):
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("ab1._@+- .c") for _ in range(40)) for _ in range(400)]
+    texts += ["a@b.com_x@d.org", "a@b.com1x@d.org", "x@@a.bc", "a@b.c", "é_a@b.cd"]
+    plain = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select(F.regexp_replace("t", plain, "#").alias("a"), F.regexp_replace("t", tx._linear(plain), "#").alias("b"))
+    assert all(r.a == r.b for r in rows.collect())
+
+
+def test_long_runs_are_linear(spark):
+    assert one(spark, "x" * 300_000 + " y", tx.clean_text("t")) == "x" * 300_000 + " y"
+
+
 def test_compose_keeps_the_space_of_an_empty_part(spark):
     row = spark.createDataFrame([(" a ", None, "b\n")], "x string, y string, z string")
     assert row.select(tx.compose_text("x", "y", "z")).first()[0] == "a  b"
