@@ -53,7 +53,7 @@ def exploded(spark, sf):
 def versions(base):
     slim = base.select("run_id", "seq", "ts", "value", "event_id")
     sent = wn.window_versions(wn.hopping(slim, "ts", SIZE, ADVANCE), ["run_id"], "seq", 3)
-    return sent.withColumn("doc_count", F.col("document_count"))
+    return cut(sent.withColumn("doc_count", F.col("document_count")))
 
 
 def inputs(spark, sf, variants):

@@ -8,7 +8,7 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftloom.functions.hashing import hash60
@@ -110,7 +110,7 @@ def trigger_batches(positioned: DataFrame, n: int = TRIGGER_N, reference: int =
     blocks = positioned.where(F.col("pos") >= reference).withColumn(
         "batch_no", F.floor((F.col("pos") - reference) / n)
     )
-    # positions are dense, so a block is complete when the stream reaches its last position
-    ends = positioned.groupBy(*keys).agg(F.max("pos").alias("_last"))
-    complete = blocks.join(ends, list(keys))
-    return complete.where(F.col("_last") >= reference + (F.col("batch_no") + 1) * n - 1).drop("_last")
+    # a group of the window is one block: at most n rows
+    whole = Window.partitionBy(*keys, "batch_no")
+    counted = blocks.withColumn("_rows", F.count(F.lit(1)).over(whole))
+    return counted.where(F.col("_rows") == n).drop("_rows")
