@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 import numpy as np
@@ -80,3 +81,20 @@ def test_epochs_are_written_once(spark, tmp_path):
     write(batch, 3)
     rows = spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path / "alerts")).collect()
     assert sorted((r.detector, r.score) for r in rows) == [("mmd", 0.7), ("padd", 0.1)]
+
+
+def test_listener_on_a_running_stream(spark, tmp_path):
+    path, seen = str(tmp_path / "batches"), []
+    spark.range(6).selectExpr("id + 1 as document_count", "id as max_seq").coalesce(1).write.parquet(path)
+    listener = sinks.ProgressListener(seen.append, every=5)
+    sinks.watch(spark, listener)
+    try:
+        stream = spark.readStream.schema("document_count long, max_seq long").parquet(path)
+        assert run(sinks.observed(stream), "append", tmp_path).count() == 6
+        for _ in range(100):
+            if seen:
+                break
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(listener)
+    assert seen == [{"batches": 6, "documents": 21, "max_seq": 5}]
