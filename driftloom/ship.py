@@ -8,7 +8,7 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
-_shipped: set[str] = set()
+_shipped: set[tuple[str, str]] = set()
 
 
 def ship(spark: SparkSession, *folders: str) -> None:
@@ -17,10 +17,10 @@ def ship(spark: SparkSession, *folders: str) -> None:
     Not needed where the package is installed there or passed with ``--py-files``.
     """
     app = spark.sparkContext.applicationId
-    if app in _shipped:
+    folders = tuple(f for f in folders or (os.path.dirname(os.path.abspath(__file__)),) if (app, f) not in _shipped)
+    if not folders:
         return
-    folders = folders or (os.path.dirname(os.path.abspath(__file__)),)
-    target = os.path.join(tempfile.mkdtemp(prefix="driftloom-"), "driftloom_packages.zip")
+    target = os.path.join(tempfile.mkdtemp(prefix="driftloom-"), "_".join(os.path.basename(f) for f in folders) + ".zip")
     with zipfile.ZipFile(target, "w") as archive:
         for folder in folders:
             root = os.path.dirname(folder)
@@ -30,4 +30,4 @@ def ship(spark: SparkSession, *folders: str) -> None:
                         path = os.path.join(base, name)
                         archive.write(path, os.path.relpath(path, root))
     spark.sparkContext.addPyFile(target)
-    _shipped.add(app)
+    _shipped.update((app, folder) for folder in folders)
