@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftloom.llm import bpe, language, quality, secret_scan, toxicity
+from driftloom.llm import bpe, jaccard, language, quality, secret_scan, toxicity
 from driftloom.llm.common import remainder, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -31,6 +31,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(RANKS)
     encoded = bpe.encode(spark, table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -60,6 +64,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op4_secrets": op4_secrets,
+    "op6_jaccard": op6_jaccard,
     "op7_bpe": op7_bpe,
     "op8_language": op8_language,
     "op10_quality": op10_quality,
