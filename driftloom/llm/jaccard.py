@@ -261,5 +261,5 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recal
 
     An id stands for one document: rows that repeat id and text become one.
     """
-    kept = near_duplicates(docs, threshold, n, recall).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id", "text"])
+    kept = near_duplicates(docs, threshold, n, recall).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_kept_id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi").dropDuplicates(["doc_id", "text"])

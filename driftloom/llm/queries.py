@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftloom.llm import bpe, jaccard, language, quality, secret_scan, toxicity
+from driftloom.llm import bpe, decontaminate, jaccard, language, quality, secret_scan, shards, topk, toxicity, train_order
 from driftloom.llm.common import remainder, table
+from driftloom.storage import shared_folder
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -20,6 +23,33 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_matches", "n_quoted")
 
 
+def op2_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", topk.quantised(F.col("embedding"), 64).alias("v"))
+    return topk.top_products(vectors, F.col("vec_id") % 20 == 0, 20)
+
+
+OP2_SQL = """
+WITH v AS (
+  SELECT vec_id, min(list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  GROUP BY vec_id
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q, v c WHERE q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+), ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+
+def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shards.assign_shards(table(spark, sf_dir, "documents"), 16)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
 
@@ -31,6 +61,12 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
+def op5_train_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # a folder of its own for each run, so that the shards are written each time
+    folder = f"{shared_folder(spark)}/train_order/{uuid.uuid4().hex}"
+    return train_order.write_shards(table(spark, sf_dir, "documents"), folder if "://" in folder or folder.startswith("file:") else f"file://{folder}", key=2024)
+
+
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -53,6 +89,10 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict_language(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = remainder(F.col("doc_id"), 5) == 0
@@ -63,10 +103,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_top_products": op2_top_products,
+    "op3_shards": op3_shards,
     "op4_secrets": op4_secrets,
+    "op5_train_order": op5_train_order,
     "op6_jaccard": op6_jaccard,
     "op7_bpe": op7_bpe,
     "op8_language": op8_language,
+    "op9_decontaminate": op9_decontaminate,
     "op10_quality": op10_quality,
 }
-ORACLE: dict[str, str] = {}
+ORACLE = {"op2_top_products": OP2_SQL}
