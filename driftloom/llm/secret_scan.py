@@ -113,7 +113,7 @@ def scan(text: str) -> list[tuple[int, int, str]]:
             word = match[0]
             if len(word) < SHORTEST or sum(map(str.isdigit, word)) < 3 or not any(map(str.isalpha, word)) or allowed(word):
                 continue
-            if text[match.end() : match.end() + 1] == "@" or text[max(0, match.start() - 3) : match.start()] == "://":
+            if text[match.end() : match.end() + 1] == "@" or (word.startswith("//") and text[: match.start()].endswith(":")):
                 continue
             if any(s < match.end() and match.start() < e for s, e in taken):
                 continue
