@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from checks import detector_checks as dc
@@ -17,6 +18,7 @@ from checks.corpus_checks import digest, sql_clean
 from checks.report_checks import results
 from driftloom.functions.timecols import epoch_ms
 from driftloom.operators import detect as dt
+from driftloom.operators import embed as em
 from driftloom.operators import report as rp
 from driftloom.operators import windows as wn
 from driftloom.sources import corpus_files, topics
@@ -198,7 +200,7 @@ def w7_stream(spark, sf):
 
 
 def x4_stream(spark, sf):
-    counts = _run(sw.word_count(_stream(spark, sf, "conversations"), "text"), "words", "complete")
+    counts = _run(wn.word_count(_stream(spark, sf, "conversations"), "text"), "words", "complete")
     last = counts.groupBy("word").agg(F.max_by("n", "epoch").alias("n"))
     return last
 
@@ -209,6 +211,16 @@ def _vector_stream(spark, sf):
     return vectors.select(F.concat(F.lit("s"), F.col("vec_id") % 2).alias("stream_id"), order.alias("seq"), F.col("embedding").alias("vec"))
 
 
+def m6_stream(spark, sf):
+    noise = em.embed(em.noise_documents(dc.vocab(spark, sf)), "text", em.hashing_encoder(dc.DIM))
+    # a reference of a fixed number of vectors, given to every stream
+    held = sorted((r.noise_id, r.vec) for r in noise.select("noise_id", "vec").collect())
+    given = np.array([v for _, v in held], np.float32) / np.float32(40)
+    out = sd.detect_stream(_vector_stream(spark, sf), dt.load_detectors(["mmd"], mmd={"noise_warmup": True}), dc.N, dc.REF, given)
+    rows = _run(out, "warmup")
+    return rows.select("stream_id", "batch_no", F.round("score", 6).alias("score"), F.round("threshold", 6).alias("threshold"), "is_alert")
+
+
 def _stream_verdicts(names):
     def query(spark, sf):
         out = sd.detect_stream(_vector_stream(spark, sf), dt.load_detectors(names), dc.N, dc.REF)
@@ -237,6 +249,7 @@ QUERIES = {
     "w1_stream_batches": w1_stream,
     "w7_stream_high_water": w7_stream,
     "w8_stream_new_documents": w8_stream,
+    "m6_stream_warmup": m6_stream,
     "x4_stream_word_count": x4_stream,
     "m7_stream_verdicts": _stream_verdicts(["mmd"]),
     "a4_stream_history": _stream_verdicts(["padd"]),
@@ -267,6 +280,7 @@ QUALIFY count(*) OVER (PARTITION BY event_type, window_start) >= 5""",
     "s12_watch_directory": "SELECT md5(text) AS text_md5, true AS has_file, true AS has_time FROM documents",
     "s13_bounded_run": "SELECT event_type AS key, count(*) AS n FROM events GROUP BY ALL",
     "w1_stream_batches": sc.batches_sql(5, extra=", max(event_id) AS max_seq"),
+    "m6_stream_warmup": dc.ORACLE["m6_noise_warmup"],
     "w7_stream_high_water": sc.ORACLE["w7_new_documents_high_water"],
     "w8_stream_new_documents": sc.ORACLE["w8_new_documents_exact"],
     "x4_stream_word_count": CORPUS_ORACLE["x4_word_count"].replace("FROM documents", "FROM conversations"),

@@ -8,6 +8,7 @@ from checks import table
 from checks.corpus_checks import sql_clean
 from driftloom.functions.timecols import epoch_ms
 from driftloom.operators import assemble as am
+from driftloom.operators import evaluate as ev
 from driftloom.operators import windows as wn
 
 HOUR = 3_600_000
@@ -145,6 +146,25 @@ def w7(spark, sf):
     return wn.new_documents_high_water(sent, KEY, "arrival").select("event_type", "arrival", "document_count", "first_index", "n_new")
 
 
+def w7_split(spark, sf):
+    """The documents that the rule lets through when most windows are sent in several messages."""
+    sent = wn.batch_messages(hopped(spark, sf), KEY, "event_id", ["event_id", "ms"], chunk=7).withColumn("arrival", F.col("windowEnd"))
+    new = wn.new_documents_high_water(sent, KEY, "arrival", "documentCount", batch="batchId")
+    return new.select("event_type", "arrival", F.inline("documents")).select("event_type", "arrival", "event_id")
+
+
+def v3_split(spark, sf):
+    """The last sequence number of each window, from the messages it was sent in."""
+    sent = wn.batch_messages(hopped(spark, sf), KEY, "event_id", ["event_id", "ms"], chunk=7)
+    rows = sent.select(
+        F.col("event_type").alias("run_id"), F.col("windowEnd").alias("window_end"), F.col("documentCount").cast("long").alias("doc_count"),
+        (F.col("windowEnd") * 1000 + F.col("part")).alias("arrival"), F.col("batchId").alias("batch_id"), F.inline("documents"),
+    ).withColumnRenamed("event_id", "seq")
+    ends = ev.batch_ends(rows, "arrival", "batch_id")
+    alerts = rows.select("run_id", "window_end", (F.col("doc_count") + F.col("window_end") % 2).alias("doc_count")).distinct()
+    return ev.window_end_seq(alerts, ends, "arrival").select("run_id", "window_end", F.col("window_end_seq").alias("max_seq"))
+
+
 def w8(spark, sf):
     return wn.new_documents_exact(hopped(spark, sf), ["event_type", "event_id"]).select("event_type", "event_id", "ms")
 
@@ -171,6 +191,8 @@ QUERIES = {
     "w5_batch_envelope": lambda s, d: wn.window_batches(hopped(s, d), KEY, 5),
     "w6_batch_documents": w6,
     "w7_new_documents_high_water": w7,
+    "w7_split_windows": w7_split,
+    "v3_split_windows": v3_split,
     "w8_new_documents_exact": w8,
     "w9_tumbling": w9,
 }
@@ -191,6 +213,9 @@ FROM ({hop_sql(EVENTS_SQL, size, advance)}) GROUP BY ALL HAVING count(*) >= {low
 
 
 _MAX_SEQ = ", max(event_id) AS max_seq"
+_HIGH_WATER = f"""SELECT *, document_count - first_index AS n_new FROM (SELECT event_type, window_end AS arrival, document_count,
+  coalesce(max(document_count) OVER (PARTITION BY event_type ORDER BY window_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first_index
+  FROM ({batches_sql(5)})) WHERE document_count > first_index"""
 
 
 def schedule_sql(source: str, segments: str, seed: str) -> str:
@@ -286,9 +311,12 @@ SELECT event_type, event_id, count(*) AS n_windows, min(window_start) AS first_w
     "w5_batch_envelope": f"SELECT *, md5(concat_ws('|', event_type, window_start, document_count)) AS batch_id, 'sliding' AS window_type FROM ({batches_sql(5)})",
     "w6_batch_documents": f"""SELECT event_type, window_start, count(*) AS document_count, string_agg(event_id, ',' ORDER BY event_id) AS ids
 FROM ({hop_sql(EVENTS_SQL)}) GROUP BY ALL HAVING count(*) >= 5""",
-    "w7_new_documents_high_water": f"""SELECT *, document_count - first_index AS n_new FROM (SELECT event_type, window_end AS arrival, document_count,
-  coalesce(max(document_count) OVER (PARTITION BY event_type ORDER BY window_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first_index
-  FROM ({batches_sql(5)})) WHERE document_count > first_index""",
+    "w7_new_documents_high_water": _HIGH_WATER,
+    "w7_split_windows": f"""WITH hw AS ({_HIGH_WATER})
+SELECT event_type, arrival, event_id FROM (SELECT event_type, window_end AS arrival, event_id,
+  row_number() OVER (PARTITION BY event_type, window_start, window_end ORDER BY event_id) - 1 AS i FROM ({hop_sql(EVENTS_SQL)}))
+JOIN hw USING (event_type, arrival) WHERE i >= first_index""",
+    "v3_split_windows": f"SELECT event_type AS run_id, window_end, max_seq FROM ({batches_sql(5, extra=_MAX_SEQ)})",
     "w8_new_documents_exact": f"SELECT DISTINCT event_type, event_id, ms FROM ({hop_sql(EVENTS_SQL)})",
     "w9_tumbling": f"SELECT *, 'tumbling' AS window_type FROM ({batches_sql(1, SIZE, SIZE, _MAX_SEQ)})",
 }

@@ -94,7 +94,9 @@ def classify_by_keywords(
 
     The lead is part of the rule, not a short cut: only an article's opening decides its topic.
     """
-    text = F.concat(F.lower(_col(title)), F.lit(" "), F.lower(F.substring(_col(body), 1, lead)))
+    text = F.concat(
+        F.lower(F.coalesce(_col(title), F.lit(""))), F.lit(" "), F.lower(F.coalesce(F.substring(_col(body), 1, lead), F.lit("")))
+    )
     branches = [
         F.when(text.rlike("|".join(rf"\Q{k}\E" for k in dict.fromkeys(words))), F.lit(bucket))
         for bucket, words in buckets.items()

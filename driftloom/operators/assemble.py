@@ -104,14 +104,20 @@ def categories_in_group(df: DataFrame, category: str, group: str) -> DataFrame:
     return df.where((c == group) | c.startswith(group + "."))
 
 
+#: Segments of all plans together up to which they are broadcast (about 100 bytes each).
+BROADCAST_SEGMENTS = 100_000
+
+
 def schedule_categories(seqs: DataFrame, schedule: DataFrame, seed: Column | int) -> DataFrame:
     """Category and drift labels for rows ``(schedule, seq)``.
 
     The schedule comes from parameters, not from data: a handful of segments for each plan, so it
-    is joined as a broadcast on the plan name with the segment bounds as residual condition.
+    is joined as a broadcast on the plan name with the segment bounds as residual condition. More
+    than ``BROADCAST_SEGMENTS`` are joined by an exchange on the plan name.
     """
+    few = schedule.limit(BROADCAST_SEGMENTS + 1).count() <= BROADCAST_SEGMENTS
     joined = seqs.join(
-        F.broadcast(schedule.withColumnRenamed("schedule", "_plan")),
+        (F.broadcast if few else fresh)(schedule.withColumnRenamed("schedule", "_plan")),
         (F.col("schedule") == F.col("_plan")) & (F.col("seq") >= F.col("start_seq")) & (F.col("seq") < F.col("end_seq")),
     )
     p = F.col("seq") - F.col("start_seq")
@@ -158,7 +164,7 @@ def cyclic_draw(requests: DataFrame, pool: DataFrame, seed: Column | int, run: s
     asked = requests.groupBy(*keys).agg(F.count(F.lit(1)).alias("_asked"))
     unknown = asked.join(fresh(sizes), keys, "left_anti").first()
     if unknown:
-        raise ValueError(f"Unknown or empty category: {unknown['category']}")
+        raise ValueError(f"nothing to draw from in category {unknown['category']!r}")
     size = F.col("_size")
     counted = dense_position(requests, keys, "seq", "_j").join(sizes, keys)
     placed = counted.withColumn("draw_pass", F.floor(F.col("_j") / size)).withColumn(

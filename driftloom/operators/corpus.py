@@ -120,7 +120,7 @@ def prepare_wikipedia(
     buckets: dict[str, list[str]],
     cap: int = TARGET_PER_BUCKET,
 ) -> DataFrame:
-    """Articles by topic keywords; ``buckets`` is read with :func:`driftloom.sources.keywords.load`."""
+    """Articles by topic keywords; ``buckets`` is read with :func:`driftloom.sources.corpus_files.read_keyword_map`."""
     cleaned = df.withColumn("text", tx.collapse_blank_lines(text))
     classified = cleaned.withColumn("category", tx.classify_by_keywords(title, "text", buckets))
     return _finish(classified.where("category is not null"), "wikipedia", order, cap)

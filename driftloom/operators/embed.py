@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from driftloom.functions.hashing import hash60
 from driftloom.operators.ordered import dense_position, top_n
-from driftloom.storage import spread
 
 # Reference size, store size, trigger sizes and warm-up text shape.
 REFERENCE_SIZE = 100
@@ -50,17 +49,21 @@ def hashing_encoder(dim: int = 64) -> Callable[[], Encoder]:
     return load
 
 
-def embed(df: DataFrame, text: str, loader: Callable[[], Encoder], into: str = "vec", batch: int = MODEL_BATCH) -> DataFrame:
+def embed(
+    df: DataFrame, text: str, loader: Callable[[], Encoder], into: str = "vec", batch: int = MODEL_BATCH, parts: int | None = None
+) -> DataFrame:
     """Vectors of the non-blank texts; the model is loaded once per Python worker and partition.
 
+    ``parts`` deals the rows anew, for tables of few files; without it they stay as they are read.
+
     The function is declared non-deterministic so that no later filter or explosion makes Spark
     evaluate it, or the text it reads, a second time.
     """
 
     @F.pandas_udf("array<float>")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = loader()
-        for texts in parts:
+        for texts in series:
             out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
             filled = np.flatnonzero(texts.fillna("").str.strip().to_numpy() != "")
             for at in range(0, len(filled), batch):
@@ -70,7 +73,8 @@ def embed(df: DataFrame, text: str, loader: Callable[[], Encoder], into: str = "
                     out.iat[i] = vector
             yield out
 
-    return spread(df).withColumn(into, run.asNondeterministic()(text)).where(F.col(into).isNotNull())
+    spread = df.repartition(parts) if parts else df
+    return spread.withColumn(into, run.asNondeterministic()(text)).where(F.col(into).isNotNull())
 
 
 def vocabulary(df: DataFrame, text: str) -> DataFrame:

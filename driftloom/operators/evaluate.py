@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftloom.operators.ordered import fresh, running
-from driftloom.storage import cut, is_small
+from driftloom.storage import cut
 
 # Match window and cool-down in documents, name of the total row.
 MATCH_WINDOW = 500
@@ -46,10 +46,17 @@ def unique_alerts(alerts: DataFrame, arrival: str, detector: str | None = None)
     return chosen.where("window_end is not null").groupBy(RUN, "window_end").agg(last).select(RUN, "window_end", "_a.*")
 
 
-def batch_ends(exploded: DataFrame, arrival: str) -> DataFrame:
-    """Largest sequence number of each batch message ``(run_id, window_end, doc_count, arrival)``."""
-    by = [RUN, "window_end", "doc_count", arrival]
-    return exploded.groupBy(*by).agg(F.max(F.coalesce(F.col("seq"), F.lit(0))).alias("max_seq"))
+def batch_ends(exploded: DataFrame, arrival: str, batch: str | None = None) -> DataFrame:
+    """Largest sequence number of each batch ``(run_id, window_end, doc_count, arrival)``.
+
+    A window sent in several messages needs ``batch``, the column that its parts share: they count as
+    one batch, which arrives with its first part.
+    """
+    largest = F.max(F.coalesce(F.col("seq"), F.lit(0))).alias("max_seq")
+    by = [RUN, "window_end", "doc_count"]
+    if batch is None:
+        return exploded.groupBy(*by, arrival).agg(largest)
+    return exploded.groupBy(*by, batch).agg(F.min(arrival).alias(arrival), largest).drop(batch)
 
 
 def window_end_seq(alerts: DataFrame, batches: DataFrame, arrival: str) -> DataFrame:
@@ -71,11 +78,6 @@ def usable_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return docs.where(~broken), docs.where(broken)
 
 
-def _levels(df: DataFrame) -> int:
-    """No blocks are needed where all rows together fit one task."""
-    return 0 if is_small(df) else 1
-
-
 def drift_events(docs: DataFrame, match_window: int = MATCH_WINDOW) -> DataFrame:
     """Stretches of drift documents with the same declared start; gaps do not split a stretch.
 
@@ -87,7 +89,7 @@ def drift_events(docs: DataFrame, match_window: int = MATCH_WINDOW) -> DataFrame
     seen = running(drift, [RUN], "seq", prev, inclusive=False)
     begins = cut(seen.where(F.col("_prev").isNull() | (F.col("_prev.drift_start") != F.col("drift_start"))))
     ahead = {"_next": ("min", F.struct(F.col("seq"), F.col("_prev.seq").alias("before")))}
-    linked = running(begins, [RUN], "seq", ahead, inclusive=False, descending=True, levels=_levels(begins))
+    linked = running(begins, [RUN], "seq", ahead, inclusive=False, descending=True)
     last = drift.groupBy(RUN).agg(F.max("seq").alias("_last"))
     return linked.join(fresh(last), RUN).select(
         RUN,
@@ -159,9 +161,8 @@ def match_alerts(alerts: DataFrame, events: DataFrame, match_window: int = MATCH
     the first ``c`` alerts that see the same ``c`` events can win one, so the others are left out
     before the cluster's turn-taking, and a group holds a few rows for each of its events.
     """
-    levels = _levels(events)
     reach = {"_reach": ("max", F.col("match_deadline"))}
-    by_start = {"tiebreak": ["first_seq"], "levels": levels}
+    by_start = {"tiebreak": ["first_seq"]}
     reached = running(events, [RUN], "start_seq", reach, inclusive=False, **by_start)
     opens = F.col("_reach").isNull() | (F.col("start_seq") > F.col("_reach"))
     opened = {"cluster": ("max", F.when(opens, F.struct(F.col("start_seq"), F.col("first_seq"))))}
@@ -176,9 +177,7 @@ def match_alerts(alerts: DataFrame, events: DataFrame, match_window: int = MATCH
     turn = F.struct("window_end", "window_end_seq", "detected_at")
     single = pairs.where("cluster_size = 1").groupBy(RUN, "first_seq").agg(F.min(turn).alias("_m"))
 
-    matches = single.select(RUN, "first_seq", "_m.*")
-    if sizes.where("cluster_size > 1").limit(1).count():
-        matches = matches.unionByName(_take_turns(pairs.where("cluster_size > 1")))
+    matches = single.select(RUN, "first_seq", "_m.*").unionByName(_take_turns(pairs.where("cluster_size > 1")))
     out = events.join(fresh(matches), [RUN, "first_seq"], "left")
     verdict = {
         "matched": F.col("window_end").isNotNull(),
@@ -256,9 +255,8 @@ def distance_measures(matched: DataFrame) -> DataFrame:
         "_cover": ("max", F.when(F.col("is_start"), F.col("end_seq"))),
     }
     ahead = {"_nb": ("min", F.when(is_bound, x)), "_nh": ("min", F.when(is_hit, x))}
-    levels = _levels(matched)
-    behind = running(points, [RUN], "x", back, peers=True, levels=levels)
-    both = running(behind, [RUN], "x", ahead, peers=True, descending=True, levels=levels)
+    behind = running(points, [RUN], "x", back, peers=True)
+    both = running(behind, [RUN], "x", ahead, peers=True, descending=True)
     near = lambda a, b: F.least(x - F.col(a), F.col(b) - x)
     d1 = F.when(F.col("_cover") >= x, F.lit(0)).otherwise(near("_lb", "_nb"))
     hits = both.where(is_hit).groupBy(RUN).agg(F.avg(d1.cast("double")).alias("d1"), F.count(F.lit(1)).alias("n_detections"))

@@ -218,6 +218,8 @@ def sequential(positioned: DataFrame, n: int, reference: int, p: PaddParams = Pa
             return None
         for b in range(first, last + 1):
             if b not in blocks:
+                if any(b < later <= last for later in blocks):
+                    raise ValueError(f"batch {b} of stream {name!r} is missing, so the verdicts after it have no history")
                 break
             raw = draws(p, name, b)
             counts = {age: _verdict(blocks, b, age, raw, p) for age in set(now)}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from driftloom.functions.hashing import hash60
 from driftloom.functions.text import clean_text
-from driftloom.operators.ordered import dense_position, running
+from driftloom.operators.ordered import dense_position, fresh, running
 
 # Window size and advance in milliseconds, smallest batch that is sent on.
 SIZE_MS = 60_000
@@ -108,8 +108,9 @@ def batch_messages(
     """Envelopes that carry their documents, ordered by ``order``.
 
     A window of up to ``chunk`` documents is one message. A larger one is sent whole as several
-    messages with the same ``batchId`` and running ``part`` numbers, so no task or message has to
-    hold a hot window; ``documentCount`` is always that of the window.
+    messages with the same ``batchId``, running ``part`` numbers and the index in the window of the
+    first document (``firstIndex``), so no task or message has to hold a hot window;
+    ``documentCount`` is always that of the window.
     """
     by = [*keys, *WINDOW]
     placed = dense_position(windowed, by, order, "_at")
@@ -126,16 +127,31 @@ def batch_messages(
         F.col("window_end").alias("windowEnd"),
         F.col("document_count").cast("int").alias("documentCount"),
         "part",
+        (F.col("part") * chunk).alias("firstIndex"),
         F.transform("_docs", lambda x: x.d).alias("documents"),
     )
 
 
-def new_documents_high_water(batches: DataFrame, keys: list[str], arrival: str, count: str = "document_count") -> DataFrame:
+def new_documents_high_water(
+    batches: DataFrame, keys: list[str], arrival: str, count: str = "document_count", batch: str | None = None
+) -> DataFrame:
     """Index range of unseen documents of each arriving batch, by the largest count seen so far.
 
     A batch that is no larger than an earlier one of its key yields nothing, even if its documents
-    are new; :func:`new_documents_exact` has no such gap.
+    are new; :func:`new_documents_exact` has no such gap. Windows sent in several messages
+    (:func:`batch_messages`) need ``batch``, the column that the parts share: they are one arrival,
+    and each part yields its own unseen documents.
     """
+    if batch is not None:
+        whole = batches.groupBy(*keys, batch).agg(F.min(arrival).alias("_arrived"), F.max(count).alias("_count"))
+        before = running(whole, keys, "_arrived", {"_seen": ("max", F.col("_count"))}, tiebreak=[batch], inclusive=False)
+        first = before.select(*keys, batch, F.coalesce(F.col("_seen"), F.lit(0)).cast("long").alias("first_index"))
+        parts = batches.join(fresh(first), [*keys, batch])
+        skip = F.greatest(F.col("first_index") - F.col("firstIndex"), F.lit(0)).cast("int")
+        rest = parts.where(skip < F.size("documents"))
+        return rest.withColumn("n_new", F.size("documents") - skip).withColumn(
+            "documents", F.slice("documents", skip + 1, F.size("documents"))
+        )
     seen = running(batches, keys, arrival, {"_seen": ("max", F.col(count))}, inclusive=False)
     seen = seen.withColumn("first_index", F.coalesce(F.col("_seen"), F.lit(0)).cast("long")).drop("_seen")
     grown = seen.where(F.col(count) > F.col("first_index"))

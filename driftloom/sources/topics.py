@@ -19,7 +19,7 @@ PROCESSED = (
 )
 BATCH = (
     "batchId string, windowType string, windowStart long, windowEnd long, documentCount int, "
-    f"part long, documents array<struct<{', '.join(f.replace(' ', ': ', 1) for f in PROCESSED.split(', '))}>>"
+    f"part long, firstIndex long, documents array<struct<{', '.join(f.replace(' ', ': ', 1) for f in PROCESSED.split(', '))}>>"
 )
 ALERT = (
     "detector string, score double, threshold double, detected_at long, windowType string, "
@@ -74,7 +74,7 @@ def raw_messages(docs: DataFrame) -> DataFrame:
 
 def batch_messages(batches: DataFrame, key: str = "sourceCategory") -> DataFrame:
     """Window batches (see ``operators.windows.batch_messages``) as messages keyed by category."""
-    fields = [f for f in batches.columns if f in ("batchId", "windowType", "windowStart", "windowEnd", "documentCount", "part", "documents")]
+    fields = [f for f in batches.columns if f in ("batchId", "windowType", "windowStart", "windowEnd", "documentCount", "part", "firstIndex", "documents")]
     value = F.to_json(F.struct(*fields))
     return batches.select(F.col(key).alias("key"), value.alias("value")).where("value is not null")
 

@@ -31,27 +31,3 @@ def cut(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
-
-
-SMALL_ROWS = 1_000_000
-
-
-def is_small(df: DataFrame, rows: int = SMALL_ROWS) -> bool:
-    """Whether a frame has at most ``rows`` rows, by a count that stops there.
-
-    Asked of frames that are cheap to read (after :func:`cut`), to take a simpler plan where the
-    size is known to allow it; the general plan remains for larger ones.
-    """
-    return df.limit(rows + 1).count() <= rows
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores where the source has fewer parts than there are cores.
-
-    For work that costs far more than moving its input (cleaning long texts, model calls) on a table
-    of few files. A table with more parts than cores, as on a cluster, is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)

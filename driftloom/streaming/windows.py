@@ -80,10 +80,3 @@ def high_water(batches: DataFrame, key: str = "category", arrival: str = "arriva
         "append",
         GroupStateTimeout.NoTimeout,
     )
-
-
-def word_count(lines: DataFrame, text: str) -> DataFrame:
-    """Running word counts; use output mode ``complete`` or ``update``."""
-    from driftloom.operators.windows import word_count as batch_form
-
-    return batch_form(lines, text)

@@ -130,8 +130,14 @@ def test_drift_is_seen(spark):
 
 
 def test_guards_and_registry(spark):
-    with pytest.raises(ValueError, match="Unknown detector"):
+    with pytest.raises(ValueError, match="no detector is called nope"):
         dt.load_detectors(["mmd", "nope"])
+    with pytest.raises(ValueError, match="without their detector: padd"):
+        dt.load_detectors(["mmd"], padd={})
+    for name in ("padd_welch", "padd_softmax"):
+        assert dt.load_detectors([name], **{name: {"theta": 0.9}})[0].params.theta == 0.9
+        with pytest.raises(TypeError):
+            dt.load_detectors([name], **{name: {"no_such_setting": 1}})
     df = rows(spark, np.random.default_rng(0).normal(0, 1, (60, 3)))
     assert dt.detect(df, dt.load_detectors(["mmd"]), 9, 30).count() == 0
     assert dt.detect(df, dt.load_detectors(["mmd"]), 10, 15).count() == 0

@@ -42,6 +42,22 @@ def test_verdicts_over_several_micro_batches(spark, tmp_path):
     assert got.where("is_alert").count() > 0
 
 
+def test_noise_warm_up_over_several_micro_batches(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    path, given = str(tmp_path / "vectors"), rng.normal(2, 1, (30, 4)).astype(np.float32)
+    data = [("s", i, i, v.tolist()) for i, v in enumerate(rng.normal(0, 1, (95, 4)).astype(np.float32))]
+    frame = spark.createDataFrame(data, "stream_id string, pos long, seq long, vec array<float>")
+    for at in range(0, 95, 30):
+        frame.where(f"seq >= {at} and seq < {at + 30}").coalesce(1).write.mode("append").parquet(path)
+    found = dt.load_detectors(["mmd"], mmd={"noise_warmup": True})
+    stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    got = run(sd.detect_stream(stream, found, 20, 30, given), "append", tmp_path)
+    reference = spark.createDataFrame([("s", i, v.tolist()) for i, v in enumerate(given)], "stream_id string, pos long, vec array<float>")
+    want = dt.detect(frame, found, 20, 30, reference)
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+    assert got.count() == 3 and got.where("threshold is null or is_alert is null").count() == 0
+
+
 def test_windows_and_late_rows(spark, tmp_path):
     path = str(tmp_path / "docs")
     docs = spark.range(200).select(F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("sourceCategory"), (F.col("id") * 1700).alias("timestamp"), F.col("id").alias("sequenceNumber"))

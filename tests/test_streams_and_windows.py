@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftloom.operators import assemble as am
+from driftloom.operators import evaluate as ev
 from driftloom.operators import windows as wn
 
 
@@ -61,7 +62,7 @@ def test_draws_use_each_document_once_a_pass(spark):
 def test_unknown_category_is_an_error(spark):
     pool = spark.createDataFrame([("r", "a", 0)], "run_id string, category string, doc_key long")
     asked = spark.createDataFrame([("r", "zzz", 0)], "run_id string, category string, seq long")
-    with pytest.raises(Exception, match="Unknown or empty category: zzz"):
+    with pytest.raises(Exception, match="nothing to draw from in category 'zzz'"):
         am.cyclic_draw(asked, pool, 3).collect()
 
 
@@ -78,6 +79,20 @@ def test_high_water(spark):
     assert [(r.arrival, r.first_index, r.n_new) for r in rows] == [(0, 0, 5), (1, 5, 3), (4, 8, 2)]
 
 
+@pytest.mark.parametrize("chunk", [1, 3, 7, 100])
+def test_high_water_over_split_windows(spark, chunk):
+    docs = spark.range(60).select(F.lit("c").alias("category"), F.col("id").alias("seq"), (F.col("id") * 3000).alias("ms"))
+    windowed = wn.hopping(docs, "ms", 60_000, 15_000)
+    whole = wn.batch_messages(windowed, ["category"], "seq", ["seq"]).withColumn("arrival", F.col("windowStart"))
+    split = wn.batch_messages(windowed, ["category"], "seq", ["seq"], chunk=chunk).withColumn("arrival", F.col("windowStart"))
+    want = wn.new_documents_high_water(whole, ["category"], "arrival", "documentCount")
+    got = wn.new_documents_high_water(split, ["category"], "arrival", "documentCount", batch="batchId")
+    flat = lambda df: sorted((r.arrival, d.seq) for r in df.collect() for d in r.documents)
+    assert flat(got) == flat(want)
+    ends = lambda df, batch: ev.batch_ends(df.select(F.lit("r").alias("run_id"), F.col("windowEnd").alias("window_end"), F.col("documentCount").alias("doc_count"), "arrival", "batchId", F.inline("documents")), "arrival", batch)
+    assert sorted(map(tuple, ends(split, "batchId").collect())) == sorted(map(tuple, ends(whole, None).collect()))
+
+
 def test_hopping_starts_at_zero_and_tumbling(spark):
     df = spark.createDataFrame([(10_000,), (61_000,)], "ms long")
     rows = wn.hopping(df, "ms", 60_000, 15_000).collect()
