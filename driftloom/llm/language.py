@@ -19,10 +19,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftloom.llm.common import _slices, map_batches, texts_of
+from driftloom.operators.ordered import top_n
 
 GRAMS = (1, 2, 3)
 DIMENSIONS = 1 << 16
@@ -105,8 +106,8 @@ def learn(docs: DataFrame, learn_from: Column, rows: int = FIT_ROWS) -> Model:
     frequency, n = document_frequencies(usable)
     idf = np.log((1 + n) / (1 + frequency)) + 1
     each = max(1, rows // len(languages))
-    ranked = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = usable.where(F.col("lang").isin(languages) & F.col("doc_id").isNotNull()).select("doc_id", "lang", F.row_number().over(ranked).alias("_n")).where(F.col("_n") <= each)
+    known = usable.where(F.col("lang").isin(languages) & F.col("doc_id").isNotNull()).select("doc_id", "lang")
+    chosen = top_n(known, ["lang"], [F.xxhash64("doc_id"), F.col("doc_id")], each, ["doc_id"])
     # bounded by ``rows``: 40 bytes each
     sample = usable.join(F.broadcast(chosen.select("doc_id", "lang").distinct()), ["doc_id", "lang"])
 
