@@ -3,7 +3,9 @@
 A plain ``Window.partitionBy(key).orderBy(seq)`` sorts every row of a key in one task, so a
 stream holding a third of all rows becomes one straggler. Here a key is cut into blocks that are
 a function of the order column (``seq >> 17``: at most 131,072 distinct positions each). Block
-totals are small, are scanned once, and come back as one extra row in front of each block.
+totals come back as one extra row in front of each block. They are cut into blocks in turn (of at most
+2^23 totals), and so are theirs: where numbers are sparse (hashes, times) and each row is a block of
+its own, no task sees more of a key than where they are dense.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_BITS = 17
+#: Bits of the blocks of totals. With two levels, 17 + 23 + 23 bits cover every non-negative long.
+TOTALS_BITS = 23
 _ORD, _FRONT = "_ord", "_front"
 _FOLDS = {"sum": F.sum, "max": F.max, "min": F.min}
 
@@ -30,14 +34,14 @@ def running(
     descending: bool = False,
     block: Column | None = None,
     block_bits: int = BLOCK_BITS,
-    levels: int = 1,
+    levels: int = 2,
 ) -> DataFrame:
     """Running ``sum``/``max``/``min`` per key in the order of a long column.
 
     ``values`` maps an output name to ``(fold, expression)``. ``max`` over a struct that starts with
     the order column gives "last known value". With ``peers`` rows of equal order see each other.
     ``block`` may be given where the order is not dense (for example the top bits of a hash); it
-    must not decrease with the order. Further ``levels`` cut the block totals in turn.
+    must not decrease with the order. ``levels`` beyond the first cut the block totals in turn.
     """
     ordc = F.col(order) if isinstance(order, str) else order
     ordc = (-ordc if descending else ordc).cast("long")
@@ -56,6 +60,7 @@ def running(
             blk_name,
             {f"_c_{n}": (f, F.col(f"_v_{n}")) for n, (f, _) in values.items()},
             inclusive=False,
+            block_bits=TOTALS_BITS,
             levels=levels - 1,
         )
         fronts = fronts.select(

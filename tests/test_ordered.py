@@ -49,3 +49,15 @@ def test_top_n_with_a_hot_key(spark):
     hot = sorted((r.rank, r.id) for r in out.where("k = 'hot'").collect())
     assert hot == [(1, 2997), (2, 2994), (3, 2991), (4, 2988), (5, 2985)]
     assert out.count() == 2000 + 5
+
+
+def test_sparse_order_equals_loop(spark):
+    rng = random.Random(3)
+    rows = [(k, rng.getrandbits(62), rng.randint(-9, 9)) for k in (0, 1) for _ in range(300)]
+    df = spark.createDataFrame(rows, "k int, o long, v long")
+    found = {(r.k, r.o): (r.s, r.p) for r in dense_position(running(df, ["k"], "o", {"s": ("sum", F.col("v"))}), ["k"], "o", "p").collect()}
+    for k in (0, 1):
+        total = 0
+        for at, (_, o, v) in enumerate(sorted((r for r in rows if r[0] == k), key=lambda r: r[1])):
+            total += v
+            assert found[k, o] == (total, at)
