@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
@@ -32,14 +33,31 @@ def epoch_writer(path: str):
     return write
 
 
+def earlier_epochs(spark: SparkSession, path: str, epoch: int) -> DataFrame | None:
+    """What :func:`epoch_writer` wrote below ``path`` before this epoch; None where there is nothing yet."""
+    reader = spark.read.option("recursiveFileLookup", True)
+    # the folder of this epoch may be there from an attempt that failed, and is about to be replaced
+    reader = reader.option("ignoreMissingFiles", True)
+    try:
+        return reader.parquet(path).where(F.col("epoch") < epoch)
+    except AnalysisException:
+        return None
+
+
 def alert_writer(path: str):
-    """The same for alerts: one row for each stream, detector and window end, the latest of the epoch."""
+    """The same for alerts: one row for each stream, detector and window end over all epochs.
+
+    Within an epoch the latest counts; an alert that an earlier epoch has written is not written again.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
         keys = [c for c in ("stream_id", "detector", "window_end") if c in batch.columns]
         rest = [c for c in batch.columns if c not in keys]
-        last = batch.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col("detected_at")).alias("_a"))
-        last.select(*keys, "_a.*").write.mode("overwrite").parquet(f"{path}/{epoch:012d}")
+        last = batch.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col("detected_at")).alias("_a")).select(*keys, "_a.*")
+        earlier = earlier_epochs(batch.sparkSession, path, epoch)
+        if earlier is not None:
+            last = last.join(earlier.select(*keys).distinct(), keys, "left_anti")
+        epoch_writer(path)(last, epoch)
 
     return write
 

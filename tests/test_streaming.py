@@ -9,7 +9,10 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from driftloom.operators import detect as dt
+from driftloom.operators import embed as em
 from driftloom.operators import windows as wn
+from driftloom.plans import live
+from driftloom.sources import topics
 from driftloom.streaming import detect as sd
 from driftloom.streaming import sinks
 from driftloom.streaming import windows as sw
@@ -95,8 +98,10 @@ def test_epochs_are_written_once(spark, tmp_path):
     batch = spark.createDataFrame([("s", "mmd", 60, 1, 0.5), ("s", "mmd", 60, 2, 0.7), ("s", "padd", 60, 1, 0.1)], "stream_id string, detector string, window_end long, detected_at long, score double")
     write(batch, 3)
     write(batch, 3)
+    again = batch.union(spark.createDataFrame([("s", "padd", 75, 9, 0.2)], batch.schema))
+    write(again, 4)
     rows = spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path / "alerts")).collect()
-    assert sorted((r.detector, r.score) for r in rows) == [("mmd", 0.7), ("padd", 0.1)]
+    assert sorted((r.detector, r.score, r.epoch) for r in rows) == [("mmd", 0.7, 3), ("padd", 0.1, 3), ("padd", 0.2, 4)]
 
 
 def test_listener_on_a_running_stream(spark, tmp_path):
@@ -114,3 +119,32 @@ def test_listener_on_a_running_stream(spark, tmp_path):
     finally:
         spark.streams.removeListener(listener)
     assert seen == [{"batches": 6, "documents": 21, "max_seq": 5}]
+
+
+def test_live_alerts_equal_the_table_plan(spark, tmp_path):
+    rng = np.random.default_rng(11)
+    words = [["sun", "sea", "sand", "wind"], ["tax", "bank", "loan", "debt"]]
+    raw = [
+        (f"d{i}", i * 1000, " ".join(rng.choice(words[i >= 260 if c == "a" else 0], 12)), c, i)
+        for i in range(420)
+        for c in ("a", "b")
+    ]
+    docs = spark.createDataFrame(raw, "docId string, timestamp long, text string, sourceCategory string, sequenceNumber long")
+    docs = wn.clean_documents(docs.withColumns({"driftLabel": F.lit(False), "driftType": F.lit(None).cast("string"), "driftStartTs": F.lit(None).cast("long")}))
+    source, topic, table, target = (str(tmp_path / n) for n in ("raw", "topic", "documents", "alerts"))
+    for at in range(0, 420, 70):
+        docs.where(f"sequenceNumber >= {at} and sequenceNumber < {at + 70}").coalesce(1).write.mode("append").parquet(source)
+    found, loader, now = dt.load_detectors(["mmd", "isolation_forest"]), em.hashing_encoder(16), F.col("window_end") + 5
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    live.publish_batches(stream, topic, uuid.uuid4().hex).awaitTermination()
+    live.collect_documents(topics.file_stream(spark, topic, "key string, value string", 1), table, uuid.uuid4().hex).awaitTermination()
+    documents = spark.read.option("recursiveFileLookup", True).parquet(table)
+    assert documents.count() == documents.select("stream_id", "seq").distinct().count() > 700
+    live.publish_alerts(live.document_stream(spark, table), table, target, found, loader, uuid.uuid4().hex, now, 50, 100).awaitTermination()
+    got = spark.read.option("recursiveFileLookup", True).parquet(target)
+    vectors = em.embed(documents, "text", loader)
+    verdicts = dt.detect(dt.positions_by(vectors, "stream_id", F.col("seq"), "vec", "seq"), found, 50, 100)
+    want = dt.enrich_alerts(verdicts, documents, now)
+    keys = ["stream_id", "detector", "window_end", "last_seq", "doc_count", "detected_at"]
+    assert got.count() > 0 and documents.select("epoch").distinct().count() > 1
+    assert sorted(map(tuple, got.select(keys).collect())) == sorted(map(tuple, want.select(keys).collect()))
