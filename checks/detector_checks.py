@@ -235,6 +235,16 @@ def _matrix(rows) -> str:
 def acts_sql(source: str, p: padd.PaddParams = P) -> str:
     """CTE ``acts(key columns of source, neuron, a)``; ``source`` is a relation with id columns k and v."""
     first, second = padd.weights(p, DIM)
+    if p.network == "one_layer":
+        return f"""w1(i, j, w) AS (VALUES {_matrix(first)}), w2(i, j, w) AS (VALUES {_matrix([second])}),
+xin AS (SELECT k, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS i FROM {source}),
+acts AS MATERIALIZED (SELECT k, j AS neuron, greatest(0, sum(x * w) + (SELECT w FROM w2 b WHERE b.j = w1.j)) AS a FROM xin JOIN w1 USING (i) GROUP BY k, j)"""
+    if p.network == "softmax":
+        return f"""w1(i, j, w) AS (VALUES {_matrix(first)}), w2(i, j, w) AS (VALUES {_matrix(second)}),
+xin AS (SELECT k, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS i FROM {source}),
+neck AS (SELECT k, j, greatest(0, sum(x * w) + (SELECT w FROM w1 b WHERE b.i = {DIM} AND b.j = w1.j)) AS x FROM xin JOIN w1 USING (i) GROUP BY k, j),
+raised AS (SELECT k, w2.j AS neuron, exp(greatest(0, sum(x * w))) AS e FROM neck JOIN w2 ON neck.j = w2.i GROUP BY k, w2.j),
+acts AS MATERIALIZED (SELECT k, neuron, e / sum(e) OVER (PARTITION BY k) AS a FROM raised)"""
     return f"""w1(i, j, w) AS (VALUES {_matrix(first)}), w2(i, j, w) AS (VALUES {_matrix(second)}),
 xin AS (SELECT k, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS i FROM {source}),
 neck AS (SELECT k, j, greatest(0, sum(x * w) + (SELECT w FROM w1 b WHERE b.i = {DIM} AND b.j = w1.j)) AS x FROM xin JOIN w1 USING (i) GROUP BY k, j),
@@ -246,7 +256,13 @@ def padd_sql(p: padd.PaddParams) -> str:
     """CTE ``votes(stream_id, batch_no, rejections)`` against the frozen reference."""
     s, r, h = p.sample_size, p.replications, p.hidden
     per_side = h * r * s
-    t_crit = critical(p.alpha, 2 * s - 2)
+    t_crit = repr(critical(p.alpha, 2 * s - 2))
+    if p.welch:
+        # the critical value is smooth in the degrees of freedom: linear between points of a fine grid
+        step = (s - 1) / 400
+        grid = "[" + ", ".join(repr(critical(p.alpha, s - 1 + i * step)) for i in range(402)) + "]"
+        at = f"(((v0 + v1) ** 2 / ((v0 ** 2 + v1 ** 2) / ({s} - 1)) - ({s} - 1)) / {step!r})"
+        t_crit = f"({grid}[floor({at})::BIGINT + 1] + ({at} - floor({at})) * ({grid}[floor({at})::BIGINT + 2] - {grid}[floor({at})::BIGINT + 1]))"
     return f"""{TRIG}, rowsin AS MATERIALIZED (SELECT stream_id || '|' || pos AS k, v FROM pos), {acts_sql('rowsin', p)},
 keyed AS (SELECT stream_id, batch_no, {_KEY31(f"'{p.seed}'", 'stream_id', 'batch_no')} AS key FROM (SELECT DISTINCT stream_id, batch_no FROM trig)),
 dr AS (SELECT stream_id, batch_no, c // {per_side} AS side, (c // {r * s}) % {h} AS neuron, (c // {s}) % {r} AS rep,
@@ -255,12 +271,12 @@ picked AS (SELECT stream_id, batch_no, side, neuron, rep, CASE WHEN side = 0 THE
 means AS (SELECT p.stream_id, batch_no, p.neuron, rep, avg(a) FILTER (side = 0) AS m0, avg(a) FILTER (side = 1) AS m1,
     var_samp(a) FILTER (side = 0) AS v0, var_samp(a) FILTER (side = 1) AS v1
   FROM picked p JOIN acts ON acts.k = p.stream_id || '|' || p.at AND acts.neuron = p.neuron GROUP BY ALL),
-votes AS MATERIALIZED (SELECT stream_id, batch_no, count(*) FILTER (CASE WHEN v0 + v1 > 0 THEN abs(m0 - m1) / sqrt((v0 + v1) / {s}) > {t_crit!r} ELSE m0 <> m1 END) AS rejections
+votes AS MATERIALIZED (SELECT stream_id, batch_no, count(*) FILTER (CASE WHEN v0 + v1 > 0 THEN abs(m0 - m1) / sqrt((v0 + v1) / {s}) > {t_crit} ELSE m0 <> m1 END) AS rejections
   FROM means GROUP BY ALL)"""
 
 
-def _vote_rows(p: padd.PaddParams) -> str:
-    return f"""WITH {padd_sql(p)} SELECT stream_id, batch_no, 'padd_frozen' AS detector, round(rejections / {p.tests}.0, 6) AS score,
+def _vote_rows(p: padd.PaddParams, name: str = "padd_frozen") -> str:
+    return f"""WITH {padd_sql(p)} SELECT stream_id, batch_no, '{name}' AS detector, round(rejections / {p.tests}.0, 6) AS score,
   {p.theta}::DOUBLE AS threshold, rejections > {p.most_rejections} AS is_alert, {N}::BIGINT AS doc_count, last_seq FROM votes JOIN {_LAST} USING (stream_id, batch_no)"""
 
 
@@ -277,6 +293,8 @@ _M6 = f"""WITH {POS}, vocab AS MATERIALIZED ({VOCAB_SQL}), noise AS MATERIALIZED
 SELECT stream_id, batch_no, round(score, 6) AS score, round(threshold, 6) AS threshold, score > threshold AS is_alert FROM s JOIN lim USING (stream_id) WHERE batch_no > 0"""
 
 ORACLE = {
+    "a7_padd_welch": _vote_rows(padd.WELCH, "padd_welch"),
+    "a8_padd_softmax": _vote_rows(padd.SOFTMAX, "padd_softmax"),
     "e1_embed": _embed_sql("conversations", "conv_id, turn", "text"),
     "e2_hash_embed": _embed_sql("documents", "doc_id", "text"),
     "e3_vocabulary": VOCAB_SQL,
