@@ -7,13 +7,14 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from checks import table
 from checks.corpus_checks import sql_clean
 from checks.stream_checks import EVENTS_SQL, SIZE, events_ms, hash60_sql
 from driftloom.functions.hashing import PRIME, mix31_sql
-from driftloom.functions.student import critical
+from driftloom.functions.student import critical, two_sided_p
 from driftloom.functions.text import clean_text
 from driftloom.operators import detect as dt
 from driftloom.operators import embed as em
@@ -252,6 +253,16 @@ acts AS MATERIALIZED (SELECT k, w2.j AS neuron, greatest(0, sum(x * w) + (SELECT
   FROM neck JOIN w2 ON neck.j = w2.i GROUP BY k, w2.j)"""
 
 
+def _critical_values(alpha: float, df: np.ndarray) -> np.ndarray:
+    """Two-sided critical values for many degrees of freedom at once, by halving an interval."""
+    low, high = np.zeros(len(df)), np.full(len(df), 50.0)
+    for _ in range(60):
+        middle = (low + high) / 2
+        beyond = two_sided_p(middle, df) > alpha
+        low, high = np.where(beyond, middle, low), np.where(beyond, high, middle)
+    return high
+
+
 def padd_sql(p: padd.PaddParams) -> str:
     """CTE ``votes(stream_id, batch_no, rejections)`` against the frozen reference."""
     s, r, h = p.sample_size, p.replications, p.hidden
@@ -260,7 +271,7 @@ def padd_sql(p: padd.PaddParams) -> str:
     if p.welch:
         # the critical value is smooth in the degrees of freedom: linear between points of a fine grid
         step = (s - 1) / 400
-        grid = "[" + ", ".join(repr(critical(p.alpha, s - 1 + i * step)) for i in range(402)) + "]"
+        grid = "[" + ", ".join(repr(float(c)) for c in _critical_values(p.alpha, s - 1 + step * np.arange(402))) + "]"
         at = f"(((v0 + v1) ** 2 / ((v0 ** 2 + v1 ** 2) / ({s} - 1)) - ({s} - 1)) / {step!r})"
         t_crit = f"({grid}[floor({at})::BIGINT + 1] + ({at} - floor({at})) * ({grid}[floor({at})::BIGINT + 2] - {grid}[floor({at})::BIGINT + 1]))"
     return f"""{TRIG}, rowsin AS MATERIALIZED (SELECT stream_id || '|' || pos AS k, v FROM pos), {acts_sql('rowsin', p)},
