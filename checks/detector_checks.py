@@ -263,7 +263,7 @@ def _critical_values(alpha: float, df: np.ndarray) -> np.ndarray:
     return high
 
 
-def padd_sql(p: padd.PaddParams) -> str:
+def padd_sql(p: padd.PaddParams, trig: str = TRIG, ref: int = REF, n: int = N) -> str:
     """CTE ``votes(stream_id, batch_no, rejections)`` against the frozen reference."""
     s, r, h = p.sample_size, p.replications, p.hidden
     per_side = h * r * s
@@ -274,11 +274,11 @@ def padd_sql(p: padd.PaddParams) -> str:
         grid = "[" + ", ".join(repr(float(c)) for c in _critical_values(p.alpha, s - 1 + step * np.arange(402))) + "]"
         at = f"(((v0 + v1) ** 2 / ((v0 ** 2 + v1 ** 2) / ({s} - 1)) - ({s} - 1)) / {step!r})"
         t_crit = f"({grid}[floor({at})::BIGINT + 1] + ({at} - floor({at})) * ({grid}[floor({at})::BIGINT + 2] - {grid}[floor({at})::BIGINT + 1]))"
-    return f"""{TRIG}, rowsin AS MATERIALIZED (SELECT stream_id || '|' || pos AS k, v FROM pos), {acts_sql('rowsin', p)},
+    return f"""{trig}, rowsin AS MATERIALIZED (SELECT stream_id || '|' || pos AS k, v FROM pos), {acts_sql('rowsin', p)},
 keyed AS (SELECT stream_id, batch_no, {_KEY31(f"'{p.seed}'", 'stream_id', 'batch_no')} AS key FROM (SELECT DISTINCT stream_id, batch_no FROM trig)),
 dr AS (SELECT stream_id, batch_no, c // {per_side} AS side, (c // {r * s}) % {h} AS neuron, (c // {s}) % {r} AS rep,
     {mix31_sql('key', 'c')} AS x FROM keyed, range({2 * per_side}) t(c)),
-picked AS (SELECT stream_id, batch_no, side, neuron, rep, CASE WHEN side = 0 THEN x % {REF} ELSE {REF} + batch_no * {N} + x % {N} END AS at FROM dr),
+picked AS (SELECT stream_id, batch_no, side, neuron, rep, CASE WHEN side = 0 THEN x % {ref} ELSE {ref} + batch_no * {n} + x % {n} END AS at FROM dr),
 means AS (SELECT p.stream_id, batch_no, p.neuron, rep, avg(a) FILTER (side = 0) AS m0, avg(a) FILTER (side = 1) AS m1,
     var_samp(a) FILTER (side = 0) AS v0, var_samp(a) FILTER (side = 1) AS v1
   FROM picked p JOIN acts ON acts.k = p.stream_id || '|' || p.at AND acts.neuron = p.neuron GROUP BY ALL),
@@ -291,6 +291,16 @@ def _vote_rows(p: padd.PaddParams, name: str = "padd_frozen") -> str:
   {p.theta}::DOUBLE AS threshold, rejections > {p.most_rejections} AS is_alert, {N}::BIGINT AS doc_count, last_seq FROM votes JOIN {_LAST} USING (stream_id, batch_no)"""
 
 
+_TRIALS = f"""pos AS MATERIALIZED (SELECT (p // 100)::VARCHAR AS stream_id, vec_id AS seq, embedding::DOUBLE[] AS v, p % 100 AS pos
+  FROM (SELECT *, row_number() OVER (ORDER BY {hash60_sql('12345', 'vec_id')}, vec_id) - 1 AS p FROM embeddings)),
+trig AS MATERIALIZED (SELECT *, 0 AS batch_no, pos - 75 AS i FROM pos WHERE pos >= 75 QUALIFY count(*) OVER (PARTITION BY stream_id) = 25)"""
+
+
+def _alarms(p: padd.PaddParams, name: str) -> str:
+    return f"""SELECT '{name}' AS detector, count(*) AS n_trials, count(*) FILTER (rejections > {p.most_rejections}) AS n_alarms,
+  avg((rejections > {p.most_rejections})::INT) AS alarm_rate FROM (WITH {padd_sql(p, _TRIALS, 75, 25)} SELECT * FROM votes)"""
+
+
 _STAT = _MMD + " SELECT stream_id, batch_no, {cols} FROM "
 _M6 = f"""WITH {POS}, vocab AS MATERIALIZED ({VOCAB_SQL}), noise AS MATERIALIZED ({NOISE_SQL}),
   cells AS (SELECT noise_id, (h >> 1) % {DIM} AS slot, sum(CASE WHEN h & 1 = 1 THEN 1.0::DOUBLE ELSE -1.0 END) AS s FROM (
@@ -304,6 +314,7 @@ _M6 = f"""WITH {POS}, vocab AS MATERIALIZED ({VOCAB_SQL}), noise AS MATERIALIZED
 SELECT stream_id, batch_no, round(score, 6) AS score, round(threshold, 6) AS threshold, score > threshold AS is_alert FROM s JOIN lim USING (stream_id) WHERE batch_no > 0"""
 
 ORACLE = {
+    "a9_null_trials": f"{_alarms(padd.WELCH, 'padd_welch')} UNION ALL {_alarms(padd.SOFTMAX, 'padd_softmax')}",
     "a7_padd_welch": _vote_rows(padd.WELCH, "padd_welch"),
     "a8_padd_softmax": _vote_rows(padd.SOFTMAX, "padd_softmax"),
     "e1_embed": _embed_sql("conversations", "conv_id, turn", "text"),
