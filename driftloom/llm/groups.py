@@ -15,9 +15,11 @@ from driftloom.storage import cut
 Groups = tuple[pa.Table, np.ndarray]
 
 
-def map_groups(df: DataFrame, keys: list[str], schema: str, work: Callable[[pa.Table, np.ndarray], dict]) -> DataFrame:
+def map_groups(df: DataFrame, keys: list[str], schema: str, work: Callable[[pa.Table, np.ndarray], dict], order: tuple[str, ...] = ()) -> DataFrame:
     """Rows dealt and sorted by ``keys`` (integers); ``work`` gets tables of whole groups as they pass.
 
+    Rows of a group come in the order of the columns ``order``.
+
     Unlike a call for each group this costs little for many small ones. A group must be bounded by
     the caller; a task holds the rows of one group and one batch at most.
     """
@@ -28,7 +30,7 @@ def map_groups(df: DataFrame, keys: list[str], schema: str, work: Callable[[pa.T
             out = work(table, starts)
             yield pa.RecordBatch.from_arrays([out[n] for n in names], names=names)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[Groups]:
@@ -59,8 +61,11 @@ def _closed(parts: list[pa.RecordBatch], keys: list[str]) -> Groups:
     return table, np.concatenate([[0], changes, [table.num_rows]])
 
 
-def forest(n: int, left: np.ndarray, right: np.ndarray) -> list[int]:
-    """Positions of pairs that suffice to connect what all pairs connect."""
+def stars(n: int, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs (least, other) that connect what the pairs (left, right) connect: a star for each part.
+
+    Stars around the least of each part are often the same for overlapping sets of rows, chains are not.
+    """
     parent = list(range(n))
 
     def root(x: int) -> int:
@@ -69,16 +74,15 @@ def forest(n: int, left: np.ndarray, right: np.ndarray) -> list[int]:
             x = parent[x]
         return x
 
-    kept, open_parts = [], n - 1
-    for at, (a, b) in enumerate(zip(left.tolist(), right.tolist(), strict=True)):
+    open_parts = n - 1
+    for a, b in zip(left.tolist(), right.tolist(), strict=True):
         a, b = root(a), root(b)
         if a != b:
-            parent[b] = a
-            kept.append(at)
+            parent[max(a, b)] = min(a, b)
             open_parts -= 1
             if not open_parts:
                 break
-    return kept
+    return [(root(x), x) for x in range(n) if root(x) != x]
 
 
 def components(edges: DataFrame) -> DataFrame:

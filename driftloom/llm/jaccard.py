@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftloom.llm.common import map_batches, texts_of
-from driftloom.llm.groups import components, forest, map_groups
+from driftloom.llm.groups import components, map_groups, stars
 from driftloom.storage import cut
 
 WORD = re.compile(r"\w+")
@@ -168,12 +168,12 @@ def _candidates(classes: DataFrame, bands: int) -> DataFrame:
             if i[start] != j[start]:
                 linked &= mine[start:end, None] != mine[None, start:end]
             left, right = np.nonzero(linked)
-            for at in forest(end - start, left, right):
-                a.append(keys[start + left[at]])
-                b.append(keys[start + right[at]])
+            for least, other in stars(end - start, left, right):
+                a.append(keys[start + least])
+                b.append(keys[start + other])
         return {"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())}
 
-    return map_groups(_in_blocks(met, "blocks"), ["bucket", "i", "j"], "a binary, b binary", meet).distinct()
+    return map_groups(_in_blocks(met, "blocks"), ["bucket", "i", "j"], "a binary, b binary", meet, ("key",)).distinct()
 
 
 def _verified(docs: DataFrame, classes: DataFrame, members: DataFrame, threshold: float, n: int) -> DataFrame:
@@ -206,13 +206,13 @@ def _verified(docs: DataFrame, classes: DataFrame, members: DataFrame, threshold
                 linked &= mine[start:end, None] != mine[None, start:end]
             counts = linked @ copies[start:end]
             left, right = np.nonzero(np.triu(linked, 1))
-            kept = forest(end - start, left, right)
-            a += [*keys[start:end], *(keys[start + left[k]] for k in kept)]
-            b += [*([None] * (end - start)), *(keys[start + right[k]] for k in kept)]
+            kept = stars(end - start, left, right)
+            a += [*keys[start:end], *(keys[start + least] for least, _ in kept)]
+            b += [*([None] * (end - start)), *(keys[start + other] for _, other in kept)]
             links += [*counts.tolist(), *([0] * len(kept))]
         return {"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "links": pa.array(links, pa.int64())}
 
-    return map_groups(_in_blocks(full, "blocks"), ["group", "i", "j"], "a binary, b binary, links bigint", verify)
+    return map_groups(_in_blocks(full, "blocks"), ["group", "i", "j"], "a binary, b binary, links bigint", verify, ("key",))
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
