@@ -88,16 +88,20 @@ def stars(n: int, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of ``edges`` (a, b); a component is named by its least node.
 
-    Every round takes the least label among the neighbours and then the label's own label, so labels
-    travel twice as far each time. Each round is written to the shared folder and starts from there.
+    In every round each node hooks onto its least neighbour, if that is smaller, and on to where that one
+    hooks. Nodes that share a hook become one, so the edges that are left between different ones, and with
+    them the work of a round, shrink quickly. Each round is written to the shared folder and starts there.
     """
     both = cut(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).where("u <> v").distinct())
-    labels = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")))
-    while True:
-        near = both.join(labels.select(F.col("u").alias("v"), F.col("label").alias("near")), "v").groupBy("u").agg(F.min("near").alias("near"))
-        better = labels.join(near, "u").select("u", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        onward = labels.select(F.col("u").alias("label"), F.col("label").alias("next"))
-        moved = cut(better.join(onward, "label", "left").select("u", "was", F.least("label", "next").alias("label")))
-        labels = moved.select("u", "label")
-        if moved.where("was <> label").isEmpty():
-            return labels.select(F.col("u").alias("node"), F.col("label").alias("component"))
+    found = cut(both.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())
+    while not both.isEmpty():
+        hooks = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("hook")))
+        onward = hooks.select(F.col("u").alias("hook"), F.col("hook").alias("next"))
+        hooks = cut(hooks.join(onward, "hook").select("u", F.col("next").alias("hook")))
+        found = cut(
+            found.join(hooks.withColumnRenamed("u", "component"), "component", "left").select("node", F.coalesce("hook", "component").alias("component"))
+        )
+        left = both.join(hooks, "u").select(F.col("hook").alias("a"), "v")
+        right = hooks.select(F.col("u").alias("v"), F.col("hook").alias("b"))
+        both = cut(left.join(right, "v").where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
+    return found
