@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -34,8 +35,8 @@ from driftloom.storage import cut
 WORD = re.compile(r"[^\W_]+(?:[@$!*]+[^\W_]+)*")
 #: Labelled rows used for fitting, at most.
 FIT_ROWS = 30_000
-#: Terms looked at more closely, at most: those of the largest support.
-CANDIDATES = 3_000
+#: Terms this many times as frequent in toxic as in other texts make the lexicon.
+LIFT = 20
 STEM = (4, 7)
 
 # fixed values: words that report what others said
@@ -267,36 +268,31 @@ def _lexicon(sample: DataFrame, toxic: int, others: int) -> list[Term]:
         .agg(F.countDistinct("left").alias("support"), F.countDistinct("word").alias("words"))
     )
     least = max(3, round(0.005 * toxic))
-    candidates = (
-        support.where((F.col("support") >= least) & (~F.col("stem") | ((F.col("words") >= 5) & (F.col("words") >= 0.1 * F.col("support")))))
-        .orderBy(F.desc("support"), "term", "stem")
-        .limit(CANDIDATES)
-        .collect()
-    )
-    whole = {r.term for r in candidates if not r.stem}
-    stems = {r.term for r in candidates if r.stem}
+    candidates = support.where((F.col("support") >= least) & (~F.col("stem") | ((F.col("words") >= 5) & (F.col("words") >= 0.1 * F.col("support")))))
 
     def uses():
         def step(batch: pa.RecordBatch) -> dict:
             counts: dict[tuple[str, bool], int] = {}
             for text in texts_of(batch):
-                for word in WORD.findall(text.lower()):
-                    if word in whole:
-                        counts[word, False] = counts.get((word, False), 0) + 1
+                for word, n in Counter(w for w in WORD.findall(text.lower()) if len(w) >= STEM[0]).items():
+                    counts[word, False] = counts.get((word, False), 0) + n
                     for k in range(STEM[0], min(STEM[1], len(word) - 1) + 1):
-                        if word[:k] in stems:
-                            counts[word[:k], True] = counts.get((word[:k], True), 0) + 1
+                        counts[word[:k], True] = counts.get((word[:k], True), 0) + n
             return {"term": pa.array([t for t, _ in counts], pa.string()), "stem": pa.array([s for _, s in counts], pa.bool_()), "n": pa.array(list(counts.values()), pa.int64())}
 
         return step
 
     used = map_batches(sample.where("label <> 1"), ["text"], "term string, stem boolean, n bigint", uses).groupBy("term", "stem").agg(F.sum("n").alias("n"))
-    clean = {(r.term, r.stem): r.n for r in used.collect()}
-    lift = {(r.term, r.stem): (r.support / toxic) / ((clean.get((r.term, r.stem), 0) + 0.5) / others) for r in candidates}
+    value = (F.col("support") / toxic) / ((F.coalesce("n", F.lit(0)) + 0.5) / others)
+    # terms of a bounded sample, and of those only what the lexicon may take
+    lifted = candidates.join(used, ["term", "stem"], "left").withColumn("lift", value).where(F.col("lift") >= LIFT).select("term", "stem", "lift").collect()
     chosen: list[Term] = []
-    for (text, stem), value in sorted(lift.items(), key=lambda x: (len(x[0][0]), not x[0][1], x[0][0])):
-        if value >= 20 and not any(t.stem and text.startswith(t.text) for t in chosen):
-            chosen.append(Term(text, stem, min(1.0, math.log(value) / math.log(300))))
+    stems: set[str] = set()
+    for r in sorted(lifted, key=lambda r: (len(r.term), not r.stem, r.term)):
+        if stems.isdisjoint(r.term[:k] for k in range(STEM[0], STEM[1] + 1)):
+            chosen.append(Term(r.term, r.stem, min(1.0, math.log(r.lift) / math.log(300))))
+            if r.stem:
+                stems.add(r.term)
     return chosen
 
 

@@ -67,6 +67,15 @@ def test_toxic_terms_are_learnt(spark, documents, labels):
     assert wrong <= 6 and out[900] >= 0.5 and out[901] == out[902] < 0.5
 
 
+def test_rare_toxic_terms_are_learnt_among_many_harmless_ones(spark, documents, labels):
+    rng = random.Random(4)
+    words = sorted({"".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(3500)})
+    mixed = lambda: rng.sample(words, len(words))
+    rows = [(i, " ".join(mixed())) for i in range(6)] + [(10 + i, " ".join([*mixed(), "vermin"] if i < 3 else mixed())) for i in range(6)] + [(100 + i, f"calm {i}") for i in range(60)]
+    model = toxicity.learn(documents(rows), labels([(i, 1, int(10 <= i < 20)) for i, _ in rows]), F.lit(True))
+    assert {t.text for t in model.terms} == {"vermin"}
+
+
 def test_without_labels_and_odd_rows(spark, documents, labels):
     docs, none = documents(ODD), labels([])
     tox = toxicity.score_toxicity(docs, toxicity.learn(docs, none, F.lit(True))).collect()
