@@ -102,6 +102,25 @@ def test_passages_with_replaced_words(spark, documents):
     assert decontaminate.find_passages(docs, bench.limit(0)).count() == 0 and decontaminate.find_passages(documents([]), bench).count() == 0
 
 
+def test_excerpts_and_cut_items_are_found(spark, documents):
+    rng = random.Random(12)
+    words = lambda n: ["".join(rng.choices("abcdefghij", k=5)) for _ in range(n)]
+    long, longest, broken, short, third = (words(n) for n in (64, 500, 45, 20, 64))
+    weak = [w if i in (0, 1, 3, 4, 6, 7, 9, 11) else "zz" for i, w in enumerate(short[:12])]
+    rows = [
+        (1, [*words(30), *long[20:45], *words(30)]),
+        (2, [*words(30), *longest[100:250], *words(30)]),
+        (3, [*words(9), *broken[:15], "xx", *broken[15:30], "yy", *broken[30:], *words(9)]),
+        (4, [*words(20), *weak, *words(20)]),
+        (5, [*words(20), *(w if i % 5 else "zz" for i, w in enumerate(third)), *words(20)]),
+        (6, [*words(20), *long[:8], *words(20)]),
+        (7, [*words(20), *broken[:10], "xx", *broken[11:14], *words(20), *broken[20:33], *words(20)]),
+    ]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate((long, longest, broken, short, third))], "item_id long, text string")
+    found = decontaminate.find_passages(documents([(i, " ".join(w)) for i, w in rows]), bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.matched, r.at) for r in found) == [(1, 0, 25, 10), (2, 1, 150, -70), (3, 2, 45, 9), (5, 4, 51, 20), (7, 2, 26, 20)]
+
+
 def test_seeds_join_without_broadcast(spark, documents, monkeypatch):
     monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", 0)
     text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
