@@ -64,7 +64,11 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_train_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a folder of its own for each run, so that the shards are written each time
     folder = f"{shared_folder(spark)}/train_order/{uuid.uuid4().hex}"
-    return train_order.write_shards(table(spark, sf_dir, "documents"), folder if "://" in folder or folder.startswith("file:") else f"file://{folder}", key=2024)
+    folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+    encoded = bpe.encode(spark, table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    # encoded once: the ids are read twice, to count and to cut
+    train_order.packed_ids(encoded).write.parquet(f"{folder}/ids")
+    return train_order.write_shards(spark.read.parquet(f"{folder}/ids"), f"{folder}/shards", key=2024)
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

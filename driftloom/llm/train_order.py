@@ -1,7 +1,9 @@
 """Token sequences in training order: binary shards of fixed stride in a keyed random order.
 
-Texts become token ids, one byte each (the UTF-8 bytes), cut into sequences of a fixed length, the last
-one of a text filled up with zeros. Sequences are numbered without gaps in the order of the table, and a
+Token ids of a vocabulary, two bytes each (little-endian), are taken from a column ``tokens``
+(:func:`packed_ids`) and cut into sequences of a fixed length, the last one of a text filled up with
+``PAD``, which is no id. Tables without that column have the UTF-8 bytes of ``text`` as ids, one byte each,
+filled up with zeros. Sequences are numbered without gaps in the order of the table, and a
 keyed permutation gives each number its global slot: a Feistel network over the next even power of two,
 walked along its cycle until it lands below the number of sequences. The permutation needs no state, can
 be undone, and costs the same on any slice.
@@ -11,7 +13,7 @@ sequence ``s`` begins at byte ``(s - first) * stride``. A shard is written to a
 renamed when whole, so a lost executor leaves nothing half done and a second attempt writes the same
 bytes. A shard that is already there in its full size is not written again.
 
-Null and empty texts have one sequence of zeros with no tokens, so that every row has a slot. Long texts
+Null and empty texts have one sequence of filling with no tokens, so that every row has a slot. Long texts
 have as many sequences as they need. Repeated rows have slots of their own. An empty table gives no rows
 and no files.
 """
@@ -29,10 +31,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftloom.llm.common import _slices
+from driftloom.llm.common import _slices, map_batches
 
-#: Bytes of a sequence, and sequences of a shard (32 MB).
+#: Ids of a sequence, and sequences of a shard (32 MB for each byte of an id).
 STRIDE, PER_SHARD = 512, 65_536
+#: Bytes of a vocabulary's id, and the id that fills up sequences.
+ID_BYTES, PAD = 2, 0xFFFF
 ROUNDS = 4
 
 
@@ -86,22 +90,49 @@ def _counts(data: list[bytes], stride: int) -> np.ndarray:
 
 
 def _raw(batch: pa.RecordBatch) -> list[bytes]:
+    if "tokens" in batch.schema.names:
+        return [t or b"" for t in batch.column("tokens").to_pylist()]
     return [(t or "").encode() for t in batch.column("text").to_pylist()]
 
 
+def id_bytes(docs: DataFrame) -> int:
+    return ID_BYTES if "tokens" in docs.columns else 1
+
+
+def packed_ids(encoded: DataFrame) -> DataFrame:
+    """(doc_id, tokens): ``token_ids`` as little-endian numbers of two bytes; larger ids are an error."""
+
+    def work():
+        def step(batch: pa.RecordBatch) -> dict:
+            packed = []
+            for ids in batch.column("token_ids"):
+                found = np.zeros(0, np.int64) if ids.values is None else ids.values.to_numpy(zero_copy_only=False)
+                if len(found) and not 0 <= found.min() <= found.max() < PAD:
+                    raise ValueError(f"ids of {ID_BYTES} bytes must be below {PAD}")
+                packed.append(found.astype("<u2").tobytes())
+            return {"doc_id": batch.column("doc_id"), "tokens": pa.array(packed, pa.binary())}
+
+        return step
+
+    return map_batches(encoded, ["doc_id", "token_ids"], f"doc_id {dict(encoded.dtypes)['doc_id']}, tokens binary", work)
+
+
 def sequences(docs: DataFrame, key: int, stride: int = STRIDE) -> tuple[DataFrame, int]:
     """(slot, number, doc_id, part, n_tokens, tokens) of every sequence, and how many there are.
 
     ``docs`` must give the same rows in the same partitions each time it is read, as a written table
     does: the first pass counts the sequences of each partition, the second numbers them from there.
+    ``stride`` and ``n_tokens`` count ids.
     """
     kind = dict(docs.dtypes)["doc_id"]
+    width = id_bytes(docs)
+    stride *= width
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = sum(int(_counts(_raw(part), stride).sum()) for b in batches for part in _slices(b))
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([n])], names=["p", "n"])
 
-    texts = docs.select("doc_id", "text")
+    texts = docs.select("doc_id", "tokens" if width > 1 else "text")
     # one number for each partition of the table, as many as Spark's own list of its tasks
     found = dict(texts.mapInArrow(count, "p bigint, n bigint").collect())
     sizes = np.zeros(max(found, default=-1) + 2, np.int64)
@@ -121,7 +152,7 @@ def sequences(docs: DataFrame, key: int, stride: int = STRIDE) -> tuple[DataFram
             owner = np.repeat(np.arange(len(data)), counts)
             part = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
             cut = [data[o][p * stride : (p + 1) * stride] for o, p in zip(owner.tolist(), part.tolist(), strict=True)]
-            columns = [feistel_slots(numbers, total, key), numbers, batch.column("doc_id").take(pa.array(owner)), part, [len(c) for c in cut], pa.array(cut, pa.binary())]
+            columns = [feistel_slots(numbers, total, key), numbers, batch.column("doc_id").take(pa.array(owner)), part, [len(c) // width for c in cut], pa.array(cut, pa.binary())]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns], names=names)
 
     return texts.mapInArrow(cut_up, f"slot bigint, number bigint, doc_id {kind}, part bigint, n_tokens bigint, tokens binary"), total
@@ -138,6 +169,8 @@ def write_shards(docs: DataFrame, folder: str, key: int, stride: int = STRIDE, p
     files are there once the index has been computed; computing it again finds them and does not write.
     """
     rows, total = sequences(docs, key, stride)
+    width = id_bytes(docs)
+    stride, filling = stride * width, b"\0" if width == 1 else b"\xff"
     shards = max(1, -(-total // per_shard))
     # a task writes a run of whole shards
     tasks = min(shards, max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
@@ -172,7 +205,7 @@ def write_shards(docs: DataFrame, folder: str, key: int, stride: int = STRIDE, p
                         temporary = f"{root}/.{shard_name(shard)}.{uuid.uuid4().hex}"
                         stream = files.open_output_stream(temporary)
                 if stream is not None:
-                    stream.write(b"".join(d.ljust(stride, b"\0") for d in data[start:end]))
+                    stream.write(b"".join(d.ljust(stride, filling) for d in data[start:end]))
             offset = (batch.column("slot").to_numpy() - of * per_shard) * stride
             columns = {"offset": pa.array(offset), "crc32": pa.array([zlib.crc32(d) for d in data], pa.int64())}
             yield pa.RecordBatch.from_arrays([columns.get(n) if n in columns else batch.column(n) for n in names], names=names)
@@ -182,7 +215,7 @@ def write_shards(docs: DataFrame, folder: str, key: int, stride: int = STRIDE, p
 
 
 def read_sequences(folder: str, first: int, count: int, stride: int = STRIDE, per_shard: int = PER_SHARD) -> Iterator[bytes]:
-    """``count`` sequences from slot ``first`` on, as a trainer resumes: a seek, then sequential reads."""
+    """``count`` sequences of ``stride`` bytes from slot ``first`` on, as a trainer resumes: a seek, then sequential reads."""
     files, root = pyarrow.fs.FileSystem.from_uri(folder)
     while count > 0:
         shard, at = divmod(first, per_shard)

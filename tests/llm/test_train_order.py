@@ -4,8 +4,10 @@ import os
 import zlib
 
 import numpy as np
+import public_tokenizers
 
-from driftloom.llm import train_order
+from driftloom.llm import bpe, train_order
+from driftloom.llm.queries import RANKS, op5_train_order
 from tests.llm.conftest import ODD
 
 
@@ -51,3 +53,17 @@ def test_no_rows(spark, documents, tmp_path):
     path = str(tmp_path / "docs")
     documents([]).write.parquet(path)
     assert train_order.write_shards(spark.read.parquet(path), f"file://{tmp_path}/out", key=1).count() == 0
+
+
+def test_query_writes_ids_of_the_vocabulary(spark, sf):
+    index = sorted(op5_train_order(spark, sf).collect(), key=lambda r: r.slot)
+    root = os.path.join(spark.conf.get("spark.checkpoint.dir"), "train_order")
+    folder = os.path.join(root, max(os.listdir(root), key=lambda f: os.stat(os.path.join(root, f)).st_mtime), "shards")
+    encoded = bpe.encode(spark, spark.read.parquet(f"{sf}/documents.parquet"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    ids = {r.doc_id: r.token_ids for r in encoded.collect()}
+    read = train_order.read_sequences(f"file://{folder}", 0, len(index), 2 * train_order.STRIDE)
+    for r, data in zip(index, read, strict=True):
+        found = np.frombuffer(data, "<u2").tolist()
+        assert found[: r.n_tokens] == ids[r.doc_id][r.part * train_order.STRIDE :][: train_order.STRIDE]
+        assert set(found[r.n_tokens :]) <= {train_order.PAD}
+    assert sum(r.n_tokens for r in index) == sum(map(len, ids.values()))
