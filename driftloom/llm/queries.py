@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftloom.llm import bpe, decontaminate, jaccard, language, quality, secret_scan, shards, topk, toxicity, train_order
+from driftloom.llm import bpe, decontaminate, fill_middle, jaccard, language, quality, secret_scan, shards, topk, toxicity, train_order
 from driftloom.llm.common import remainder, table
 from driftloom.storage import shared_folder
 
@@ -105,6 +105,38 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "good_lines")
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.concat(F.lit("1:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    cut = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"), key)
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    again = fill_middle.restored(F.col("output"), F.col("form"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(again).alias("restored_sha256"))
+
+
+OP13_SQL = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), drawn AS (
+  SELECT doc_id, t, length(t) AS n,
+    CAST('0x' || h[1:8] AS BIGINT) % (length(t) + 1) AS a, CAST('0x' || h[9:16] AS BIGINT) % (length(t) + 1) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+           OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 90 THEN 'plain'
+         WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM d
+), cut AS (
+  SELECT doc_id, t, n, form, least(a, b) AS i, greatest(a, b) AS j,
+    substring(t, 1, least(a, b)) AS p, substring(t, least(a, b) + 1, greatest(a, b) - least(a, b)) AS m, substring(t, greatest(a, b) + 1) AS s
+  FROM drawn
+)
+SELECT doc_id, n, form,
+  CASE WHEN form <> 'plain' THEN i END AS prefix_chars, CASE WHEN form <> 'plain' THEN j - i END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                   ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM cut
+"""
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_top_products": op2_top_products,
@@ -116,5 +148,6 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_decontaminate": op9_decontaminate,
     "op10_quality": op10_quality,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
-ORACLE = {"op2_top_products": OP2_SQL}
+ORACLE = {"op2_top_products": OP2_SQL, "op13_fill_in_middle": OP13_SQL}
