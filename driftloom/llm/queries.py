@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftloom.llm import bpe, decontaminate, fill_middle, jaccard, language, quality, secret_scan, shards, topk, toxicity, train_order
+from driftloom.llm import bpe, decontaminate, divergence, fill_middle, jaccard, language, quality, secret_scan, shards, topk, toxicity, train_order
 from driftloom.llm.common import remainder, table
 from driftloom.storage import shared_folder
 
@@ -105,6 +105,52 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "good_lines")
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents
+), tok AS (
+  SELECT r, lang, source, translate(unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d
+), per_doc AS (
+  SELECT r, lang, source, term, count(*) AS n FROM tok GROUP BY ALL
+), kept AS (
+  SELECT lang, term FROM per_doc GROUP BY ALL HAVING count(*) >= 10
+), v AS (
+  SELECT lang, count(*) AS v FROM kept GROUP BY lang
+), g AS (
+  SELECT DISTINCT d.lang, d.source, coalesce(v.v, 0) AS v FROM d LEFT JOIN v ON v.lang = d.lang
+), c AS (
+  SELECT lang, source, term, sum(n)::HUGEINT AS c FROM per_doc SEMI JOIN kept USING (lang, term) GROUP BY ALL
+), n AS (
+  SELECT lang, source, sum(c)::HUGEINT AS n FROM c GROUP BY ALL
+), p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c,
+    1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 2)) // (coalesce(n.n, 0) + 2 * g.v) AS p
+  FROM g JOIN kept k ON k.lang = g.lang
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+  LEFT JOIN n ON n.lang = g.lang AND n.source = g.source
+), q AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(c)::HUGEINT + 2)) // (sum(sum(c)::HUGEINT) OVER (PARTITION BY lang)::HUGEINT + 2 * max(v.v)) AS q
+  FROM c JOIN v USING (lang) GROUP BY lang, term
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item,
+    coalesce((SELECT sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)) FROM p x JOIN p y ON y.lang = x.lang AND y.term = x.term
+              WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+), tops AS (
+  SELECT p.lang, p.source, p.term AS item, (((p.p - q.q) * (p.p - q.q)) // (p.p + q.q))::BIGINT AS value
+  FROM p JOIN q ON q.lang = p.lang AND q.term = p.term WHERE p.c > 0 AND p.p > q.q
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+  FROM (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', item, value FROM tops)
+)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.concat(F.lit("1:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     cut = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"), key)
@@ -148,6 +194,7 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_decontaminate": op9_decontaminate,
     "op10_quality": op10_quality,
+    "op11_divergence": op11_divergence,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
-ORACLE = {"op2_top_products": OP2_SQL, "op13_fill_in_middle": OP13_SQL}
+ORACLE = {"op2_top_products": OP2_SQL, "op11_divergence": OP11_SQL, "op13_fill_in_middle": OP13_SQL}
