@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftloom.llm import bpe, decontaminate, divergence, fill_middle, jaccard, language, quality, secret_scan, shards, topk, toxicity, train_order
+from driftloom.llm import bpe, decontaminate, divergence, fill_middle, html_extract, jaccard, language, quality, secret_scan, shards, topk, toxicity, train_order
 from driftloom.llm.common import remainder, table
 from driftloom.storage import shared_folder
 
@@ -151,6 +151,11 @@ SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR
 """
 
 
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract_main(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.concat(F.lit("1:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     cut = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"), key)
@@ -195,6 +200,7 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_quality": op10_quality,
     "op11_divergence": op11_divergence,
+    "op12_main_text": op12_main_text,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 ORACLE = {"op2_top_products": OP2_SQL, "op11_divergence": OP11_SQL, "op13_fill_in_middle": OP13_SQL}
