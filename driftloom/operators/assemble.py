@@ -178,7 +178,7 @@ def cyclic_draw(requests: DataFrame, pool: DataFrame, seed: Column | int, run: s
         "_h", hash60(seed, F.col("category"), F.col("draw_pass"), F.col("doc_key"))
     )
     shuffled = dense_position(
-        again, [*keys, "draw_pass"], "_h", "draw_pos", tiebreak=["doc_key"], block=F.shiftright("_h", 44)
+        again, [*keys, "draw_pass"], "_h", "draw_pos", tiebreak=["doc_key"]
     )
     seat = [*keys, "draw_pass", "draw_pos"]
     deck = first.select(*seat, "doc_key").unionByName(shuffled.select(*seat, "doc_key"))

@@ -271,7 +271,7 @@ def positions_by(df: DataFrame, stream: str, order, vec: str, seq: str) -> DataF
 def null_trials(df: DataFrame, vec: str, key: str, reference: int, current: int, seed: int = 12345) -> DataFrame:
     """Every vector once, in hash order, cut into trials of a reference and a batch: no drift."""
     hashed = df.select(F.col(key).cast("long").alias("seq"), F.col(vec).alias("vec"), hash60(seed, F.col(key)).alias("_h"), F.lit(0).alias("_one"))
-    placed = dense_position(hashed, ["_one"], "_h", "_p", tiebreak=["seq"], block=F.shiftright("_h", 44))
+    placed = dense_position(hashed, ["_one"], "_h", "_p", tiebreak=["seq"])
     size = reference + current
     return placed.select(
         F.floor(F.col("_p") / size).cast("string").alias("stream_id"), (F.col("_p") % size).alias("pos"), "seq", "vec"

@@ -81,7 +81,7 @@ def vocabulary(df: DataFrame, text: str) -> DataFrame:
     """Distinct words with a dense 0-based rank in hash order (no global sort)."""
     words = df.select(F.explode(F.split(F.col(text), " ")).alias("word")).where("word <> ''").distinct()
     hashed = words.withColumns({"_h": hash60("vocabulary", F.col("word")), "_one": F.lit(1)})
-    ranked = dense_position(hashed, ["_one"], "_h", "word_rank", tiebreak=["word"], block=F.shiftright("_h", 44))
+    ranked = dense_position(hashed, ["_one"], "_h", "word_rank", tiebreak=["word"])
     return ranked.select("word_rank", "word")
 
 

@@ -198,7 +198,6 @@ def _take_turns(shared: DataFrame) -> DataFrame:
         [RUN, "cluster", "_view"],
         "window_end",
         {"_rank": ("sum", F.lit(1).cast("long"))},
-        block_bits=27,
     )
     able = ranked.where(F.col("_rank") <= F.size("choices"))
 

@@ -1,27 +1,71 @@
 """Ordered operators that never put a whole key into one task.
 
 A plain ``Window.partitionBy(key).orderBy(seq)`` sorts every row of a key in one task, so a
-stream holding a third of all rows becomes one straggler. Here a key is cut into blocks that are
-a function of the order column (``seq >> 17``: at most 131,072 distinct positions each). Block
-totals come back as one extra row in front of each block. They are cut into blocks in turn (of at most
-2^23 totals), and so are theirs: where numbers are sparse (hashes, times) and each row is a block of
-its own, no task sees more of a key than where they are dense.
+stream holding a third of all rows becomes one straggler. Here a large key is cut into ranges of its
+order column at borders taken from a sample, about as many ranges as there are shuffle partitions in
+all, each key as many as its share. Each range is scanned on its own, in one exchange, and what its key
+has gathered before it is carried over: one row for each range, sent to all tasks. Borders decide where
+a row is worked on and never what it gets. Rows of one key and equal order stay together.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-BLOCK_BITS = 17
-#: Bits of the blocks of totals. With two levels, 17 + 23 + 23 bits cover every non-negative long.
-TOTALS_BITS = 23
-_ORD, _FRONT = "_ord", "_front"
+#: Sampled rows for each range; the ranges of a key are even to about one in the root of this.
+OVERSAMPLE = 20
+_ORD, _BORDERS, _RANGE = "_ord", "_borders", "_range"
 _FOLDS = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
+def _combined(fold: str, before: Column, here: Column) -> Column:
+    if fold == "sum":
+        return F.coalesce(before + here, before, here)
+    return F.greatest(before, here) if fold == "max" else F.least(before, here)
+
+
+def _with(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Join with a small table by keys that may be null; its key columns go."""
+    small = right.select(*[F.col(k).alias(f"_of_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
+    return left.join(F.broadcast(small), same, how).drop(*[f"_of_{k}" for k in keys])
+
+
+def range_borders(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame | None:
+    """(keys, borders): where the ranges of large keys begin; None if no key is cut.
+
+    Reads the keys and the order column twice, to count and to sample. The borders number about
+    ``spark.sql.shuffle.partitions`` over all keys, and so do the rows of this table at most.
+    """
+    spark, slim = df.sparkSession, df.select(*keys, order)
+    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    share = wanted * OVERSAMPLE / max(1, slim.count())
+    sampled: dict[tuple, list[int]] = defaultdict(list)
+    for row in (slim if share >= 1 else slim.where(F.rand(17) < share)).where(F.col(order).isNotNull()).collect():
+        sampled[tuple(row[:-1])].append(row[-1])
+    step = max(1, sum(map(len, sampled.values())) // wanted)
+    rows = [(*key, sorted({sorted(seen)[k] for k in range(step, len(seen), step)})) for key, seen in sampled.items() if len(seen) > step]
+    if not rows:
+        return None
+    kinds = [StructField(k, df.schema[k].dataType) for k in keys]
+    return spark.createDataFrame(rows, StructType([*kinds, StructField(_BORDERS, ArrayType(LongType()))]))
+
+
+def _range_of(order: Column, borders: Column) -> Column:
+    """How many borders lie at or below ``order``, by halving steps; 0 without borders."""
+    steps = F.array(*[F.lit(1 << k) for k in range(20, -1, -1)])
+    ahead = lambda at, step: (at + step <= F.size(borders)) & (F.get(borders, at + step - 1) <= order)
+    found = F.aggregate(steps, F.lit(0), lambda at, step: F.when(ahead(at, step), at + step).otherwise(at))
+    return F.when(borders.isNull(), 0).otherwise(found)
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
@@ -32,49 +76,38 @@ def running(
     inclusive: bool = True,
     peers: bool = False,
     descending: bool = False,
-    block: Column | None = None,
-    block_bits: int = BLOCK_BITS,
-    levels: int = 2,
 ) -> DataFrame:
-    """Running ``sum``/``max``/``min`` per key in the order of a long column.
+    """Running ``sum``/``max``/``min`` per key in the order of a long column, several in one pass.
 
     ``values`` maps an output name to ``(fold, expression)``. ``max`` over a struct that starts with
     the order column gives "last known value". With ``peers`` rows of equal order see each other.
-    ``block`` may be given where the order is not dense (for example the top bits of a hash); it
-    must not decrease with the order. ``levels`` beyond the first cut the block totals in turn.
+    The plan reads ``df`` once and exchanges it once; the sums of the ranges are made before, from the
+    keys that are cut and the columns they need.
     """
+    keys, spark = list(keys), df.sparkSession
     ordc = F.col(order) if isinstance(order, str) else order
     ordc = (-ordc if descending else ordc).cast("long")
-    blk = F.shiftright(ordc, block_bits) if block is None else (-block if descending else block)
-    keys, blk_name = list(keys), f"_blk{levels}"
     tagged = df.withColumns({_ORD: ordc, **{f"_v_{n}": c for n, (_, c) in values.items()}})
-    tagged = tagged.withColumn(_FRONT, F.lit(1))
-    if levels > 0:
-        tagged = tagged.withColumn(blk_name, blk.cast("long"))
-        totals = tagged.groupBy(*keys, blk_name).agg(
-            *[_FOLDS[f](f"_v_{n}").alias(f"_v_{n}") for n, (f, _) in values.items()]
-        )
-        fronts = running(
-            totals,
-            keys,
-            blk_name,
-            {f"_c_{n}": (f, F.col(f"_v_{n}")) for n, (f, _) in values.items()},
-            inclusive=False,
-            block_bits=TOTALS_BITS,
-            levels=levels - 1,
-        )
-        fronts = fronts.select(
-            *keys, blk_name, F.lit(0).alias(_FRONT), *[F.col(f"_c_{n}").alias(f"_v_{n}") for n in values]
-        )
-        tagged = tagged.unionByName(fronts, allowMissingColumns=True)
-    part = [*keys, blk_name] if levels > 0 else keys
-    spec = Window.partitionBy(*part).orderBy(_FRONT, _ORD, *([] if peers else tiebreak))
+    borders = range_borders(tagged, keys, _ORD)
+    rows = tagged.withColumn(_RANGE, F.lit(0))
+    before = None
+    if borders is not None:
+        at = _range_of(F.col(_ORD), F.col(_BORDERS)).alias(_RANGE)
+        rows = _with(tagged, borders, keys, "left").select(*tagged.columns, at)
+        cut_keys = _with(tagged.select(*keys, _ORD, *[f"_v_{n}" for n in values]), borders, keys, "inner").withColumn(_RANGE, at)
+        totals = cut_keys.groupBy(*keys, _RANGE).agg(*[_FOLDS[f](f"_v_{n}").alias(f"_v_{n}") for n, (f, _) in values.items()])
+        earlier = Window.partitionBy(*keys).orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
+        carried = totals.select(*keys, _RANGE, *[_FOLDS[f](f"_v_{n}").over(earlier).alias(f"_c_{n}") for n, (f, _) in values.items()])
+        carried = carried.where(F.col(_RANGE) > 0)
+        before = spark.createDataFrame(carried.collect(), carried.schema)  # no more rows than there are borders
+    spec = Window.partitionBy(*keys, _RANGE).orderBy(_ORD, *([] if peers else tiebreak))
     first = Window.unboundedPreceding
     frame = spec.rangeBetween(first, 0) if peers else spec.rowsBetween(first, 0 if inclusive else -1)
-    out = tagged.withColumns({n: _FOLDS[f](f"_v_{n}").over(frame) for n, (f, _) in values.items()})
-    if levels > 0:
-        out = out.where(F.col(_FRONT) == 1)
-    return out.drop(_ORD, _FRONT, blk_name, *[f"_v_{n}" for n in values])
+    out = rows.withColumns({n: _FOLDS[f](f"_v_{n}").over(frame) for n, (f, _) in values.items()})
+    if before is not None:
+        out = _with(out, before, [*keys, _RANGE], "left")
+        out = out.withColumns({n: _combined(f, F.col(f"_c_{n}"), F.col(n)) for n, (f, _) in values.items()}).drop(*[f"_c_{n}" for n in values])
+    return out.drop(_ORD, _RANGE, *[f"_v_{n}" for n in values])
 
 
 def dense_position(
