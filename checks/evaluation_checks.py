@@ -56,19 +56,28 @@ def versions(base):
     return cut(sent.withColumn("doc_count", F.col("document_count")))
 
 
-def inputs(spark, sf, variants):
-    """Labelled documents, batch ends and raw alerts of all variants."""
-    base = runs(spark, sf)
-    docs = _variants(base.select("run_id", "seq", "is_drift", "drift_start", "drift_type", "ts"), variants)
-    sent = _variants(versions(base), variants)
-    ends = sent.select("run_id", "window_end", "doc_count", F.col("seq").alias("arrival"), F.col("seq").alias("max_seq"))
+def _labelled(base):
+    return base.select("run_id", "seq", "is_drift", "drift_start", "drift_type", "ts")
+
+
+def _ends(sent):
+    return sent.select("run_id", "window_end", "doc_count", F.col("seq").alias("arrival"), F.col("seq").alias("max_seq"))
+
+
+def _alerts(sent):
     limit = 60 + F.col("n") / 5 + F.when(F.col("detector") == "padd", 40).otherwise(0)
     odd = F.when(F.col("event_id") % 3 == 0, 1000).otherwise(0)
-    alerts = sent.where(F.col("value") > limit).select(
+    return sent.where(F.col("value") > limit).select(
         "run_id", "detector", "window_end", (F.col("doc_count") + odd).alias("doc_count"),
         (F.col("ts") + 250).alias("detected_at"), F.col("seq").alias("arrival"),
     )
-    return docs.drop("detector", "n"), ends, alerts
+
+
+def inputs(spark, sf, variants):
+    """Labelled documents, batch ends and raw alerts of all variants."""
+    base = runs(spark, sf)
+    sent = _variants(versions(base), variants)
+    return _variants(_labelled(base), variants).drop("detector", "n"), _ends(sent), _alerts(sent)
 
 
 def located(spark, sf, variants=ONE):
@@ -77,8 +86,13 @@ def located(spark, sf, variants=ONE):
 
 
 def results(spark, sf, variants=ALL, params=PARAMS):
-    docs, alerts = located(spark, sf, variants)
-    return ev.evaluate(docs, alerts, params)
+    """All variants over the documents and batches of their base runs, which come once."""
+    base = runs(spark, sf)
+    sent = versions(base)
+    of_base = cut(_variants(base.select("run_id").distinct().withColumn("base_id", F.col("run_id")), variants).select("run_id", "base_id"))
+    alerts = ev.unique_alerts(_alerts(_variants(sent, variants)), "arrival").join(of_base, "run_id")
+    found = ev.window_end_seq(alerts, _ends(sent), "arrival", "base_id").drop("base_id")
+    return ev.evaluate(_labelled(base), cut(found), params, of_base)
 
 
 def v1(spark, sf):
@@ -220,6 +234,23 @@ def _sql(select: str, variants=ONE, p=PARAMS) -> str:
     return f"WITH {evaluation_sql(variants, p)} {select}"
 
 
+def _in_turns(p) -> str:
+    """Alerts that take turns, each with the list of events taken before it."""
+    return f"""WITH RECURSIVE {evaluation_sql(ONE, p)},
+seen AS MATERIALIZED (SELECT run_id, window_end, wes, detected_at, row_number() OVER (PARTITION BY run_id ORDER BY window_end) AS turn, ev FROM (
+  SELECT a.run_id, a.window_end, any_value(a.wes) AS wes, any_value(a.detected_at) AS detected_at,
+    list(e.first_seq ORDER BY CASE WHEN a.wes BETWEEN e.start_seq AND e.end_seq THEN 0 ELSE least(abs(a.wes - e.start_seq), abs(a.wes - e.end_seq)) END, e.first_seq) AS ev
+  FROM evt e JOIN al a ON a.run_id = e.run_id AND a.wes BETWEEN e.start_seq AND e.match_deadline GROUP BY a.run_id, a.window_end)),
+turns(run_id, turn, taken, pick) AS (
+  SELECT DISTINCT run_id, 0::BIGINT, []::BIGINT[], NULL::BIGINT FROM seen
+  UNION ALL
+  SELECT t.run_id, t.turn + 1, list_concat(t.taken, list_filter(s.ev, lambda x: NOT list_contains(t.taken, x))[1:1]), list_filter(s.ev, lambda x: NOT list_contains(t.taken, x))[1]
+  FROM turns t JOIN seen s ON s.run_id = t.run_id AND s.turn = t.turn + 1),
+won AS (SELECT t.run_id, t.pick, s.window_end, s.wes, s.detected_at FROM turns t JOIN seen s USING (run_id, turn) WHERE t.pick IS NOT NULL)
+SELECT e.run_id, first_seq, start_seq, end_seq, type, w.window_end IS NOT NULL AS matched, w.window_end, w.wes - start_seq AS latency_docs, w.detected_at - start_ts AS latency_ms
+FROM evt e LEFT JOIN won w ON w.run_id = e.run_id AND w.pick = e.first_seq"""
+
+
 def _res(*names: str) -> str:
     whole = ("tp", "fn", "fp")
     return "SELECT run_id, drift_type, " + ", ".join(n if n in whole else f'round("{n}", 6) AS "{n}"' for n in names) + " FROM res"
@@ -237,6 +268,7 @@ FROM ({hop_sql('SELECT *, ts AS ms FROM base')}) GROUP BY ALL""",
     "v5_sequence_states": _sql("SELECT run_id, seq, state FROM st"),
     "v6_baseline_counts": _sql("SELECT * FROM tot"),
     "v7_match_alerts": _sql("SELECT run_id, first_seq, start_seq, end_seq, type, matched, window_end, latency_docs, latency_ms FROM mat"),
+    "v7_match_overlapping": _in_turns(WIDE),
     "v8_false_positives": _sql("SELECT * FROM fpos"),
     "v9_interval_distance": _sql("""SELECT e.run_id, a.window_end, e.first_seq, CASE WHEN wes BETWEEN start_seq AND end_seq THEN 0.0::DOUBLE
   ELSE least(abs(wes - start_seq), abs(wes - end_seq))::DOUBLE END AS distance FROM evt e JOIN al a ON a.run_id = e.run_id AND wes BETWEEN start_seq AND match_deadline"""),

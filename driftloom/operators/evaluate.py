@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,16 +58,17 @@ def batch_ends(exploded: DataFrame, arrival: str, batch: str | None = None) -> D
     return exploded.groupBy(*by, batch).agg(F.min(arrival).alias(arrival), largest).drop(batch)
 
 
-def window_end_seq(alerts: DataFrame, batches: DataFrame, arrival: str) -> DataFrame:
+def window_end_seq(alerts: DataFrame, batches: DataFrame, arrival: str, base: str = RUN) -> DataFrame:
     """Alerts with the sequence number their window ended at.
 
     The batch of equal end and count decides (the last one); where there is none, the first batch
-    of equal end does. Both look-ups are unique on their keys.
+    of equal end does. Both look-ups are unique on their keys. ``base`` is the column of ``alerts`` that
+    names the run of ``batches``.
     """
-    known = batches.where("window_end is not null and window_end <> 0")
-    exact = known.groupBy(RUN, "window_end", "doc_count").agg(F.max_by("max_seq", arrival).alias("_exact"))
-    loose = known.groupBy(RUN, "window_end").agg(F.min_by("max_seq", arrival).alias("_loose"))
-    both = alerts.join(fresh(exact), [RUN, "window_end", "doc_count"], "left").join(fresh(loose), [RUN, "window_end"], "left")
+    known = batches.where("window_end is not null and window_end <> 0").withColumnRenamed(RUN, base)
+    exact = known.groupBy(base, "window_end", "doc_count").agg(F.max_by("max_seq", arrival).alias("_exact"))
+    loose = known.groupBy(base, "window_end").agg(F.min_by("max_seq", arrival).alias("_loose"))
+    both = alerts.join(fresh(exact), [base, "window_end", "doc_count"], "left").join(fresh(loose), [base, "window_end"], "left")
     return both.withColumn("window_end_seq", F.coalesce("_exact", "_loose")).drop("_exact", "_loose")
 
 
@@ -105,16 +105,13 @@ def drift_events(docs: DataFrame, match_window: int = MATCH_WINDOW) -> DataFrame
 def sequence_states(docs: DataFrame, cooldown: int = COOLDOWN) -> DataFrame:
     """DRIFT, COOLDOWN or BASELINE for each document, and whether it counts as baseline.
 
-    ``k`` is the rank of a non-drift document after the last drift one: its position less that
-    of the last drift document.
+    ``k`` is the rank of a non-drift document after the last drift one.
     """
-    slim = docs.select(RUN, "seq", "is_drift")
-    placed = running(slim, [RUN], "seq", {"_p": ("sum", F.lit(1).cast("long"))})
-    marked = running(placed, [RUN], "seq", {"_d": ("max", F.when(F.col("is_drift"), F.col("_p")))})
-    k = F.col("_p") - F.col("_d")
-    calm = F.col("_d").isNull() | (k >= cooldown)
+    marked = running(docs.select(RUN, "seq", "is_drift"), [RUN], "seq", {"_k": ("since", F.col("is_drift"))})
+    k = F.col("_k")
+    calm = k.isNull() | (k >= cooldown)
     state = F.when(F.col("is_drift"), "DRIFT").when(calm, "BASELINE").otherwise("COOLDOWN")
-    counted = ~F.col("is_drift") & (F.col("_d").isNull() | (k > max(cooldown, 1)))
+    counted = ~F.col("is_drift") & (k.isNull() | (k > max(cooldown, 1)))
     return marked.select(RUN, "seq", "is_drift", state.alias("state"), counted.alias("is_counted"))
 
 
@@ -155,29 +152,24 @@ def candidates(alerts: DataFrame, events: DataFrame, cell: int) -> DataFrame:
 def match_alerts(alerts: DataFrame, events: DataFrame, match_window: int = MATCH_WINDOW) -> DataFrame:
     """Events with the alert that matched them, or null.
 
-    Alerts take turns by window end; each takes the nearest event that is still free. Events whose
-    match intervals overlap form a cluster and clusters are independent. In a cluster of one event
-    the first alert wins, which is an aggregate. In a larger cluster the order matters; there only
-    the first ``c`` alerts that see the same ``c`` events can win one, so the others are left out
-    before the cluster's turn-taking, and a group holds a few rows for each of its events.
+    Alerts take turns by window end; each takes the nearest event that is still free. This is done in
+    rounds of joins, for all runs at once: an alert takes the nearest of its open events as soon as no
+    earlier open alert wants that event too. None of those can take it any more, and nearer ones are
+    gone, so it is what the alert's turn would give. The earliest open alert of every run, and of every
+    group of overlapping events, is always settled; in practice nearly all are within a few rounds.
     """
-    reach = {"_reach": ("max", F.col("match_deadline"))}
-    by_start = {"tiebreak": ["first_seq"]}
-    reached = running(events, [RUN], "start_seq", reach, inclusive=False, **by_start)
-    opens = F.col("_reach").isNull() | (F.col("start_seq") > F.col("_reach"))
-    opened = {"cluster": ("max", F.when(opens, F.struct(F.col("start_seq"), F.col("first_seq"))))}
-    clustered = running(reached, [RUN], "start_seq", opened, **by_start)
-    clustered = clustered.withColumn("cluster", F.col("cluster.first_seq")).drop("_reach")
-    sizes = clustered.groupBy(RUN, "cluster").agg(F.count(F.lit(1)).alias("cluster_size"))
-    sized = clustered.join(fresh(sizes), [RUN, "cluster"])
-
     usable = alerts.where("window_end_seq is not null").select(RUN, "window_end", "window_end_seq", "detected_at")
-    pairs = candidates(usable, sized, max(match_window, 1))
-
-    turn = F.struct("window_end", "window_end_seq", "detected_at")
-    single = pairs.where("cluster_size = 1").groupBy(RUN, "first_seq").agg(F.min(turn).alias("_m"))
-
-    matches = single.select(RUN, "first_seq", "_m.*").unionByName(_take_turns(pairs.where("cluster_size > 1")))
+    open_pairs = cut(candidates(usable, events, max(match_window, 1)).select(RUN, "window_end", "first_seq", "distance"))
+    settled = open_pairs.select(RUN, "window_end", "first_seq").limit(0)
+    while not open_pairs.isEmpty():
+        nearest = open_pairs.groupBy(RUN, "window_end").agg(F.min(F.struct("distance", "first_seq")).alias("_e"))
+        nearest = nearest.select(RUN, "window_end", F.col("_e.first_seq").alias("first_seq"))
+        earliest = open_pairs.groupBy(RUN, "first_seq").agg(F.min("window_end").alias("window_end"))
+        won = cut(nearest.join(fresh(earliest), [RUN, "window_end", "first_seq"]))
+        settled = settled.unionByName(won)
+        free = open_pairs.join(fresh(won.select(RUN, "first_seq")), [RUN, "first_seq"], "left_anti")
+        open_pairs = cut(free.join(fresh(won.select(RUN, "window_end")), [RUN, "window_end"], "left_anti").select(*open_pairs.columns))
+    matches = settled.join(fresh(usable), [RUN, "window_end"])
     out = events.join(fresh(matches), [RUN, "first_seq"], "left")
     verdict = {
         "matched": F.col("window_end").isNotNull(),
@@ -187,46 +179,19 @@ def match_alerts(alerts: DataFrame, events: DataFrame, match_window: int = MATCH
     return cut(out.withColumns(verdict))
 
 
-def _take_turns(shared: DataFrame) -> DataFrame:
-    """Matches within clusters of several events, one alert after the other."""
-    seen = shared.groupBy(RUN, "cluster", "window_end", "window_end_seq", "detected_at").agg(
-        F.array_sort(F.collect_list(F.struct("first_seq", "distance"))).alias("choices")
-    )
-    view = F.md5(F.array_join(F.transform("choices", lambda c: c.first_seq.cast("string")), ","))
-    ranked = running(
-        seen.withColumn("_view", view),
-        [RUN, "cluster", "_view"],
-        "window_end",
-        {"_rank": ("sum", F.lit(1).cast("long"))},
-    )
-    able = ranked.where(F.col("_rank") <= F.size("choices"))
-
-    def serve(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken: set[int] = set()
-        rows = []
-        for a in pdf.sort_values("window_end").itertuples():
-            free = [c for c in a.choices if c["first_seq"] not in taken]
-            if free:
-                best = min(free, key=lambda c: (c["distance"], c["first_seq"]))["first_seq"]
-                taken.add(best)
-                rows.append((a.run_id, best, a.window_end, a.window_end_seq, a.detected_at))
-        return pd.DataFrame(rows, columns=[RUN, "first_seq", "window_end", "window_end_seq", "detected_at"])
-
-    run_type = shared.schema[RUN].dataType.simpleString()
-    return able.groupBy(RUN, "cluster").applyInPandas(
-        serve, f"{RUN} {run_type}, first_seq long, window_end long, window_end_seq long, detected_at long"
-    )
-
+def false_positives(alerts: DataFrame, matched: DataFrame, states: DataFrame, base: str = RUN) -> DataFrame:
+    """Unmatched alerts whose state, as of their last document, is BASELINE (also before any document).
 
-def false_positives(alerts: DataFrame, matched: DataFrame, states: DataFrame) -> DataFrame:
-    """Unmatched alerts whose state, as of their last document, is BASELINE (also before any document)."""
+    ``base`` is the column of ``alerts`` that names the run whose documents ``states`` describes, where
+    several settings share them.
+    """
     winners = matched.where("matched").select(RUN, "window_end")
     open_alerts = alerts.where("window_end_seq is not null").join(fresh(winners), [RUN, "window_end"], "left_anti")
-    points = states.select(RUN, F.col("seq").alias("_at"), "state").unionByName(
-        open_alerts.select(RUN, F.col("window_end_seq").alias("_at"), "window_end"), allowMissingColumns=True
+    points = states.select(F.col(RUN).alias("_base"), F.col("seq").alias("_at"), "state").unionByName(
+        open_alerts.select(F.col(base).alias("_base"), RUN, F.col("window_end_seq").alias("_at"), "window_end"), allowMissingColumns=True
     )
     last = F.when(F.col("state").isNotNull(), F.struct(F.col("_at"), F.col("state").alias("s")))
-    seen = running(points, [RUN], "_at", {"_last": ("max", last)}, peers=True).where("window_end is not null")
+    seen = running(points, ["_base"], "_at", {"_last": ("max", last)}, peers=True).where("window_end is not null")
     state = F.coalesce(F.col("_last.s"), F.lit("BASELINE"))
     return seen.where(state == "BASELINE").select(RUN, "window_end", F.col("_at").alias("window_end_seq"))
 
@@ -320,12 +285,22 @@ def result_rows(matched: DataFrame, fp: DataFrame, totals: DataFrame, p: Evaluat
     )
 
 
-def evaluate(docs: DataFrame, alerts: DataFrame, p: EvaluationParams = EvaluationParams()) -> DataFrame:
-    """Result rows of all runs from unique documents and located, unique alerts."""
+def evaluate(docs: DataFrame, alerts: DataFrame, p: EvaluationParams = EvaluationParams(), runs: DataFrame | None = None) -> DataFrame:
+    """Result rows of all runs from unique documents and located, unique alerts.
+
+    Where many settings (detectors, trigger sizes) were tried on the same documents, ``runs`` names the base run
+    ``base_id`` of each ``run_id`` that alerts use, and documents come once for each base run. Events, states
+    and counts are then made once for the base run and meet the settings only with the alerts.
+    """
     good, _ = usable_documents(docs)
     states = cut(sequence_states(good, p.cooldown))
-    matched = match_alerts(alerts, drift_events(good, p.match_window), p.match_window)
-    return result_rows(matched, false_positives(alerts, matched, states), run_totals(states), p)
+    events, totals, base = cut(drift_events(good, p.match_window)), run_totals(states), RUN
+    if runs is not None:
+        base = "base_id"
+        events, totals = (df.withColumnRenamed(RUN, base).join(fresh(runs), base).drop(base) for df in (events, totals))
+        alerts = alerts.join(fresh(runs), RUN)
+    matched = match_alerts(alerts, events, p.match_window)
+    return result_rows(matched, false_positives(alerts, matched, states, base), totals, p)
 
 
 def rounded(results: DataFrame) -> DataFrame:

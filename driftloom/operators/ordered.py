@@ -22,10 +22,14 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 #: Sampled rows for each range; the ranges of a key are even to about one in the root of this.
 OVERSAMPLE = 20
 _ORD, _BORDERS, _RANGE = "_ord", "_borders", "_range"
-_FOLDS = {"sum": F.sum, "max": F.max, "min": F.min}
+_PLACE = "_place"
+_FOLDS = {"sum": F.sum, "max": F.max, "min": F.min, "since": F.max}
 
 
 def _combined(fold: str, before: Column, here: Column) -> Column:
+    if fold == "since":
+        shift = F.coalesce(F.col(f"_c_{_PLACE}"), F.lit(0))
+        return shift + F.col(_PLACE) - F.coalesce(shift + here, before)
     if fold == "sum":
         return F.coalesce(before + here, before, here)
     return F.greatest(before, here) if fold == "max" else F.least(before, here)
@@ -77,37 +81,54 @@ def running(
     peers: bool = False,
     descending: bool = False,
 ) -> DataFrame:
-    """Running ``sum``/``max``/``min`` per key in the order of a long column, several in one pass.
+    """Running ``sum``/``max``/``min``/``since`` per key in the order of a long column, several in one pass.
 
     ``values`` maps an output name to ``(fold, expression)``. ``max`` over a struct that starts with
-    the order column gives "last known value". With ``peers`` rows of equal order see each other.
-    The plan reads ``df`` once and exchanges it once; the sums of the ranges are made before, from the
-    keys that are cut and the columns they need.
+    the order column gives "last known value"; ``since`` counts the rows after the last one for which
+    a condition holds, null before the first, and needs an order without peers or exclusion.
+    With ``peers`` rows of equal order see each other. The plan reads ``df`` once and exchanges it once; the
+    sums of the ranges are made before, from the keys that are cut and the columns they need.
     """
     keys, spark = list(keys), df.sparkSession
     ordc = F.col(order) if isinstance(order, str) else order
     ordc = (-ordc if descending else ordc).cast("long")
     tagged = df.withColumns({_ORD: ordc, **{f"_v_{n}": c for n, (_, c) in values.items()}})
     borders = range_borders(tagged, keys, _ORD)
+    spec = Window.partitionBy(*keys, _RANGE).orderBy(_ORD, *([] if peers else tiebreak))
+    counted = any(f == "since" for f, _ in values.values())
+    # a condition becomes the number, within the range, of the row where it holds
+    place = {_PLACE: F.row_number().over(spec).cast("long")} if counted else {}
+    placed = {f"_v_{n}": F.when(F.col(f"_v_{n}"), F.col(_PLACE)) for n, (f, _) in values.items() if f == "since"}
     rows = tagged.withColumn(_RANGE, F.lit(0))
     before = None
     if borders is not None:
         at = _range_of(F.col(_ORD), F.col(_BORDERS)).alias(_RANGE)
         rows = _with(tagged, borders, keys, "left").select(*tagged.columns, at)
-        cut_keys = _with(tagged.select(*keys, _ORD, *[f"_v_{n}" for n in values]), borders, keys, "inner").withColumn(_RANGE, at)
-        totals = cut_keys.groupBy(*keys, _RANGE).agg(*[_FOLDS[f](f"_v_{n}").alias(f"_v_{n}") for n, (f, _) in values.items()])
-        earlier = Window.partitionBy(*keys).orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
-        carried = totals.select(*keys, _RANGE, *[_FOLDS[f](f"_v_{n}").over(earlier).alias(f"_c_{n}") for n, (f, _) in values.items()])
-        carried = carried.where(F.col(_RANGE) > 0)
-        before = spark.createDataFrame(carried.collect(), carried.schema)  # no more rows than there are borders
-    spec = Window.partitionBy(*keys, _RANGE).orderBy(_ORD, *([] if peers else tiebreak))
+        cut_keys = _with(tagged.select(*keys, _ORD, *[f"_v_{n}" for n in values], *tiebreak), borders, keys, "inner").withColumn(_RANGE, at)
+        before = _carried(cut_keys.withColumns(place).withColumns(placed), keys, values, counted)
+        before = spark.createDataFrame(before.collect(), before.schema)  # no more rows than there are borders
+    rows = rows.withColumns(place).withColumns(placed)
     first = Window.unboundedPreceding
     frame = spec.rangeBetween(first, 0) if peers else spec.rowsBetween(first, 0 if inclusive else -1)
     out = rows.withColumns({n: _FOLDS[f](f"_v_{n}").over(frame) for n, (f, _) in values.items()})
     if before is not None:
         out = _with(out, before, [*keys, _RANGE], "left")
-        out = out.withColumns({n: _combined(f, F.col(f"_c_{n}"), F.col(n)) for n, (f, _) in values.items()}).drop(*[f"_c_{n}" for n in values])
-    return out.drop(_ORD, _RANGE, *[f"_v_{n}" for n in values])
+    else:
+        out = out.withColumns({f"_c_{n}": F.lit(None) for n in (*values, _PLACE)})
+    out = out.withColumns({n: _combined(f, F.col(f"_c_{n}"), F.col(n)) for n, (f, _) in values.items()})
+    return out.select(*[c for c in df.columns if c not in values], *values)
+
+
+def _carried(rows: DataFrame, keys: list[str], values: dict[str, tuple[str, Column]], counted: bool) -> DataFrame:
+    """For each range but the first of a key what the ranges before it have gathered."""
+    size = [F.count(F.lit(1)).alias(_PLACE)] if counted else []
+    totals = rows.groupBy(*keys, _RANGE).agg(*size, *[_FOLDS[f](f"_v_{n}").alias(f"_v_{n}") for n, (f, _) in values.items()])
+    earlier = Window.partitionBy(*keys).orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    if counted:
+        totals = totals.withColumn(f"_c_{_PLACE}", F.coalesce(F.sum(_PLACE).over(earlier), F.lit(0).cast("long")))
+        totals = totals.withColumns({f"_v_{n}": F.col(f"_c_{_PLACE}") + F.col(f"_v_{n}") for n, (f, _) in values.items() if f == "since"})
+    gathered = [_FOLDS[f](f"_v_{n}").over(earlier).alias(f"_c_{n}") for n, (f, _) in values.items()]
+    return totals.select(*keys, _RANGE, *([f"_c_{_PLACE}"] if counted else []), *gathered).where(F.col(_RANGE) > 0)
 
 
 def dense_position(

@@ -86,3 +86,15 @@ def test_large_keys_are_cut_by_their_share(spark):
     counts = dense_position(df, ["k"], "o").where("k is null").agg(F.max("pos"), F.countDistinct("pos")).first()
     assert tuple(counts) == (29_999, 30_000)
     assert range_borders(df.limit(0), ["k"], "o") is None and dense_position(df.limit(0), ["k"], "o").collect() == []
+
+
+def test_rows_since_a_condition(spark):
+    rng = random.Random(8)
+    rows = [(k, o, rng.random() < (0.01, 0.3, 0)[k]) for k in (0, 1, 2) for o in rng.sample(range(10_000), 400)]
+    out = running(spark.createDataFrame(rows, "k int, o long, c boolean"), ["k"], "o", {"n": ("since", F.col("c")), "p": ("sum", F.lit(1).cast("long"))})
+    found = {(r.k, r.o): (r.n, r.p) for r in out.collect()}
+    for k in (0, 1, 2):
+        last = None
+        for at, (_, o, c) in enumerate(sorted(r for r in rows if r[0] == k)):
+            last = at if c else last
+            assert found[k, o] == (None if last is None else at - last, at + 1)
