@@ -7,6 +7,8 @@ alerts are versions of six-hour windows whose last event has a high value.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks import table
@@ -15,7 +17,8 @@ from driftloom.functions.timecols import epoch_ms
 from driftloom.operators import evaluate as ev
 from driftloom.operators import windows as wn
 from driftloom.operators.ordered import dense_position
-from driftloom.storage import cut
+from driftloom.storage import cut, shared_folder
+from driftloom.streaming.refresh import ALERT, DOCUMENT, EvaluationRefresh, refresh_stream
 
 PERIOD, FIRST, LENGTH = 240, 100, 80
 PARAMS = ev.EvaluationParams(match_window=100, cooldown=20)
@@ -155,6 +158,23 @@ def s9(spark, sf):
     return ev.rounded(results(spark, sf, ONE)).drop("tp", "fn", "fp")
 
 
+def v12_stream(spark, sf):
+    """Documents and alerts in three micro-batches; the rows after the last one."""
+    docs, alerts = located(spark, sf)
+    place = f"{shared_folder(spark)}/refreshed/{uuid.uuid4().hex}"
+    longest = docs.agg(F.max("seq")).scalar() + 1
+    for k in range(3):
+        docs.where(F.floor(F.col("seq") * 3 / longest) == k).coalesce(1).write.mode("append").parquet(f"{place}/docs")
+        alerts.withColumn("arrival", F.col("window_end_seq")).where(F.floor(F.col("window_end_seq") * 3 / longest) == k).coalesce(1).write.mode("append").parquet(f"{place}/alerts")
+    one = lambda name, schema: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/{name}")
+    kept = EvaluationRefresh(spark, f"{place}/kept", PARAMS)
+    query = refresh_stream(one("docs", DOCUMENT), one("alerts", ALERT), kept, f"refreshed-{uuid.uuid4().hex}")
+    query.awaitTermination()
+    return kept.table("results", 2).select("run_id", "drift_type", *[F.round(c, 6).alias(c) for c in _REFRESHED[:-3]], *_REFRESHED[-3:])
+
+
+_REFRESHED = ("precision", "recall", "f1", "latency_docs", "latency_ms", "far", "d1", "d2", "r", "r_matchaware", "tp", "fn", "fp")
+
 QUERIES = {
     "v1_unique_documents": v1,
     "v2_unique_alerts": lambda s, d: ev.unique_alerts(inputs(s, d, ONE)[2], "arrival", "mmd").drop("detector"),
@@ -169,6 +189,7 @@ QUERIES = {
     "v10_distance_measures": v10,
     "v11_r_matchaware": _columns("r_matchaware", variants=ONE),
     "v12_precision_recall": _columns("precision", "recall", "f1", "tp", "fn", "fp"),
+    "v12_stream_refreshed": v12_stream,
     "v13_global_rows": v13,
     "v14_latencies": _columns("latency_docs", "latency_ms", variants=ONE),
     "v15_false_alarm_rate": _columns("far"),
@@ -275,6 +296,7 @@ FROM ({hop_sql('SELECT *, ts AS ms FROM base')}) GROUP BY ALL""",
     "v10_distance_measures": _sql("SELECT run_id, round(d1, 6) AS d1, round(d2, 6) AS d2, round(r, 6) AS r FROM meas"),
     "v11_r_matchaware": _sql(_res("r_matchaware")),
     "v12_precision_recall": _sql(_res(*_PRF), ALL),
+    "v12_stream_refreshed": _sql(_res(*_REFRESHED)),
     "v13_global_rows": _sql(_res(*_PRF) + " WHERE drift_type = '__GLOBAL__'", ALL),
     "v14_latencies": _sql(_res("latency_docs", "latency_ms")),
     "v15_false_alarm_rate": _sql(_res("far"), ALL),
