@@ -186,6 +186,22 @@ def w1_stream(spark, sf):
     return last.select("event_type", "window_start", "window_end", "b.*")
 
 
+CHUNK = 40
+
+
+def w6_stream(spark, sf):
+    """Windows that the watermark has closed, from parts of at most 40 documents."""
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    parts = _run(sw.split_batches(_events_stream(spark, sf), ["event_id"], "event_type", "ms", sc.SIZE, sc.ADVANCE, 5, "event_id", CHUNK), "parts")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    ids = F.array_sort(F.flatten(F.collect_list(F.transform("documents", lambda d: d.event_id))))
+    whole = parts.groupBy("event_type", "window_start").agg(
+        F.max(F.when(F.col("is_last"), F.col("document_count"))).alias("document_count"), F.count(F.lit(1)).alias("parts"),
+        F.max(F.size("documents")).cast("long").alias("largest"), F.array_join(ids.cast("array<string>"), ",").alias("ids"),
+    )
+    return whole.where("document_count is not null")
+
+
 def w8_stream(spark, sf):
     docs = sw.new_documents(_events_stream(spark, sf), ["event_type", "event_id"])
     return _run(docs.select("event_type", "event_id", "ms"), "documents")
@@ -247,6 +263,7 @@ QUERIES = {
     "s12_watch_directory": s12,
     "s13_bounded_run": s13,
     "w1_stream_batches": w1_stream,
+    "w6_stream_split_windows": w6_stream,
     "w7_stream_high_water": w7_stream,
     "w8_stream_new_documents": w8_stream,
     "m6_stream_warmup": m6_stream,
@@ -280,6 +297,9 @@ QUALIFY count(*) OVER (PARTITION BY event_type, window_start) >= 5""",
     "s12_watch_directory": "SELECT md5(text) AS text_md5, true AS has_file, true AS has_time FROM documents",
     "s13_bounded_run": "SELECT event_type AS key, count(*) AS n FROM events GROUP BY ALL",
     "w1_stream_batches": sc.batches_sql(5, extra=", max(event_id) AS max_seq"),
+    "w6_stream_split_windows": f"""SELECT event_type, window_start, count(*) AS document_count, CAST(ceil(count(*) / {CHUNK}) AS BIGINT) AS parts, least(count(*), {CHUNK})::BIGINT AS largest,
+  string_agg(event_id, ',' ORDER BY event_id) AS ids FROM ({sc.hop_sql(sc.EVENTS_SQL)}) GROUP BY event_type, window_start
+HAVING count(*) >= 5 AND max(window_end) < (SELECT max(ms) FROM ({sc.EVENTS_SQL}))""",
     "m6_stream_warmup": dc.ORACLE["m6_noise_warmup"],
     "w7_stream_high_water": sc.ORACLE["w7_new_documents_high_water"],
     "w8_stream_new_documents": sc.ORACLE["w8_new_documents_exact"],

@@ -1,11 +1,12 @@
 """The live job: raw messages -> window batches -> new documents -> verdicts -> alerts.
 
 Three streaming queries hand over through topics and a table of documents, so each can be restarted,
-replayed and scaled on its own. State is bounded: open windows, and for each stream of vectors what
-``streaming.detect`` holds. What has been seen before is looked up in what the earlier epochs wrote.
+replayed and scaled on its own. State is bounded: of each open window the part of at most 10,000 documents
+that has not been sent, and for each stream of vectors what ``streaming.detect`` holds. What has been seen
+before is looked up in what the earlier epochs wrote.
 
-An epoch is written as one file, so that the next query reads epochs whole and in order. Its size is
-that of a micro-batch, which the limits at the source bound.
+An epoch is written in many files, with each key in one of them. The next query takes files in the order of
+their time, so it reads each key in the order of epochs.
 """
 
 from __future__ import annotations
@@ -28,20 +29,24 @@ _FIELDS = [field.split()[0] for field in topics.PROCESSED.split(", ")]
 
 
 def publish_batches(docs: DataFrame, target: str, name: str, **window) -> StreamingQuery:
-    """Cleaned documents (``operators.windows.clean_documents``) as batches on a topic, one message a window."""
-    sent = sw.sliding_batches(sw.with_event_time(docs), fields=_FIELDS, **window)
+    """Cleaned documents (``operators.windows.clean_documents``) as batches on a topic.
+
+    A window is sent in messages of at most ``chunk`` documents with the same ``batchId``, full ones as soon as
+    they are; ``documentCount`` is that of the window so far.
+    """
+    sent = sw.split_batches(sw.with_event_time(docs), _FIELDS, **window)
     named = sent.select(
         "sourceCategory",
-        F.md5(F.concat_ws("|", "sourceCategory", "window_start", "document_count")).alias("batchId"),
+        F.md5(F.concat_ws("|", "sourceCategory", "window_start", "window_end")).alias("batchId"),
         F.col("window_type").alias("windowType"),
         F.col("window_start").alias("windowStart"),
         F.col("window_end").alias("windowEnd"),
         F.col("document_count").cast("int").alias("documentCount"),
-        F.lit(0).cast("long").alias("part"),
-        F.lit(0).cast("long").alias("firstIndex"),
+        "part",
+        F.col("first_index").alias("firstIndex"),
         "documents",
     )
-    return sinks.run_available(topics.batch_messages(named).repartition(1), name, target, "append", "json")
+    return sinks.run_available(topics.batch_messages(named).repartition("key"), name, target, "append", "json")
 
 
 def collect_documents(records: DataFrame, table: str, name: str) -> StreamingQuery:
@@ -57,7 +62,7 @@ def collect_documents(records: DataFrame, table: str, name: str) -> StreamingQue
             # a document that came before came in a window that overlaps one of these
             since = docs.agg(F.coalesce(F.min("windowStart"), F.lit(0))).scalar()
             rows = rows.join(earlier.where(F.col("window_end") > since).select("stream_id", "seq"), ["stream_id", "seq"], "left_anti")
-        sinks.epoch_writer(table)(rows.repartition(1), epoch)
+        sinks.epoch_writer(table)(rows.repartition("stream_id"), epoch)
 
     return _each(records, write, name)
 

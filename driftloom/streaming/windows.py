@@ -11,7 +11,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 
 def with_event_time(docs: DataFrame, ms: str = "timestamp", delay: str = "0 seconds") -> DataFrame:
@@ -80,3 +82,92 @@ def high_water(batches: DataFrame, key: str = "category", arrival: str = "arriva
         "append",
         GroupStateTimeout.NoTimeout,
     )
+
+
+class _SplitWindow(StatefulProcessor):
+    """Documents of one window, sent in parts as they come; only those of the part not yet sent are state."""
+
+    def __init__(self, fields: StructType, seq: str, chunk: int, min_batch: int):
+        self.fields, self.seq, self.chunk, self.min_batch = fields, seq, chunk, min_batch
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.fields)
+        self.sent = handle.getValueState("sent", "parts long, documents long, max_seq long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        if key[2] <= timerValues.getCurrentWatermarkInMs():  # the window has closed
+            return
+        if not self.sent.exists():
+            self.handle.registerTimer(key[2])
+        parts, documents, highest = self.sent.get() if self.sent.exists() else (0, 0, None)
+        held = list(self.waiting.get())
+        for frame in rows:
+            arrived = frame[self.fields.fieldNames()].astype(object)
+            held += arrived.where(arrived.notna(), None).itertuples(index=False, name=None)
+            documents += len(frame)
+            highest = max(int(frame[self.seq].max()), highest if highest is not None else int(frame[self.seq].max()))
+            while len(held) > self.chunk:  # one document stays behind for the part that closes the window
+                ready, held = held[: self.chunk], held[self.chunk :]
+                yield self._part(key, parts, documents, highest, ready, False)
+                parts += 1
+        self.sent.update((parts, documents, highest))
+        self.waiting.put(held)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        parts, documents, highest = self.sent.get()
+        if documents >= self.min_batch:
+            yield self._part(key, parts, documents, highest, list(self.waiting.get()), True)
+        self.waiting.clear()
+        self.sent.clear()
+
+    def _part(self, key, part: int, documents: int, highest: int, rows: list, last: bool) -> pd.DataFrame:
+        names = self.fields.fieldNames()
+        at = names.index(self.seq)
+        docs = [dict(zip(names, r, strict=True)) for r in sorted(rows, key=lambda r: r[at])]
+        columns = ["key", "window_start", "window_end", "part", "first_index", "document_count", "max_seq", "is_last", "documents"]
+        return pd.DataFrame([(key[0], int(key[1]), int(key[2]), part, part * self.chunk, documents, highest, last, docs)], columns=columns)
+
+    def close(self) -> None:
+        pass
+
+
+def split_batches(
+    docs: DataFrame,
+    fields: list[str],
+    key: str = "sourceCategory",
+    ms: str = "timestamp",
+    size: int = 60_000,
+    advance: int = 15_000,
+    min_batch: int = 5,
+    seq: str = "sequenceNumber",
+    chunk: int = 10_000,
+) -> DataFrame:
+    """Windows of a stream with their documents, in parts of at most ``chunk``.
+
+    A part leaves as soon as it is full and is dropped from the state, so a hot window never stands whole in
+    a row or a state value. ``document_count`` and ``max_seq`` are those of the window so far; the part with
+    ``is_last`` comes when the watermark has closed the window, and has those of the whole. A
+    window of fewer than ``min_batch`` documents sends nothing. Documents keep their order within a part, and over
+    the parts the order in which micro-batches brought them. ``docs`` carry the watermark column ``ts``
+    (:func:`with_event_time`). Lists and timers need the RocksDB state store: this sets the session to it.
+    """
+    if chunk < min_batch:
+        raise ValueError("a part holds at least the documents of the smallest batch")
+    names = list(dict.fromkeys([*fields, seq]))
+    kinds = StructType([docs.schema[n] for n in names])
+    t = F.col(ms).cast("long")
+    first = F.floor(F.greatest(F.lit(0).cast("long"), t - size + advance) / advance) * advance
+    starts = F.sequence(first.cast("long"), (F.floor(t / advance) * advance).cast("long"), F.lit(advance).cast("long"))
+    placed = docs.select("ts", F.col(key).alias("_key"), *[F.col(n) for n in names], F.explode(starts).alias("_start"))
+    grouped = placed.withColumn("_end", F.col("_start") + F.lit(size).cast("long")).groupBy("_key", "_start", "_end")
+    body = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in kinds)
+    schema = f"key string, window_start long, window_end long, part long, first_index long, document_count long, max_seq long, is_last boolean, documents array<struct<{body}>>"
+    docs.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    found = grouped.transformWithStateInPandas(_SplitWindow(kinds, seq, chunk, min_batch), schema, "append", "eventTime")
+    kind = "tumbling" if size == advance else "sliding"
+    return found.withColumnRenamed("key", key).withColumn("window_type", F.lit(kind))
+
+
+#: The state store that keeps lists and timers, and state beyond the memory of an executor.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"

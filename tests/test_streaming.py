@@ -148,3 +148,28 @@ def test_live_alerts_equal_the_table_plan(spark, tmp_path):
     keys = ["stream_id", "detector", "window_end", "last_seq", "doc_count", "detected_at"]
     assert got.count() > 0 and documents.select("epoch").distinct().count() > 1
     assert sorted(map(tuple, got.select(keys).collect())) == sorted(map(tuple, want.select(keys).collect()))
+
+
+def test_split_windows_equal_the_table_form(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    raw = [(i, int(i * 400 + rng.integers(0, 300)), "hot" if i % 3 else "b", None if i % 7 == 0 else f"t{i}") for i in range(420)]
+    docs = spark.createDataFrame(raw, "sequenceNumber long, timestamp long, sourceCategory string, cleanedText string")
+    path = str(tmp_path / "docs")
+    for at in range(0, 420, 70):
+        docs.where(f"sequenceNumber >= {at} and sequenceNumber < {at + 70}").coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    parts = run(sw.split_batches(sw.with_event_time(stream), ["sequenceNumber", "cleanedText"], chunk=20), "append", tmp_path).collect()
+    closed = max(r[1] for r in raw)
+    want = {}
+    for seq, at, name, text in raw:
+        for start in range(max(0, at - 60_000 + 15_000) // 15_000 * 15_000, at + 1, 15_000):
+            if start + 60_000 <= closed:
+                want.setdefault((name, start), []).append((seq, text))
+    got = {}
+    for r in sorted(parts, key=lambda r: r.part):
+        assert len(r.documents) <= 20 and r.first_index == r.part * 20
+        got.setdefault((r.sourceCategory, r.window_start), []).append(r)
+    whole = {k: sorted((d.sequenceNumber, d.cleanedText) for r in v for d in r.documents) for k, v in got.items() if v[-1].is_last}
+    assert whole == {k: v for k, v in want.items() if len(v) >= 5}
+    assert all(v[-1].document_count == len(want[k]) and v[-1].max_seq == want[k][-1][0] for k, v in got.items() if v[-1].is_last)
+    assert max(len(v) for v in got.values()) >= 5
