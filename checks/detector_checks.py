@@ -5,6 +5,7 @@ Two streams (even and odd ``vec_id``) in the order ``(label, vec_id)``, referenc
 
 from __future__ import annotations
 
+import math
 from dataclasses import replace
 
 import numpy as np
@@ -20,6 +21,7 @@ from driftloom.operators import detect as dt
 from driftloom.operators import embed as em
 from driftloom.operators import iforest, mmd, padd
 from driftloom.operators import windows as wn
+from driftloom.storage import cut
 
 N, REF, DIM = 50, 100, 64
 P = padd.PaddParams()
@@ -131,6 +133,14 @@ def i5(spark, sf):
     return sizes.withColumn("refit", iforest.needs_refit(F.col("size"), F.col("fitted")))
 
 
+def i5_job(spark, sf):
+    """Models fitted on 100 and 60 vectors meet references of 105 and 100: the second is fitted again."""
+    at = positioned(spark, sf)
+    sized = lambda first, second: at.where(F.col("pos") < F.when(F.col("stream_id") == "s0", first).otherwise(second))
+    stored = cut(iforest.fit_models(sized(REF, 60)))
+    return iforest.refit_models(stored, sized(REF + 5, REF)).select("stream_id", "fitted_size", F.round("threshold", 6).alias("threshold"))
+
+
 def r2(spark, sf):
     rows = em.trigger_batches(positioned(spark, sf), N, REF)
     ends = rows.groupBy("stream_id", "batch_no").agg(F.max_by("seq", "pos").alias("last_seq"))
@@ -173,6 +183,7 @@ QUERIES = {
     "i1_fit_forest": i1,
     "i2_score_samples": i2,
     "i3_forest_threshold": i3,
+    "i5_refit_job": i5_job,
     "i4_forest_verdict": scores(["isolation_forest"]),
     "i5_needs_refit": i5,
     "r1_all_detectors": scores(["mmd", "isolation_forest", "padd_frozen"]),
@@ -313,7 +324,57 @@ _M6 = f"""WITH {POS}, vocab AS MATERIALIZED ({VOCAB_SQL}), noise AS MATERIALIZED
   lim AS (SELECT stream_id, score * 1.2 AS threshold FROM s WHERE batch_no = 0)
 SELECT stream_id, batch_no, round(score, 6) AS score, round(threshold, 6) AS threshold, score > threshold AS is_alert FROM s JOIN lim USING (stream_id) WHERE batch_no > 0"""
 
-ORACLE = {
+TREES = iforest.N_TREES
+
+
+def forest_sql() -> str:
+    """Forests on the first vectors of each stream, a depth at a time: ``ch`` has the splits, ``leaf`` the leaves."""
+    limit = (REF - 1).bit_length()
+    mean_path = lambda n: f"CASE WHEN {n} <= 1 THEN 0.0 WHEN {n} = 2 THEN 1.0 ELSE 2 * (ln({n} - 1.0) + {iforest.EULER_GAMMA}) - 2 * ({n} - 1.0) / {n} END"
+    draw = lambda more: mix31_sql("key", f"1000000 + 2 * node + {more}")
+    parts = [POS, f"""cells AS MATERIALIZED (SELECT stream_id, pos, unnest(range({DIM})) AS f, unnest(v) AS x FROM pos),
+keyed AS MATERIALIZED (SELECT stream_id, tree, {_KEY31("'42'", "'tree'", 'stream_id', 'tree')} AS key FROM (SELECT DISTINCT stream_id FROM pos), range({TREES}) t(tree)),
+a0 AS MATERIALIZED (SELECT stream_id, tree, key, pos, 0::BIGINT AS node FROM pos JOIN keyed USING (stream_id) WHERE pos < {REF})"""]
+    for d in range(limit + 1):
+        if d < limit:
+            parts.append(f"""s{d} AS (SELECT stream_id, tree, key, node, f, min(x) AS lo, max(x) AS hi FROM a{d} JOIN cells USING (stream_id, pos) GROUP BY ALL HAVING min(x) < max(x)),
+ch{d} AS MATERIALIZED (SELECT stream_id, tree, node, f AS feature, lo + {draw(1)}::DOUBLE / 2147483647.0::DOUBLE * (hi - lo) AS cut FROM (
+  SELECT *, row_number() OVER (PARTITION BY stream_id, tree, node ORDER BY f) - 1 AS r, count(*) OVER (PARTITION BY stream_id, tree, node) AS n FROM s{d}) WHERE r = {draw(0)} % n),
+a{d + 1} AS MATERIALIZED (SELECT stream_id, tree, key, pos, 2 * node + 1 + (x > cut)::BIGINT AS node FROM a{d} JOIN ch{d} USING (stream_id, tree, node) JOIN cells c USING (stream_id, pos) WHERE c.f = feature)""")
+        none = f"ANTI JOIN ch{d} USING (stream_id, tree, node)" if d < limit else ""
+        parts.append(f"leaf{d} AS (SELECT stream_id, tree, node, {d} + {mean_path('count(*)')} AS path FROM a{d} {none} GROUP BY ALL)")
+    parts.append("ch AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM ch{d}" for d in range(limit)) + ")")
+    parts.append("leaf AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM leaf{d}" for d in range(limit + 1)) + ")")
+    return ",\n".join(parts)
+
+
+def forest_scores_sql() -> str:
+    """``sc``: the score of each vector, which walks down all trees a depth at a time."""
+    limit = (REF - 1).bit_length()
+    parts = [forest_sql(), "w0 AS (SELECT stream_id, tree, pos, 0::BIGINT AS node FROM pos JOIN keyed USING (stream_id))"]
+    for d in range(limit):
+        parts.append(f"w{d + 1} AS MATERIALIZED (SELECT stream_id, tree, pos, 2 * node + 1 + (x > cut)::BIGINT AS node FROM w{d} JOIN ch USING (stream_id, tree, node) JOIN cells c USING (stream_id, pos) WHERE c.f = feature)")
+    ends = " UNION ALL ".join(f"SELECT stream_id, pos, path FROM w{d} JOIN leaf USING (stream_id, tree, node)" for d in range(limit + 1))
+    whole = 2 * (math.log(REF - 1.0) + iforest.EULER_GAMMA) - 2 * (REF - 1.0) / REF
+    parts.append(f"sc AS MATERIALIZED (SELECT stream_id, pos, -pow(2.0, -sum(path) / ({TREES} * {whole!r})) AS score FROM ({ends}) GROUP BY ALL)")
+    parts.append(f"lim AS (SELECT stream_id, avg(score) - 3 * stddev_pop(score) AS threshold FROM sc WHERE pos < {REF} GROUP BY ALL)")
+    return ",\n".join(parts)
+
+
+_FOREST_ROWS = f"""SELECT t.stream_id, t.batch_no, 'isolation_forest' AS detector, round(avg(score), 6) AS score, round(any_value(threshold), 6) AS threshold,
+  avg(score) < any_value(threshold) AS is_alert, {N}::BIGINT AS doc_count, max_by(t.seq, t.pos) AS last_seq
+FROM (SELECT *, (pos - {REF}) // {N} AS batch_no FROM pos WHERE pos >= {REF} QUALIFY count(*) OVER (PARTITION BY stream_id, (pos - {REF}) // {N}) = {N}) t
+JOIN sc USING (stream_id, pos) JOIN lim USING (stream_id) GROUP BY t.stream_id, t.batch_no"""
+FOREST_ORACLE = {
+    "i1_fit_forest": f"""WITH {forest_sql()} SELECT stream_id, tree, node, feature, round(cut, 6) AS cut, 2 * node + 1 AS left_child, 0.0 AS path FROM ch
+UNION ALL SELECT stream_id, tree, node, -1, 0.0, -1, round(path, 6) FROM leaf""",
+    "i2_score_samples": f"WITH {forest_scores_sql()} SELECT stream_id, pos, seq, pos < {REF} AS is_reference, round(score, 6) AS score FROM sc JOIN pos USING (stream_id, pos)",
+    "i3_forest_threshold": f"WITH {forest_scores_sql()} SELECT stream_id, round(threshold, 6) AS threshold FROM lim",
+    "i4_forest_verdict": f"WITH {forest_scores_sql()} {_FOREST_ROWS}",
+    "i5_refit_job": f"WITH {forest_scores_sql()} SELECT stream_id, {REF}::BIGINT AS fitted_size, round(threshold, 6) AS threshold FROM lim",
+}
+
+ORACLE = FOREST_ORACLE | {
     "a9_null_trials": f"{_alarms(padd.WELCH, 'padd_welch')} UNION ALL {_alarms(padd.SOFTMAX, 'padd_softmax')}",
     "a7_padd_welch": _vote_rows(padd.WELCH, "padd_welch"),
     "a8_padd_softmax": _vote_rows(padd.SOFTMAX, "padd_softmax"),
@@ -343,6 +404,7 @@ SELECT stream_id, batch_no, round(avg(CASE WHEN s < 1e-8 THEN 1.0 ELSE 0.0 END),
 FROM (SELECT split_part(k, '|', 1) AS stream_id, split_part(k, '|', 2)::BIGINT AS batch_no, neuron, var_pop(a) AS s FROM acts GROUP BY ALL) GROUP BY ALL""",
     "i5_needs_refit": """SELECT label, size, fitted, fitted IS NULL OR abs(size - fitted) > size * 0.1 AS refit FROM (
   SELECT label, count(*) AS size, nullif(count(*) FILTER (vec_id % 9 < label), 0) AS fitted FROM embeddings GROUP BY label)""",
+    "r1_all_detectors": f"SELECT * FROM ({_MMD} {_MMD_ROWS}) UNION ALL BY NAME SELECT * FROM ({FOREST_ORACLE['i4_forest_verdict']}) UNION ALL BY NAME SELECT * FROM ({_vote_rows(P)})",
     "r2_enrich_alerts": f"""WITH {TRIG}, ends AS (SELECT stream_id, batch_no, max_by(seq, pos) AS last_seq FROM trig GROUP BY ALL),
 w AS (SELECT event_id, ms // {SIZE} * {SIZE} AS window_start FROM ({EVENTS_SQL})), c AS (SELECT window_start, count(*) AS doc_count FROM w GROUP BY ALL)
 SELECT stream_id, batch_no, last_seq, 'tumbling' AS window_type, window_start, window_start + {SIZE} AS window_end, doc_count, window_start + {SIZE} + 5 AS detected_at

@@ -219,25 +219,26 @@ def mmd_statistics(positioned: DataFrame, n: int = TRIGGER_N, reference: int = R
     return per_batch(docs, refs, n, parts, schema)
 
 
-def forest_scores(positioned: DataFrame, reference: int = REFERENCE_SIZE, p: iforest.ForestParams = iforest.ForestParams()) -> DataFrame:
+def forest_scores(positioned: DataFrame, reference: int = REFERENCE_SIZE, models: DataFrame | None = None) -> DataFrame:
     """Forest score of each vector, those of the reference included (``is_reference``).
 
-    The forest of a stream is grown again from the bounded reference in each chunk: it depends on
-    the reference and the seed alone, and costs less than to send its nodes.
+    ``models`` is the table of :func:`driftloom.operators.iforest.fit_models`, by default fitted on the reference; a model goes
+    once to each chunk of 6,400 vectors, and streams without one are left out.
     """
+    if models is None:
+        models = iforest.fit_models(positioned.where(F.col("pos") < reference))
 
-    def scores(pdf: pd.DataFrame, ref: pd.DataFrame) -> pd.DataFrame:
-        if not len(pdf) or len(ref) < iforest.MIN_REFERENCE:
+    def scores(pdf: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf) or not len(model):
             return pd.DataFrame(columns=["stream_id", "pos", "seq", "is_reference", "score"])
-        own = np.stack(ref.sort_values("pos")["vec"]).astype(np.float64)
-        found = iforest.score_samples(iforest.grow(own, p), np.stack(pdf["vec"]).astype(np.float64), len(own), p.max_samples)
+        (row,) = model.itertuples()
+        found = iforest.score_samples(iforest.forest_of(row), np.stack(pdf["vec"]).astype(np.float64), row.fitted_size)
         return pdf[["stream_id", "pos", "seq"]].assign(is_reference=pdf["pos"] < reference, score=found)
 
     rows = positioned.withColumn("chunk", F.floor(F.col("pos") / 6400))
     lengths = positioned.groupBy("stream_id").agg(F.floor(F.max("pos") / 6400 + 1).alias("_chunks"))
-    head = positioned.where(F.col("pos") < reference).select("stream_id", "pos", "vec")
-    refs = fresh(explode_range(head.join(lengths, "stream_id"), F.col("_chunks"), "chunk", ["stream_id"]))
-    pair = rows.groupBy("stream_id", "chunk").cogroup(refs.groupBy("stream_id", "chunk"))
+    each = fresh(explode_range(models.join(lengths, "stream_id"), F.col("_chunks"), "chunk", ["stream_id"]))
+    pair = rows.groupBy("stream_id", "chunk").cogroup(each.groupBy("stream_id", "chunk"))
     return pair.applyInPandas(scores, "stream_id string, pos long, seq long, is_reference boolean, score double")
 
 

@@ -1,14 +1,24 @@
-"""Isolation forest on the bounded reference set of a stream."""
+"""Isolation forest on the bounded reference set of a stream.
+
+Every random choice is a counter hash of seed, stream, tree and node, so a forest does not depend on where or when
+it is grown. Forests are fitted once into a table of models (:func:`fit_models`), one row for each stream, which
+scorers read, and which :func:`refit_models` renews where a reference has changed its size enough.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftloom.functions.hashing import PRIME, key31, mix31
+from driftloom.operators.ordered import fresh
+from driftloom.storage import cut
+
 # Forest size, sub-sample, guards, distance of the threshold from the mean.
 N_TREES = 100
 MAX_SAMPLES = 256
@@ -34,37 +44,38 @@ def mean_path(n: np.ndarray | float) -> np.ndarray:
     return np.where(n <= 1.0, 0.0, np.where(n <= 2.0, 1.0, long))
 
 
-def grow_tree(rows: np.ndarray, seed: int, tree: int, max_samples: int = MAX_SAMPLES):
-    """Nodes of one tree: split feature (-1 at a leaf), split value, children, path length.
+#: Counters of the draws for nodes begin here; those below draw the sub-sample.
+_NODE_DRAWS = 1_000_000
+
 
-    Each split takes a random feature that is not constant in the node and a uniform cut in its
-    range; nodes are numbered in breadth-first order.
+def grow_tree(rows: np.ndarray, key: int, max_samples: int = MAX_SAMPLES):
+    """Split feature (-1 at a leaf, -2 where there is no node), split value, left child, path length, by node.
+
+    Nodes are numbered as in a heap: the children of ``k`` are ``2k + 1`` and ``2k + 2``. A split takes one of the
+    features that are not constant in the node and a cut in its range, both drawn by the key and the node.
     """
-    rng = np.random.default_rng([seed, tree])
     size = min(max_samples, len(rows))
-    picked = rows[rng.permutation(len(rows))[:size]]
+    order = np.lexsort((np.arange(len(rows)), mix31(key, np.arange(len(rows)))))
+    picked = rows[np.sort(order[:size])]
     limit = int(np.ceil(np.log2(max(size, 2))))
-    feature, cut, left, path = [], [], [], []
-    pending = [(np.arange(size), 0)]
-    while len(feature) < len(pending):
-        members, depth = pending[len(feature)]
-        spread = np.ptp(picked[members], axis=0) if len(members) > 1 else np.zeros(picked.shape[1])
-        open_features = np.flatnonzero(spread > 0)
+    width = (1 << (limit + 1)) - 1
+    draws = mix31(key, _NODE_DRAWS + np.arange(2 * width))
+    feature, cut, path = np.full(width, -2, np.int32), np.zeros(width), np.zeros(width)
+    left = np.where(np.arange(width) < width // 2, 2 * np.arange(width) + 1, -1)
+    pending = [(0, np.arange(size), 0)]
+    while pending:
+        node, members, depth = pending.pop()
+        low, high = picked[members].min(axis=0), picked[members].max(axis=0)
+        open_features = np.flatnonzero(high > low)
         if depth >= limit or not open_features.size:
-            feature.append(-1)
-            cut.append(0.0)
-            left.append(-1)
-            path.append(depth + float(mean_path(len(members))))
+            feature[node], left[node], path[node] = -1, -1, depth + float(mean_path(len(members)))
             continue
-        f = int(rng.choice(open_features))
-        values = picked[members, f]
-        at = rng.uniform(values.min(), values.max())
-        feature.append(f)
-        cut.append(at)
-        left.append(len(pending))
-        path.append(0.0)
-        pending += [(members[values <= at], depth + 1), (members[values > at], depth + 1)]
-    return np.array(feature), np.array(cut), np.array(left), np.array(path)
+        f = int(open_features[draws[2 * node] % len(open_features)])
+        at = low[f] + draws[2 * node + 1] / PRIME * (high[f] - low[f])
+        feature[node], cut[node] = f, at
+        right = picked[members, f] > at
+        pending += [(2 * node + 1, members[~right], depth + 1), (2 * node + 2, members[right], depth + 1)]
+    return feature, cut, left, path
 
 
 def score_samples(forest: list, rows: np.ndarray, reference_size: int, max_samples: int = MAX_SAMPLES) -> np.ndarray:
@@ -82,18 +93,31 @@ def score_samples(forest: list, rows: np.ndarray, reference_size: int, max_sampl
     return -np.power(2.0, -depth / denominator)
 
 
-def grow(reference: np.ndarray, p: ForestParams) -> list:
-    return [grow_tree(reference, p.seed, t, p.max_samples) for t in range(p.n_trees)]
+def grow(reference: np.ndarray, p: ForestParams, stream: str = "") -> list:
+    return [grow_tree(reference, key31(p.seed, "tree", stream, t), p.max_samples) for t in range(p.n_trees)]
+
+
+@lru_cache(maxsize=64)
+def _fitted(p: ForestParams, stream: str, size: int, content: bytes) -> tuple[list, float]:
+    reference = np.frombuffer(content).reshape(size, -1)
+    forest = grow(reference, p, stream)
+    own = score_samples(forest, reference, size, p.max_samples)
+    return forest, float(own.mean() - SIGMAS * own.std())
+
+
+def fitted(p: ForestParams, stream: str, reference: np.ndarray) -> tuple[list, float]:
+    """Forest and threshold (mean minus three deviations of the reference scores) of a stream.
+
+    A worker keeps the latest 64: later chunks and micro-batches with the same reference do not grow it again.
+    """
+    return _fitted(p, stream, len(reference), np.ascontiguousarray(reference, np.float64).tobytes())
 
 
 def score_chunk(p: ForestParams, stream: str, reference: np.ndarray, batches: list[tuple[int, np.ndarray]]):
-    """Mean score of each batch; threshold is mean minus three deviations of the reference scores."""
+    """Mean score of each batch, and the threshold of the stream."""
     if len(reference) < MIN_REFERENCE:
         return
-    reference = reference.astype(np.float64)
-    forest = grow(reference, p)
-    own = score_samples(forest, reference, len(reference), p.max_samples)
-    threshold = float(own.mean() - SIGMAS * own.std())
+    forest, threshold = fitted(p, stream, reference)
     for number, rows in batches:
         if len(rows) < MIN_CURRENT:
             continue
@@ -101,24 +125,49 @@ def score_chunk(p: ForestParams, stream: str, reference: np.ndarray, batches: li
         yield number, float(scores.mean()), threshold
 
 
-def fit_forest(references: DataFrame, p: ForestParams = ForestParams()) -> DataFrame:
-    """Node table ``(stream_id, tree, node, feature, cut, left, path)``, parallel over trees.
+MODEL = "stream_id string, fitted_size long, threshold double, feature array<array<int>>, cut array<array<double>>, path array<array<double>>"
+
+
+def fit_models(references: DataFrame, p: ForestParams = ForestParams()) -> DataFrame:
+    """One model for each stream: the size it was fitted on, its threshold, and its trees as flat arrays by node.
 
-    ``references`` holds the bounded reference rows ``(stream_id, pos, vec)`` of each stream.
+    ``references`` holds the bounded reference rows ``(stream_id, pos, vec)``; streams with fewer than
+    twenty of them get none.
     """
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
-        ordered = rows.sort_values("pos")
-        feature, cut, left, path = grow_tree(np.stack(ordered.vec).astype(np.float64), p.seed, int(rows.tree.iloc[0]), p.max_samples)
-        nodes = pd.DataFrame({"node": np.arange(len(feature)), "feature": feature, "cut": cut, "left_child": left, "path": path})
-        nodes.insert(0, "tree", rows.tree.iloc[0])
-        nodes.insert(0, "stream_id", rows.stream_id.iloc[0])
-        return nodes
-
-    trees = F.explode(F.sequence(F.lit(0), F.lit(p.n_trees - 1)))
-    spread = references.select("stream_id", "pos", "vec").withColumn("tree", trees)
-    schema = "stream_id string, tree int, node int, feature int, cut double, left_child int, path double"
-    return spread.groupBy("stream_id", "tree").applyInPandas(one, schema)
+        if len(rows) < MIN_REFERENCE:
+            return pd.DataFrame(columns=["stream_id", "fitted_size", "threshold", "feature", "cut", "path"])
+        stream = rows.stream_id.iloc[0]
+        forest, threshold = fitted(p, stream, np.stack(rows.sort_values("pos").vec))
+        feature, cut, _, path = zip(*forest, strict=True)
+        return pd.DataFrame({"stream_id": [stream], "fitted_size": [len(rows)], "threshold": [threshold], "feature": [feature], "cut": [cut], "path": [path]})
+
+    return references.select("stream_id", "pos", "vec").groupBy("stream_id").applyInPandas(one, MODEL)
+
+
+def forest_of(model) -> list:
+    """The trees of a row of the table of models, for :func:`score_samples`."""
+    trees = zip(model.feature, model.cut, model.path, strict=True)
+    return [(np.asarray(f), np.asarray(c), 2 * np.arange(len(f)) + 1, np.asarray(q)) for f, c, q in trees]
+
+
+def fit_forest(references: DataFrame, p: ForestParams = ForestParams()) -> DataFrame:
+    """Node table ``(stream_id, tree, node, feature, cut, left_child, path)`` of the models."""
+    trees = fit_models(references, p).select("stream_id", F.posexplode(F.arrays_zip("feature", "cut", "path")).alias("tree", "t"))
+    nodes = trees.select("stream_id", "tree", F.posexplode(F.arrays_zip("t.feature", "t.cut", "t.path")).alias("node", "n"))
+    left = F.when(F.col("n.feature") >= 0, 2 * F.col("node") + 1).otherwise(-1)
+    return nodes.where("n.feature > -2").select("stream_id", "tree", "node", "n.feature", "n.cut", left.alias("left_child"), "n.path")
+
+
+def refit_models(models: DataFrame, references: DataFrame, p: ForestParams = ForestParams()) -> DataFrame:
+    """The table of models for the references of now: streams whose reference has changed enough, and new ones,
+    are fitted again, the others keep their model."""
+    sizes = references.groupBy("stream_id").agg(F.count(F.lit(1)).alias("_size"))
+    sized = sizes.join(models.select("stream_id", F.col("fitted_size").alias("_fitted")), "stream_id", "left")
+    due = cut(sized.where(needs_refit(F.col("_size"), F.col("_fitted"))).select("stream_id"))
+    renewed = fit_models(references.join(due, "stream_id", "left_semi"), p)
+    return models.join(fresh(renewed.select("stream_id")), "stream_id", "left_anti").unionByName(renewed)
 
 
 def needs_refit(current: Column, fitted: Column) -> Column:
