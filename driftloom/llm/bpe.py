@@ -31,10 +31,11 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from driftloom.llm.common import list_column, map_batches, texts_of
+from driftloom.llm.common import list_column, map_batches
 
 _NEVER = 1 << 60
 #: Keys remembered in a generation; two are kept.
@@ -278,14 +279,44 @@ class Words(Memory):
         return b"".join(map(self.pieces.__getitem__, self.split(" " + key)))
 
     def encode(self, text: str) -> bytes:
-        """Ids of the text. Cut at spaces that follow and precede other characters, else split as a whole."""
-        first, *rest = text.split(" ")
-        if not first or not first[-1].isspace():
-            try:
-                return b"".join(map(self.pieces.__getitem__, self.split(first))) + b"".join(map(self.__getitem__, rest))
-            except TypeError:  # a None: white space on both sides of a cut
-                pass
-        return b"".join(map(self.pieces.__getitem__, self.split(text)))
+        """Ids of one text."""
+        return self.encode_all(pa.array([text]))[0].tobytes()
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts end to end, number of ids of each).
+
+        Texts are cut at spaces that follow and precede other characters, the others are split as a whole. Each
+        different word of the batch is looked up once, and its ids are copied to where it stands.
+        """
+        parts = pc.split_pattern(texts, " ")
+        offsets = parts.offsets.to_numpy().astype(np.int64)
+        offsets, values = offsets - offsets[0], parts.flatten()
+        words = values.dictionary_encode()
+        place = words.indices.to_numpy().astype(np.int64)
+        first = np.zeros(len(values), bool)
+        first[offsets[:-1]] = True
+        # a word is looked up as one that follows a space; those that begin a text have no space before them
+        wanted = np.zeros(len(words.dictionary), bool)
+        wanted[place[~first]] = True
+        found = [self[w] if follows else b"" for w, follows in zip(words.dictionary.to_pylist(), wanted.tolist(), strict=True)]
+        fits = np.array([f is not None for f in found], bool)
+        pool = [f or b"" for f in found]
+        whole = np.zeros(len(texts), bool)
+        whole[np.repeat(np.arange(len(texts)), np.diff(offsets))[~first][~fits[place[~first]]]] = True
+        at = np.where(first, 0, place)
+        begins = values.take(pa.array(offsets[:-1])).to_pylist()
+        for k, begin in enumerate(begins):
+            if begin and begin[-1].isspace():
+                whole[k] = True
+            at[offsets[k]] = len(pool)
+            pool.append(b"".join(map(self.pieces.__getitem__, self.split(texts[k].as_py() if whole[k] else begin))))
+        sizes = np.array([len(f) // 4 for f in pool], np.int64)
+        starts = np.cumsum(sizes) - sizes
+        lengths = sizes[at]
+        lengths[np.repeat(whole, np.diff(offsets)) & ~first] = 0
+        shift = np.repeat(starts[at] - (np.cumsum(lengths) - lengths), lengths)
+        ids = np.frombuffer(b"".join(pool), np.int32)[shift + np.arange(len(shift))]
+        return ids, np.add.reduceat(lengths, offsets[:-1]) if len(texts) else np.zeros(0, np.int64)
 
 
 class Utf8:
@@ -378,12 +409,11 @@ def encode(spark: SparkSession, docs: DataFrame, rank_path: str, pattern: str, k
         if (id(merges), pattern) not in _words:
             _words.clear()
             _words[id(merges), pattern] = Words(Pieces(merges), regex.compile(pattern).findall)
-        encoded = _words[id(merges), pattern].encode
+        words = _words[id(merges), pattern]
 
         def step(batch: pa.RecordBatch) -> dict:
-            coded = [encoded(t) for t in texts_of(batch)]
-            ids = np.frombuffer(b"".join(coded), np.int32)
-            return {c: batch.column(c) for c in keep} | {"token_ids": list_column(ids, [len(c) // 4 for c in coded], pa.int32())}
+            ids, lengths = words.encode_all(batch.column("text").fill_null(""))
+            return {c: batch.column(c) for c in keep} | {"token_ids": list_column(ids, lengths.tolist(), pa.int32())}
 
         return step
 

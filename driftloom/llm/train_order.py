@@ -1,21 +1,21 @@
 """Token sequences in training order: binary shards of fixed stride in a keyed random order.
 
 Token ids of a vocabulary, two bytes each (little-endian), are taken from a column ``tokens``
-(:func:`packed_ids`) and cut into sequences of a fixed length, the last one of a text filled up with
-``PAD``, which is no id. Tables without that column have the UTF-8 bytes of ``text`` as ids, one byte each,
-filled up with zeros. Sequences are numbered without gaps in the order of the table, and a
+(:func:`packed_ids`). Texts are laid end to end, each followed by a separator, which is no id, and cut into
+sequences of a fixed length; only the very last one is filled up. Tables without that column
+have the UTF-8 bytes of ``text`` as ids, one byte each. Sequences are numbered in the order of the table, and a
 keyed permutation gives each number its global slot: a Feistel network over the next even power of two,
 walked along its cycle until it lands below the number of sequences. The permutation needs no state, can
 be undone, and costs the same on any slice.
 
-Rows are dealt to the shard that their slot falls into and written in order; a shard is a file in which
-sequence ``s`` begins at byte ``(s - first) * stride``. A shard is written to a name of its own attempt and
+Rows are dealt to the shard that their slot falls into and written in order, one task a shard; a shard is a file in
+which sequence ``s`` begins at byte ``(s - first) * stride``. A shard is written to a name of its own attempt and
 renamed when whole, so a lost executor leaves nothing half done and a second attempt writes the same
-bytes. A shard that is already there in its full size is not written again.
+bytes. A shard that is already there in its full size is not written again. The index names the pieces of
+texts that a sequence is made of; a sequence that two partitions of the table share has two rows.
 
-Null and empty texts have one sequence of filling with no tokens, so that every row has a slot. Long texts
-have as many sequences as they need. Repeated rows have slots of their own. An empty table gives no rows
-and no files.
+Null and empty texts are a separator only, so that every row has a place. Long texts run over as many
+sequences as they need. Repeated rows have places of their own. An empty table gives no rows and no files.
 """
 
 from __future__ import annotations
@@ -35,8 +35,8 @@ from driftloom.llm.common import _slices, map_batches
 
 #: Ids of a sequence, and sequences of a shard (32 MB for each byte of an id).
 STRIDE, PER_SHARD = 512, 65_536
-#: Bytes of a vocabulary's id, and the id that fills up sequences.
-ID_BYTES, PAD = 2, 0xFFFF
+#: Bytes of a vocabulary's id, the number behind each text, and the one that fills up the last sequence.
+ID_BYTES, SEPARATOR, PAD = 2, 0xFFFE, 0xFFFF
 ROUNDS = 4
 
 
@@ -85,10 +85,6 @@ def _decipher(x: np.ndarray, half: int, key: int) -> np.ndarray:
     return left << shift | right
 
 
-def _counts(data: list[bytes], stride: int) -> np.ndarray:
-    return np.array([max(1, -(-len(d) // stride)) for d in data], np.int64)
-
-
 def _raw(batch: pa.RecordBatch) -> list[bytes]:
     if "tokens" in batch.schema.names:
         return [t or b"" for t in batch.column("tokens").to_pylist()]
@@ -107,8 +103,8 @@ def packed_ids(encoded: DataFrame) -> DataFrame:
             packed = []
             for ids in batch.column("token_ids"):
                 found = np.zeros(0, np.int64) if ids.values is None else ids.values.to_numpy(zero_copy_only=False)
-                if len(found) and not 0 <= found.min() <= found.max() < PAD:
-                    raise ValueError(f"ids of {ID_BYTES} bytes must be below {PAD}")
+                if len(found) and not 0 <= found.min() <= found.max() < SEPARATOR:
+                    raise ValueError(f"ids of {ID_BYTES} bytes must be below {SEPARATOR}")
                 packed.append(found.astype("<u2").tobytes())
             return {"doc_id": batch.column("doc_id"), "tokens": pa.array(packed, pa.binary())}
 
@@ -117,19 +113,49 @@ def packed_ids(encoded: DataFrame) -> DataFrame:
     return map_batches(encoded, ["doc_id", "token_ids"], f"doc_id {dict(encoded.dtypes)['doc_id']}, tokens binary", work)
 
 
-def sequences(docs: DataFrame, key: int, stride: int = STRIDE) -> tuple[DataFrame, int]:
-    """(slot, number, doc_id, part, n_tokens, tokens) of every sequence, and how many there are.
+def _separator(width: int) -> bytes:
+    return (SEPARATOR & (1 << 8 * width) - 1).to_bytes(width, "little")  # 0xFE and 0xFF are no bytes of UTF-8
+
+
+FRAGMENT = "slot bigint, number bigint, at bigint, n_tokens bigint, doc_ids array<{kind}>, starts array<bigint>, lengths array<bigint>, tokens binary"
+
+
+def _fragments(stream: bytes, at: int, docs: list, begins: np.ndarray, width: int, stride: int) -> dict:
+    """Rows for the ids ``at ..`` of the whole table: one for each sequence they fall into, with its pieces of texts.
+
+    ``begins`` says where the texts ``docs`` begin in ``stream``, the first perhaps before it.
+    """
+    n = len(stream) // width
+    edges = np.unique(np.concatenate([[0], np.arange(-at % stride, n, stride)]))
+    cuts = np.unique(np.concatenate([edges, begins[(begins > 0) & (begins < n)]]))
+    owner, part = np.searchsorted(begins, cuts, "right") - 1, np.searchsorted(edges, cuts, "right") - 1
+    pieces = np.bincount(part, minlength=len(edges))
+    ends = np.append(edges[1:], n)
+    return {
+        "number": (at + edges) // stride,
+        "at": (at + edges) % stride,
+        "n_tokens": ends - edges,
+        "doc_ids": ([docs[k] for k in owner.tolist()], pieces),
+        "starts": (cuts - begins[owner], pieces),
+        "lengths": (np.diff(np.append(cuts, n)), pieces),
+        "tokens": [stream[a * width : z * width] for a, z in zip(edges.tolist(), ends.tolist(), strict=True)],
+    }
+
+
+def sequences(docs: DataFrame, key: int, stride: int = STRIDE) -> tuple[DataFrame, int, int]:
+    """Rows of :data:`FRAGMENT`, the number of sequences and that of ids, separators included.
 
     ``docs`` must give the same rows in the same partitions each time it is read, as a written table
-    does: the first pass counts the sequences of each partition, the second numbers them from there.
-    ``stride`` and ``n_tokens`` count ids.
+    does: the first pass counts the ids of each partition, the second numbers them from there.
+    ``stride``, ``at`` and ``n_tokens`` count ids; ``starts`` and ``lengths`` are those of the pieces in their
+    texts, where the separator stands behind the last id.
     """
     kind = dict(docs.dtypes)["doc_id"]
     width = id_bytes(docs)
-    stride *= width
+    separator = _separator(width)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = sum(int(_counts(_raw(part), stride).sum()) for b in batches for part in _slices(b))
+        n = sum(len(d) // width + 1 for b in batches for part in _slices(b) for d in _raw(part))
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([n])], names=["p", "n"])
 
     texts = docs.select("doc_id", "tokens" if width > 1 else "text")
@@ -139,23 +165,47 @@ def sequences(docs: DataFrame, key: int, stride: int = STRIDE) -> tuple[DataFram
     for p, n in found.items():
         sizes[p + 1] = n
     firsts = docs.sparkSession.sparkContext.broadcast(np.cumsum(sizes))
-    total = int(sizes.sum())
-    names = ["slot", "number", "doc_id", "part", "n_tokens", "tokens"]
+    ids = int(sizes.sum())
+    total = -(-ids // stride)
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = int(firsts.value[TaskContext.get().partitionId()])
-        for batch in (part for b in batches for part in _slices(b)):
-            data = _raw(batch)
-            counts = _counts(data, stride)
-            numbers = np.arange(at, at + int(counts.sum()), dtype=np.int64)
-            at += len(numbers)
-            owner = np.repeat(np.arange(len(data)), counts)
-            part = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-            cut = [data[o][p * stride : (p + 1) * stride] for o, p in zip(owner.tolist(), part.tolist(), strict=True)]
-            columns = [feistel_slots(numbers, total, key), numbers, batch.column("doc_id").take(pa.array(owner)), part, [len(c) // width for c in cut], pa.array(cut, pa.binary())]
-            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns], names=names)
+        at, stream, docs_here, begins = int(firsts.value[TaskContext.get().partitionId()]), b"", [], np.zeros(0, np.int64)
+        kind_of = None
+
+        def rows(n: int) -> pa.RecordBatch:
+            made = _fragments(stream[: n * width], at, docs_here, begins, width, stride)
+            if at + n == ids:  # the end of the table fills up its sequence
+                made["tokens"][-1] += b"\xff" * (-ids % stride * width)
+            made["slot"] = feistel_slots(made["number"], total, key)
+            arrays = []
+            for name in names:
+                value = made[name]
+                if isinstance(value, tuple):
+                    offsets = pa.array(np.concatenate([[0], np.cumsum(value[1])]).astype(np.int32))
+                    arrays.append(pa.ListArray.from_arrays(offsets, pa.array(value[0], kind_of if name == "doc_ids" else pa.int64())))
+                else:
+                    arrays.append(pa.array(value, pa.binary() if name == "tokens" else pa.int64()))
+            return pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return texts.mapInArrow(cut_up, f"slot bigint, number bigint, doc_id {kind}, part bigint, n_tokens bigint, tokens binary"), total
+        for batch in (part for b in batches for part in _slices(b)):
+            data, kind_of = _raw(batch), batch.column("doc_id").type
+            lengths = np.array([len(d) // width + 1 for d in data], np.int64)
+            begins = np.concatenate([begins, len(stream) // width + np.cumsum(lengths) - lengths])
+            docs_here = docs_here + batch.column("doc_id").to_pylist()
+            stream += b"".join(x for d in data for x in (d, separator))
+            n = len(stream) // width
+            whole = (at + n) // stride * stride - at  # what is left goes with the next batch
+            if whole > 0:
+                yield rows(whole)
+                keep = int(np.searchsorted(begins, whole, "right")) - 1 if whole < n else len(docs_here)
+                docs_here, begins = docs_here[keep:], begins[keep:] - whole
+                stream, at = stream[whole * width :], at + whole
+        if stream:
+            yield rows(len(stream) // width)
+
+    schema = FRAGMENT.format(kind=kind)
+    names = ["slot", "number", "at", "n_tokens", "doc_ids", "starts", "lengths", "tokens"]
+    return texts.mapInArrow(cut_up, schema), total, ids
 
 
 def shard_name(shard: int) -> str:
@@ -165,20 +215,17 @@ def shard_name(shard: int) -> str:
 def write_shards(docs: DataFrame, folder: str, key: int, stride: int = STRIDE, per_shard: int = PER_SHARD) -> DataFrame:
     """Writes the shards below ``folder``, which all executors reach, and gives their index.
 
-    Index: slot, shard, offset (bytes), doc_id, part (of the text), n_tokens, crc32 of the tokens. The
+    Index: slot, shard, offset (bytes), n_tokens, the pieces' doc_ids, starts and lengths, crc32 of the bytes. The
     files are there once the index has been computed; computing it again finds them and does not write.
     """
-    rows, total = sequences(docs, key, stride)
+    rows, total, _ = sequences(docs, key, stride)
     width = id_bytes(docs)
-    stride, filling = stride * width, b"\0" if width == 1 else b"\xff"
+    stride *= width
     shards = max(1, -(-total // per_shard))
-    # a task writes a run of whole shards
-    tasks = min(shards, max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    dealt = rows.withColumn("shard", F.expr(f"slot div {per_shard}L"))
-    target = F.expr(f"cast(shard * {tasks} div {shards} as int)")
-    ordered = dealt.repartitionById(tasks, target).sortWithinPartitions("slot")
+    dealt = rows.drop("number").withColumn("shard", F.expr(f"slot div {per_shard}L"))
+    ordered = dealt.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("slot", "at")
     kind = dict(docs.dtypes)["doc_id"]
-    names = ["slot", "shard", "offset", "doc_id", "part", "n_tokens", "crc32"]
+    names = ["slot", "shard", "offset", "n_tokens", "doc_ids", "starts", "lengths", "crc32"]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = pyarrow.fs.FileSystem.from_uri(folder)
@@ -205,13 +252,13 @@ def write_shards(docs: DataFrame, folder: str, key: int, stride: int = STRIDE, p
                         temporary = f"{root}/.{shard_name(shard)}.{uuid.uuid4().hex}"
                         stream = files.open_output_stream(temporary)
                 if stream is not None:
-                    stream.write(b"".join(d.ljust(stride, filling) for d in data[start:end]))
-            offset = (batch.column("slot").to_numpy() - of * per_shard) * stride
-            columns = {"offset": pa.array(offset), "crc32": pa.array([zlib.crc32(d) for d in data], pa.int64())}
+                    stream.write(b"".join(data[start:end]))
+            offset = (batch.column("slot").to_numpy() - of * per_shard) * stride + batch.column("at").to_numpy() * width
+            columns = {"offset": pa.array(offset), "crc32": pa.array([zlib.crc32(d[: n * width]) for d, n in zip(data, batch.column("n_tokens").to_pylist(), strict=True)], pa.int64())}
             yield pa.RecordBatch.from_arrays([columns.get(n) if n in columns else batch.column(n) for n in names], names=names)
         close()
 
-    return ordered.mapInArrow(write, f"slot bigint, shard bigint, offset bigint, doc_id {kind}, part bigint, n_tokens bigint, crc32 bigint")
+    return ordered.mapInArrow(write, f"slot bigint, shard bigint, offset bigint, n_tokens bigint, doc_ids array<{kind}>, starts array<bigint>, lengths array<bigint>, crc32 bigint")
 
 
 def read_sequences(folder: str, first: int, count: int, stride: int = STRIDE, per_shard: int = PER_SHARD) -> Iterator[bytes]:
