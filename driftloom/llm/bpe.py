@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from driftloom.llm.common import list_column, map_batches
+from driftloom.llm.common import _slices, list_column, map_batches
 
 _NEVER = 1 << 60
 #: Keys remembered in a generation; two are kept.
@@ -394,6 +394,10 @@ def _merges(rank_file: bytes) -> Merges:
 _words: dict[tuple[int, str], Words] = {}
 
 
+#: Text that is cut into words at once: some twenty times as many bytes are held for it.
+ENCODE_BYTES = 2_000_000
+
+
 def encode(spark: SparkSession, docs: DataFrame, rank_path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep`` and ``token_ids`` (array of int) of every row's whole ``text``.
 
@@ -412,7 +416,8 @@ def encode(spark: SparkSession, docs: DataFrame, rank_path: str, pattern: str, k
         words = _words[id(merges), pattern]
 
         def step(batch: pa.RecordBatch) -> dict:
-            ids, lengths = words.encode_all(batch.column("text").fill_null(""))
+            parts = [words.encode_all(part.column("text").fill_null("")) for part in _slices(batch, ENCODE_BYTES)]
+            ids, lengths = (np.concatenate(found) for found in zip(*parts, strict=True))
             return {c: batch.column(c) for c in keep} | {"token_ids": list_column(ids, lengths.tolist(), pa.int32())}
 
         return step

@@ -40,14 +40,14 @@ def map_batches(df: DataFrame, columns: list[str], schema: str, work: Callable[[
 SLICE_BYTES = 8_000_000
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    if batch.nbytes <= SLICE_BYTES or batch.num_rows < 2:
+def _slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    if batch.nbytes <= most or batch.num_rows < 2:
         if batch.num_rows:
             yield batch
         return
     half = batch.num_rows // 2
-    yield from _slices(batch.slice(0, half))
-    yield from _slices(batch.slice(half))
+    yield from _slices(batch.slice(0, half), most)
+    yield from _slices(batch.slice(half), most)
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
