@@ -202,6 +202,17 @@ def w6_stream(spark, sf):
     return whole.where("document_count is not null")
 
 
+def v16_stream(spark, sf):
+    """Counters of a bounded run over four files of window batches."""
+    path = _folder(spark, "counted")
+    wn.window_batches(sc.hopped(spark, sf), sc.KEY, seq="event_id").select("document_count", "max_seq").repartition(4).write.parquet(path)
+    arriving = spark.readStream.schema("document_count long, max_seq long").option("maxFilesPerTrigger", 1).parquet(path)
+    query = sinks.run_available(sinks.observed(arriving), f"counted-{uuid.uuid4().hex}", _folder(spark, "progress"))
+    query.awaitTermination()
+    found = sinks.progress_counters(query)
+    return spark.createDataFrame([(found["batches"], found["documents"], found["max_seq"])], "batches long, documents long, max_seq long")
+
+
 def w8_stream(spark, sf):
     docs = sw.new_documents(_events_stream(spark, sf), ["event_type", "event_id"])
     return _run(docs.select("event_type", "event_id", "ms"), "documents")
@@ -263,6 +274,7 @@ QUERIES = {
     "s12_watch_directory": s12,
     "s13_bounded_run": s13,
     "w1_stream_batches": w1_stream,
+    "v16_progress_counters": v16_stream,
     "w6_stream_split_windows": w6_stream,
     "w7_stream_high_water": w7_stream,
     "w8_stream_new_documents": w8_stream,
@@ -297,6 +309,7 @@ QUALIFY count(*) OVER (PARTITION BY event_type, window_start) >= 5""",
     "s12_watch_directory": "SELECT md5(text) AS text_md5, true AS has_file, true AS has_time FROM documents",
     "s13_bounded_run": "SELECT event_type AS key, count(*) AS n FROM events GROUP BY ALL",
     "w1_stream_batches": sc.batches_sql(5, extra=", max(event_id) AS max_seq"),
+    "v16_progress_counters": f"SELECT count(*) AS batches, sum(document_count)::BIGINT AS documents, max(max_seq) AS max_seq FROM ({sc.batches_sql(5, extra=', max(event_id) AS max_seq')})",
     "w6_stream_split_windows": f"""SELECT event_type, window_start, count(*) AS document_count, CAST(ceil(count(*) / {CHUNK}) AS BIGINT) AS parts, least(count(*), {CHUNK})::BIGINT AS largest,
   string_agg(event_id, ',' ORDER BY event_id) AS ids FROM ({sc.hop_sql(sc.EVENTS_SQL)}) GROUP BY event_type, window_start
 HAVING count(*) >= 5 AND max(window_end) < (SELECT max(ms) FROM ({sc.EVENTS_SQL}))""",

@@ -69,6 +69,16 @@ def observed(batches: DataFrame, name: str = "progress") -> DataFrame:
     )
 
 
+def progress_counters(query: StreamingQuery, name: str = "progress") -> dict[str, int | None]:
+    """Counters of :func:`observed` over the micro-batches that a query still remembers.
+
+    Spark keeps the latest hundred (``spark.sql.streaming.numRecentProgressUpdates``); a run that is longer needs the listener.
+    """
+    rows = [p.observedMetrics[name] for p in query.recentProgress if name in (p.observedMetrics or {})]
+    highest = [r["max_seq"] for r in rows if r["max_seq"] is not None]
+    return {"batches": sum(r["batches"] for r in rows), "documents": sum(r["documents"] or 0 for r in rows), "max_seq": max(highest, default=None)}
+
+
 class ProgressListener(StreamingQueryListener):
     """Adds up observed counters and calls ``report`` each time ``every`` more batches are seen."""
 
