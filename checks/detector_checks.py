@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 from checks import table
 from checks.corpus_checks import sql_clean
 from checks.stream_checks import EVENTS_SQL, SIZE, events_ms, hash60_sql
-from driftloom.functions.hashing import PRIME, mix31_sql
+from driftloom.functions.hashing import PRIME, hash60, mix31_sql
 from driftloom.functions.student import critical, two_sided_p
 from driftloom.functions.text import clean_text
 from driftloom.operators import detect as dt
 from driftloom.operators import embed as em
 from driftloom.operators import iforest, mmd, padd
 from driftloom.operators import windows as wn
+from driftloom.operators.ordered import dense_position
 from driftloom.storage import cut
 
 N, REF, DIM = 50, 100, 64
@@ -111,6 +112,12 @@ def a9(spark, sf):
     return dt.false_alarm_rate(found)
 
 
+def e4_sparse(spark, sf):
+    """Positions by a hash: an order with large gaps."""
+    rows = table(spark, sf, "embeddings").select(F.concat(F.lit("s"), F.col("vec_id") % 2).alias("stream_id"), F.col("vec_id").alias("seq"), hash60("sparse", F.col("vec_id")).alias("_h"))
+    return dense_position(rows, ["stream_id"], "_h", tiebreak=["seq"]).select("stream_id", "pos", "seq")
+
+
 def i1(spark, sf):
     nodes = iforest.fit_forest(em.reference_window(positioned(spark, sf), REF))
     return nodes.withColumns({"cut": F.round("cut", 6), "path": F.round("path", 6)})
@@ -161,6 +168,7 @@ QUERIES = {
     "e3_vocabulary": vocab,
     "e3_noise_documents": lambda s, d: em.noise_documents(vocab(s, d)),
     "e4_dense_position": lambda s, d: positioned(s, d).select("stream_id", "pos", "seq"),
+    "e4_sparse_position": e4_sparse,
     "e5_reference_window": lambda s, d: em.reference_window(positioned(s, d), REF).select("stream_id", "pos", "seq"),
     "e6_bounded_store": lambda s, d: em.bounded_store(positioned(s, d), ["stream_id"], "pos").select("stream_id", "seq", F.col("age").cast("long").alias("age")),
     "e7_trigger_batches": lambda s, d: em.trigger_batches(positioned(s, d), N, REF).select("stream_id", "batch_no", "pos", "seq"),
@@ -402,6 +410,7 @@ ORACLE = FOREST_ORACLE | {
     "a6_inactive_neurons": f"""WITH {TRIG}, rowsin AS (SELECT stream_id || '|' || batch_no || '|' || pos AS k, v FROM trig), {acts_sql('rowsin')}
 SELECT stream_id, batch_no, round(avg(CASE WHEN s < 1e-8 THEN 1.0 ELSE 0.0 END), 6) AS inactive_share, avg(CASE WHEN s < 1e-8 THEN 1.0 ELSE 0.0 END) > 0.30 AS is_warning
 FROM (SELECT split_part(k, '|', 1) AS stream_id, split_part(k, '|', 2)::BIGINT AS batch_no, neuron, var_pop(a) AS s FROM acts GROUP BY ALL) GROUP BY ALL""",
+    "e4_sparse_position": f"""SELECT 's' || vec_id % 2 AS stream_id, row_number() OVER (PARTITION BY vec_id % 2 ORDER BY {hash60_sql("'sparse'", 'vec_id')}, vec_id) - 1 AS pos, vec_id AS seq FROM embeddings""",
     "i5_needs_refit": """SELECT label, size, fitted, fitted IS NULL OR abs(size - fitted) > size * 0.1 AS refit FROM (
   SELECT label, count(*) AS size, nullif(count(*) FILTER (vec_id % 9 < label), 0) AS fitted FROM embeddings GROUP BY label)""",
     "r1_all_detectors": f"SELECT * FROM ({_MMD} {_MMD_ROWS}) UNION ALL BY NAME SELECT * FROM ({FOREST_ORACLE['i4_forest_verdict']}) UNION ALL BY NAME SELECT * FROM ({_vote_rows(P)})",
