@@ -3,11 +3,14 @@
 Shapes (assignments to a credential's name, access keys, long hexadecimal strings) give the base spans.
 The entropy method adds others: every candidate string is put into a character class, a window slides
 over it, and the Shannon entropy of the window is kept up by counts of what enters and leaves. Windows
-at or above the class's threshold give a span, unless the allow-list knows the string or a base span
-touches it.
-
-A null text counts as empty and has no spans. Texts are scanned whole, of any length; positions are in
-code points, the end is exclusive. Repeated rows and ids give repeated rows.
+at or above the class's threshold give a span, unless the allow-list knows the whole string: words, names
+of words and numbers, UUIDs, runs of the alphabet, hosts and mail addresses. What assignments and access
+keys leave of a candidate is scanned like any other; one that holds a hexadecimal string and more is
+scanned whole, so its span may overlap the base span. Letters of one case count as words up to
+``LONGEST_WORD``, so a secret of such letters alone is found only beyond that length.
+
+A null text counts as empty and has no spans. Texts are scanned whole, of any length, in linear time;
+positions are in code points, the end is exclusive. Repeated rows and ids give repeated rows.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -41,27 +45,44 @@ class Window(NamedTuple):
 
 #: Per character class: window length and the entropy a window must reach. Uniformly drawn characters
 #: stay above it in nearly all windows of that length; words, counters and dates stay below.
-CLASSES = {"hexadecimal": Window(24, 3.0), "letters and digits": Window(20, 3.5), "base64": Window(20, 3.7)}
-
-#: Strings that look random and are no secrets: UUIDs, dated or versioned names, runs of the alphabet.
-ALLOWED = (
-    re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),
-    re.compile(r"[A-Za-z_/=-]+[0-9]{0,8}(?:[-_/][0-9]{1,8})*"),
-    re.compile(r"[0-9_/=+-]+"),
-    re.compile(r"(?:[A-Za-z]{2,}[-_/]|[0-9]{1,4}[-_/])+(?:[A-Za-z]+|[0-9]+)"),
+CLASSES = {
+    "hexadecimal": Window(24, 3.0),
+    "letters of one case": Window(28, 3.75),
+    "one case and digits": Window(20, 3.35),
+    "letters": Window(20, 3.55),
+    "letters and digits": Window(20, 3.5),
+    "base64": Window(20, 3.6),
+}
+
+LONGEST_WORD = 24
+SEPARATORS = re.compile(r"[-_/+=]+")
+#: A part of a name: a word, words in camel case, a number, each with a little of the other.
+NAME_PART = re.compile(
+    rf"[A-Z]?[a-z]{{1,{LONGEST_WORD}}}[0-9]{{0,8}}|[A-Z]{{1,{LONGEST_WORD}}}[0-9]{{0,8}}|[0-9]{{1,8}}[a-z]{{0,3}}|[0-9]+|[A-Z]?[a-z]+(?:[A-Z][a-z]{{2,}})+[0-9]{{0,4}}"
 )
+UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 RUNS = ("0123456789abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyz0123456789")
+#: What stands before the @ of an address with a scheme, which may be a credential; and a mail domain.
+USER_INFO = re.compile(r"://([^\s/@]+)@")
+MAIL_DOMAIN = re.compile(r"@[A-Za-z0-9-]+\.[A-Za-z]")
 
 
 def character_class(candidate: str) -> str:
     if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", candidate):
         return "hexadecimal"
-    return "letters and digits" if candidate.isalnum() else "base64"
+    if not candidate.isalnum():
+        return "base64"
+    one_case = candidate in (candidate.lower(), candidate.upper())
+    if candidate.isalpha():
+        return "letters of one case" if one_case else "letters"
+    return "one case and digits" if one_case else "letters and digits"
 
 
 def allowed(candidate: str) -> bool:
+    if UUID.fullmatch(candidate) or all(NAME_PART.fullmatch(part) for part in SEPARATORS.split(candidate) if part):
+        return True
     low = candidate.lower()
-    return any(p.fullmatch(candidate) for p in ALLOWED) or any(run[i : i + 16] in low for run in RUNS for i in range(0, len(run) - 15, 4))
+    return any(run[i : i + 16] in low for run in RUNS for i in range(0, len(run) - 15, 4))
 
 
 def entropy_span(candidate: str, window: Window) -> tuple[int, int] | None:
@@ -108,19 +129,59 @@ def scan(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all spans, by start, then kind in the order of :data:`KINDS`."""
     found = base_spans(text)
     if has_long_word(text):
-        taken = sorted((s, e) for s, e, _ in found)
-        for match in CANDIDATE.finditer(text):
-            word = match[0]
-            if len(word) < SHORTEST or sum(map(str.isdigit, word)) < 3 or not any(map(str.isalpha, word)) or allowed(word):
+        found += [(start, end, "entropy") for start, end in _entropy_spans(text, found)]
+    return sorted(found, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
+
+
+def _entropy_spans(text: str, base: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
+    named = _Forward((s, e) for s, e, kind in base if kind != "hex")
+    hexes = _Forward((s, e) for s, e, kind in base if kind == "hex")
+    credentials = _Forward(m.span(1) for m in USER_INFO.finditer(text)) if "://" in text else _Forward(())
+    for match in CANDIDATE.finditer(text):
+        start, end = match.span()
+        if end - start < SHORTEST:
+            continue
+        for low, high in _outside(start, end, named.meeting(start, end)):
+            if text.startswith("//", low) and text[low - 1 : low] == ":":
+                # a host ends at the next slash; before an @ there is no host yet
+                host = low + 2 if text[high : high + 1] == "@" else text.find("/", low + 2, high)
+                low = high if host < 0 else host
+            elif high == end and MAIL_DOMAIN.match(text, high) and not credentials.meeting(low, high):
                 continue
-            if text[match.end() : match.end() + 1] == "@" or (word.startswith("//") and text[: match.start()].endswith(":")):
+            word = text[low:high]
+            if len(word) < SHORTEST or allowed(word):
                 continue
-            if any(s < match.end() and match.start() < e for s, e in taken):
+            # nothing but a base span and words around it
+            known = hexes.meeting(low, high)
+            if known and all(e - s < 4 or allowed(text[s:e]) for s, e in _outside(low, high, known)):
                 continue
             span = entropy_span(word, CLASSES[character_class(word)])
             if span:
-                found.append((match.start() + span[0], match.start() + span[1], "entropy"))
-    return sorted(found, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
+                yield low + span[0], low + span[1]
+
+
+class _Forward:
+    """Spans that are asked for from left to right, each passed once."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]]):
+        self.spans, self.at = sorted(spans), 0
+
+    def meeting(self, start: int, end: int) -> list[tuple[int, int]]:
+        while self.at < len(self.spans) and self.spans[self.at][1] <= start:
+            self.at += 1
+        last = self.at
+        while last < len(self.spans) and self.spans[last][0] < end:
+            last += 1
+        return self.spans[self.at : last]
+
+
+def _outside(start: int, end: int, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out = []
+    for s, e in spans:
+        if s > start:
+            out.append((start, s))
+        start = max(start, e)
+    return [*out, (start, end)] if start < end else out
 
 
 SPANS = "array<struct<kind: string, start: bigint, end: bigint>>"
@@ -138,7 +199,7 @@ def find_secrets(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFr
         return step
 
     kinds = dict(docs.dtypes)
-    return map_batches(docs, [*keep, "text"], ", ".join(f"{c} {kinds[c]}" for c in keep) + f", spans {SPANS}", work)
+    return map_batches(docs, [*keep, "text"], ", ".join(f"`{c}` {kinds[c]}" for c in keep) + f", spans {SPANS}", work)
 
 
 def redacted(text: str) -> str:
