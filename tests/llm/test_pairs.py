@@ -89,6 +89,7 @@ def test_passages_with_replaced_words(spark, documents):
         (3, " ".join([*words(9), items[3][1], *words(9)])),
         (4, items[4][1]),
         (5, " ".join(words(200))),
+        (9, f"so so {items[5][1]} {items[5][1].replace(' ', ' and ')} it {items[5][1]}"),
         (6, " ".join(items[0][1].split()[:10])),
         (2, "x " + items[1][1].upper().replace(" ", ", ") + " y"),
         *ODD,
@@ -96,9 +97,9 @@ def test_passages_with_replaced_words(spark, documents):
     bench = spark.createDataFrame(items, "item_id long, text string")
     docs = documents(rows)
     found = decontaminate.find_passages(docs, bench)
-    assert sorted((r.doc_id, r.item_id, r.matched, r.at) for r in found.collect()) == [(1, 0, 37, 50), (2, 1, 30, 1), (3, 3, 8, 9), (4, 4, 5, 0)]
+    assert sorted((r.doc_id, r.item_id, r.matched, r.at) for r in found.collect()) == [(1, 0, 37, 50), (2, 1, 30, 1), (3, 3, 8, 9), (4, 4, 5, 0), (9, 5, 3, 2)]
     kept = decontaminate.without_passages(docs, bench)
-    assert kept.columns == docs.columns and kept.count() == len(rows) - 5
+    assert kept.columns == docs.columns and kept.count() == len(rows) - 6
     assert decontaminate.find_passages(docs, bench.limit(0)).count() == 0 and decontaminate.find_passages(documents([]), bench).count() == 0
 
 
@@ -121,6 +122,20 @@ def test_excerpts_and_cut_items_are_found(spark, documents):
     assert sorted((r.doc_id, r.item_id, r.matched, r.at) for r in found) == [(1, 0, 25, 10), (2, 1, 150, -70), (3, 2, 45, 9), (5, 4, 51, 20), (7, 2, 26, 20)]
 
 
+@pytest.mark.parametrize("most", [0, decontaminate.BROADCAST_SEEDS])
+def test_items_by_their_words(spark, documents, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", most)
+    rng = random.Random(4)
+    words = lambda n: " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(n))
+    a, b, c = words(20), words(30), words(25)
+    bench = spark.createDataFrame([(1, a), (1, b), (None, c), (4, "unlikely"), (5, "two words"), (6, a)], "item_id long, text string")
+    rows = [(1, words(9) + " " + a), (2, b), (None, c), (None, c), (4, "an Unlikely end"), (5, "of two words"), (6, "of two of words")]
+    found = decontaminate.find_passages(documents(rows), bench).collect()
+    expected = [(1, 1, 20, 9), (1, 6, 20, 9), (2, 1, 30, 0), (None, None, 25, 0), (4, 4, 1, 1), (5, 5, 2, 1)]
+    assert sorted(map(str, ((r.doc_id, r.item_id, r.matched, r.at) for r in found))) == sorted(map(str, expected))
+    assert decontaminate.without_passages(documents([*rows, *rows]), bench).count() == 2
+
+
 def test_seeds_join_without_broadcast(spark, documents, monkeypatch):
     monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", 0)
     text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
