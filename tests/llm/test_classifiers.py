@@ -121,6 +121,20 @@ def test_grams_do_not_cross_texts():
     assert letters.tolist() == [2, 0, 3]
 
 
+def test_every_language_is_learnt_and_odd_rows_have_a_result(spark, documents):
+    rng = random.Random(3)
+    alphabets = {f"l{k:03d}": [chr(0x4E00 + 8 * k + j) for j in range(8)] for k in range(210)}
+    rows = [(i, "".join(rng.choices(a, k=40)), lang, "src", 1, 0.0, "", 0.0) for lang, a in alphabets.items() for i in (int(lang[1:]), 1000 + int(lang[1:]))]
+    rows += [(5, "repeated id", "l005", "src", 1, 0.0, "", 0.0)] * 50
+    model = language.learn(spark.createDataFrame(rows, documents([]).schema), F.col("doc_id") >= 0)
+    assert model.languages == sorted(alphabets)
+    out = language.predict_language(documents([*ODD, (99, "".join(alphabets["l207"])), (98, "12 34!")]), model).collect()
+    by = {r.doc_id: r for r in out}
+    assert len(out) == len(ODD) + 2 and by[99].lang_pred == "l207"
+    assert {by[i].lang_pred for i in (1, 2, 3, 8, 98)} == {"und"} and {by[i].score for i in (1, 2, 3, 8, 98)} == {0.0}
+    assert all(0 <= r.score <= 1 for r in out)
+
+
 def held_out(spark, sf, rows, column):
     truth = {r.doc_id: r[column] for r in spark.read.parquet(f"{sf}/{'labels' if column != 'lang' else 'documents'}.parquet").collect()}
     return [(truth[r.doc_id], r) for r in rows if r.held_out and r.doc_id in truth]
