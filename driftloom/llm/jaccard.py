@@ -239,6 +239,14 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, r
 
     Links to copies count too. Copies are not expanded into pairs.
     """
+    named = _components_of_texts(docs, threshold, n, recall)
+    names = named.groupBy("component").agg(F.min("least").alias("class_id"))
+    per_text = named.join(names, "component").select("key", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
+    return docs.select("doc_id", text_key().alias("key")).join(per_text, "key").select("doc_id", "class_id", "n_links")
+
+
+def _components_of_texts(docs: DataFrame, threshold: float, n: int, recall: float) -> DataFrame:
+    """(key, least, copies, links, component) of each different text; links to other texts only."""
     docs = docs.select("doc_id", "text")
     bands, rows = bands_and_rows(threshold, recall)
     classes = cut(_classes(docs, bands, rows, n))
@@ -250,16 +258,18 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, r
     links = verified.groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))
     joined = components(verified.where("b is not null").select("a", "b")).withColumnRenamed("node", "key")
     named = classes.join(links, "key", "left").join(joined, "key", "left")
-    named = named.select("key", "least", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "key").alias("component"))
-    names = named.groupBy("component").agg(F.min("least").alias("class_id"))
-    per_text = named.join(names, "component").select("key", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
-    return docs.select("doc_id", text_key().alias("key")).join(per_text, "key").select("doc_id", "class_id", "n_links")
+    return named.select("key", "least", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "key").alias("component"))
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: float = RECALL) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each component the document of the least id stays.
 
-    An id stands for one document: rows that repeat id and text become one.
+    A null id is greater than any other; of equal ids the text with the least hash stays. Rows that repeat id
+    and text become one.
     """
-    kept = near_duplicates(docs, threshold, n, recall).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi").dropDuplicates(["doc_id", "text"])
+    named = _components_of_texts(docs, threshold, n, recall)
+    order = F.struct(F.col("least").isNull(), "least", "key")
+    stays = named.groupBy("component").agg(F.min(order).alias("kept")).select(F.col("kept.least").alias("_kept_id"), F.col("kept.key").alias("_kept_key"))
+    keyed = docs.withColumn("_text_key", text_key())
+    kept = keyed.join(stays, (F.col("_text_key") == F.col("_kept_key")) & F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    return kept.drop("_text_key").dropDuplicates(["doc_id", "text"])

@@ -71,6 +71,16 @@ def test_one_of_each(documents):
     assert jaccard.one_of_each(documents([])).count() == 0
 
 
+def test_one_of_each_with_null_and_repeated_ids(documents):
+    rng = random.Random(21)
+    hidden, shared, apart = (family(rng, n, words=250) for n in (4, 3, 2))
+    rows = [(None, t) for t in hidden] + [(None, hidden[0])] + [(7, shared[0]), (7, shared[1]), (8, shared[2])]
+    rows += [(3, apart[0]), (None, apart[1]), (7, "quite another text")]
+    kept = jaccard.one_of_each(documents(rows)).collect()
+    assert sorted(str(r.doc_id) for r in kept) == ["3", "7", "7", "None"]
+    assert {r.text for r in kept if r.doc_id == 3} == {apart[0]} and "quite another text" in {r.text for r in kept}
+
+
 def test_bands_reach_the_recall():
     bands, rows = jaccard.bands_and_rows(0.8, 0.9999)
     p = 0.8**rows
