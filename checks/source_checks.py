@@ -226,6 +226,26 @@ def w7_stream(spark, sf):
     return _run(sw.high_water(arriving, "event_type"), "high_water")
 
 
+def w7_documents(spark, sf):
+    """The documents of ``w7_split_windows``, from the messages as a stream of several micro-batches."""
+    sent = wn.batch_messages(sc.hopped(spark, sf), sc.KEY, "event_id", ["event_id", "ms"], chunk=7).withColumn("arrival", F.col("windowEnd"))
+    path = f"{shared_folder(spark)}/messages/{uuid.uuid4().hex}"
+    # three files in the order of arrival, borders anywhere within a window's parts
+    sent.repartitionByRange(3, "arrival", "part").sortWithinPartitions("arrival", "part").write.parquet(path)
+    names = sorted(r.name for r in spark.read.parquet(path).select(F.input_file_name().alias("name")).distinct().collect())
+    for name in names:
+        spark.read.parquet(name).coalesce(1).write.mode("append").parquet(f"{path}_in_order")
+    stream = spark.readStream.schema(sent.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}_in_order")
+    new = _run(sw.new_documents_high_water(stream, "event_type", "arrival"), "documents")
+    return new.select("event_type", "arrival", F.inline("documents")).select("event_type", "arrival", "event_id")
+
+
+def e6_stream(spark, sf):
+    rows = _run(sd.latest_vectors(_vector_stream(spark, sf)), "store", "update")
+    last = rows.groupBy("stream_id").agg(F.max("epoch").alias("epoch"))
+    return rows.join(last, ["stream_id", "epoch"]).select("stream_id", (F.col("seq") % (1 << 32)).alias("seq"), "age")
+
+
 def x4_stream(spark, sf):
     counts = _run(wn.word_count(_stream(spark, sf, "conversations"), "text"), "words", "complete")
     last = counts.groupBy("word").agg(F.max_by("n", "epoch").alias("n"))
@@ -277,6 +297,8 @@ QUERIES = {
     "v16_progress_counters": v16_stream,
     "w6_stream_split_windows": w6_stream,
     "w7_stream_high_water": w7_stream,
+    "w7_stream_documents": w7_documents,
+    "e6_stream_store": e6_stream,
     "w8_stream_new_documents": w8_stream,
     "m6_stream_warmup": m6_stream,
     "x4_stream_word_count": x4_stream,
@@ -315,6 +337,8 @@ QUALIFY count(*) OVER (PARTITION BY event_type, window_start) >= 5""",
 HAVING count(*) >= 5 AND max(window_end) < (SELECT max(ms) FROM ({sc.EVENTS_SQL}))""",
     "m6_stream_warmup": dc.ORACLE["m6_noise_warmup"],
     "w7_stream_high_water": sc.ORACLE["w7_new_documents_high_water"],
+    "w7_stream_documents": sc.ORACLE["w7_split_windows"],
+    "e6_stream_store": dc.ORACLE["e6_bounded_store"],
     "w8_stream_new_documents": sc.ORACLE["w8_new_documents_exact"],
     "x4_stream_word_count": CORPUS_ORACLE["x4_word_count"].replace("FROM documents", "FROM conversations"),
     "m7_stream_verdicts": dc.ORACLE["m7_mmd_verdict"],

@@ -17,7 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from driftloom.operators import mmd, padd
 from driftloom.operators.detect import SCORES, Detector, _is_alert
-from driftloom.operators.embed import REFERENCE_SIZE, TRIGGER_N
+from driftloom.operators.embed import REFERENCE_SIZE, STORE_SIZE, TRIGGER_N
 
 _STATE = "dim int, batch_no long, reference binary, open binary, history binary, thresholds binary"
 _COLUMNS = {"stream_id": str, "batch_no": "int64", "detector": str, "score": float, "threshold": float, "is_alert": object, "doc_count": "int32", "last_seq": "int64"}
@@ -94,3 +94,30 @@ def _fold(d: Detector, stream: str, ref: np.ndarray, number: int, batch: np.ndar
     if count > d.params.most_rejections:
         return found, now
     return found, np.concatenate([past, now])[-d.params.max_history :]
+
+
+def latest_vectors(docs: DataFrame, size: int = STORE_SIZE) -> DataFrame:
+    """The latest ``size`` vectors of each stream that a micro-batch touches, ``age`` 1 the latest.
+
+    Run it with output mode ``update``: the rows of a stream replace those it sent before. State of a key is
+    the store itself. What arrives is merged piece by piece, so a large micro-batch of one key is never held whole;
+    rows may come in any order.
+    """
+
+    def step(name: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seqs, vectors = np.zeros(0, np.int64), None
+        if state.exists:
+            dim, *raw = state.get
+            seqs, vectors = np.frombuffer(raw[0], np.int64), np.frombuffer(raw[1], np.float32).reshape(-1, dim)
+        for part in parts:
+            fresh = np.stack(part["vec"]).astype(np.float32)
+            seqs = np.concatenate([seqs, part["seq"].to_numpy(np.int64)])
+            vectors = fresh if vectors is None else np.vstack([vectors, fresh])
+            kept = np.argsort(-seqs, kind="stable")[:size]
+            seqs, vectors = seqs[kept], vectors[kept]
+        state.update((vectors.shape[1], seqs.tobytes(), vectors.tobytes()))
+        yield pd.DataFrame({"stream_id": name[0], "seq": seqs, "age": np.arange(1, len(seqs) + 1), "vec": list(vectors)})
+
+    slim = docs.select("stream_id", "seq", "vec").where("seq is not null and vec is not null")
+    out = "stream_id string, seq long, age long, vec array<float>"
+    return slim.groupBy("stream_id").applyInPandasWithState(step, out, "dim int, seqs binary, vectors binary", "update", GroupStateTimeout.NoTimeout)

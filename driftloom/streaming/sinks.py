@@ -44,20 +44,36 @@ def earlier_epochs(spark: SparkSession, path: str, epoch: int) -> DataFrame | No
         return None
 
 
+DAY_MS = 86_400_000
+
+
 def alert_writer(path: str):
     """The same for alerts: one row for each stream, detector and window end over all epochs.
 
-    Within an epoch the latest counts; an alert that an earlier epoch has written is not written again.
+    Within an epoch the latest counts; an alert that an earlier epoch has written is not written again. Alerts
+    lie in folders by the day of their window's end, so an epoch reads only the days it has alerts of.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
         keys = [c for c in ("stream_id", "detector", "window_end") if c in batch.columns]
         rest = [c for c in batch.columns if c not in keys]
         last = batch.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col("detected_at")).alias("_a")).select(*keys, "_a.*")
-        earlier = earlier_epochs(batch.sparkSession, path, epoch)
-        if earlier is not None:
-            last = last.join(earlier.select(*keys).distinct(), keys, "left_anti")
-        epoch_writer(path)(last, epoch)
+        day = F.floor(F.coalesce(F.col("window_end"), F.lit(0)) / DAY_MS) if "window_end" in keys else F.lit(0)
+        last = last.withColumns({"_day": day.cast("int"), "epoch": F.lit(epoch), "_epoch": F.lit(epoch)})
+        last = last.persist()
+        try:
+            # a number for each day that a micro-batch has alerts of
+            days = sorted(r[0] for r in last.select("_day").distinct().collect())
+            new = last
+            for earlier in filter(None, (earlier_epochs(batch.sparkSession, f"{path}/_day={d}", epoch) for d in days)):
+                known = earlier.select(*(F.col(k).alias(f"_{k}") for k in keys)).distinct()
+                same = [new[k].eqNullSafe(known[f"_{k}"]) for k in keys]
+                new = new.join(known, same, "left_anti")
+            if days:
+                # a retry replaces what the attempt before it wrote
+                new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_day", "_epoch").parquet(path)
+        finally:
+            last.unpersist()
 
     return write
 

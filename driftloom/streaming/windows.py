@@ -84,6 +84,52 @@ def high_water(batches: DataFrame, key: str = "category", arrival: str = "arriva
     )
 
 
+def new_documents_high_water(
+    messages: DataFrame, key: str, arrival: str, count: str = "documentCount", batch: str = "batchId", first: str = "firstIndex"
+) -> DataFrame:
+    """The unseen ``documents`` of each arriving message, by the largest count its key has brought before.
+
+    The parts of a split window share ``batch`` and are one arrival, even if parts of other windows come between
+    them. State of a key: the largest count, and two numbers for each window that has not come whole. Rows of a
+    micro-batch are taken in the order of ``arrival`` and ``first``. Documents stay in the JVM's hands: Python
+    decides where they are cut and passes them on unread. Messages without new documents are dropped.
+    """
+    kinds = {f.name: f.dataType for f in messages.schema}
+    slim = messages.select(
+        F.col(key).alias("_key"), F.col(arrival).alias("arrival"), F.col(batch).alias("batch"), F.col(count).cast("long").alias("whole"),
+        F.col(first).cast("long").alias("first"), F.size("documents").cast("long").alias("here"), F.to_json("documents").alias("documents"),
+    )
+
+    def step(name: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        highest, names, firsts, missing = state.get if state.exists else (0, [], [], [])
+        open_windows = {b: [f, m] for b, f, m in zip(names, firsts, missing, strict=True)}
+        arrived = pd.concat(parts).sort_values(["arrival", "first"], kind="stable")
+        rows = []
+        for at, b, whole, begin, here, documents in zip(*(arrived[c] for c in ("arrival", "batch", "whole", "first", "here", "documents")), strict=True):
+            seen, left = open_windows.pop(b, None) or (highest, whole)
+            if left > here:
+                open_windows[b] = [int(seen), int(left - here)]
+            highest = max(highest, int(whole))
+            skip = min(max(int(seen - begin), 0), int(here))
+            if skip < here:
+                rows.append((name[0], int(at), b, int(whole), int(begin + skip), int(here - skip), skip, documents))
+        state.update((int(highest), list(open_windows), [f for f, _ in open_windows.values()], [m for _, m in open_windows.values()]))
+        yield pd.DataFrame(rows, columns=["_key", "arrival", "batch", "whole", "first_index", "n_new", "skip", "documents"])
+
+    found = slim.groupBy("_key").applyInPandasWithState(
+        step,
+        "_key string, arrival long, batch string, whole long, first_index long, n_new long, skip int, documents string",
+        "highest long, names array<string>, firsts array<long>, missing array<long>",
+        "append",
+        GroupStateTimeout.NoTimeout,
+    )
+    documents = F.from_json("documents", kinds["documents"])
+    return found.select(
+        F.col("_key").alias(key), F.col("arrival").alias(arrival), F.col("batch").alias(batch), F.col("whole").alias(count),
+        "first_index", "n_new", F.slice(documents, F.col("skip") + 1, F.col("n_new").cast("int")).alias("documents"),
+    )
+
+
 class _SplitWindow(StatefulProcessor):
     """Documents of one window, sent in parts as they come; only those of the part not yet sent are state."""
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 import time
 import uuid
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from driftloom.operators import detect as dt
@@ -173,3 +175,53 @@ def test_split_windows_equal_the_table_form(spark, tmp_path):
     assert whole == {k: v for k, v in want.items() if len(v) >= 5}
     assert all(v[-1].document_count == len(want[k]) and v[-1].max_seq == want[k][-1][0] for k, v in got.items() if v[-1].is_last)
     assert max(len(v) for v in got.values()) >= 5
+
+
+def _in_files(df, path, column, borders):
+    for low, high in itertools.pairwise(borders):
+        df.where((F.col(column) >= low) & (F.col(column) < high)).coalesce(1).write.mode("append").parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@pytest.mark.parametrize("together", [True, False])
+def test_high_water_documents_of_a_stream(spark, tmp_path, together):
+    docs = spark.range(60).select(F.when(F.col("id") % 4 == 0, "b").otherwise("c").alias("category"), F.col("id").alias("seq"), F.concat(F.lit("t"), "id").alias("text"), (F.col("id") * 3000).alias("ms"))
+    sent = wn.batch_messages(wn.hopping(docs, "ms"), ["category"], "seq", ["seq", "text"], chunk=3).withColumn("arrival", F.col("windowStart"))
+    want = wn.new_documents_high_water(sent, ["category"], "arrival", "documentCount", batch="batchId")
+    # parts of two windows may come in turns once both have begun
+    turn = F.col("arrival") * 10 + F.when(F.col("part") == 0, 0).otherwise(0 if together else 160_000) + F.col("part")
+    files = sent.withColumn("turn", turn)
+    stream = _in_files(files, str(tmp_path / "sent"), "turn", (0, 200_000, 400_000, 650_000, 10**9))
+    got = run(sw.new_documents_high_water(stream, "category", "arrival"), "append", tmp_path)
+    flat = lambda df: sorted((r.category, r.arrival, d.seq, d.text) for r in df.collect() for d in r.documents)
+    assert flat(got) == flat(want) and flat(got)
+    assert all(r.n_new == len(r.documents) for r in got.collect())
+
+
+def test_latest_vectors_in_any_order(spark, tmp_path):
+    rows = [("a" if i % 3 else "b", i * 7 % 101, [float(i), 1.0], i) for i in range(101)] + [("a", None, [1.0, 1.0], 5), ("a", 500, None, 5)]
+    docs = spark.createDataFrame(rows, "stream_id string, seq long, vec array<float>, turn int")
+    out = run(sd.latest_vectors(_in_files(docs, str(tmp_path / "vectors"), "turn", (0, 30, 31, 101)), 10), "update", tmp_path)
+    got = {}
+    for r in out.collect():
+        got.setdefault((r.stream_id, r.epoch), []).append((r.age, r.seq, list(r.vec)))
+    for name in "ab":
+        last = max(e for s, e in got if s == name)
+        want = sorted(((s, v) for k, s, v, _ in rows if k == name and s is not None and v is not None), reverse=True)[:10]
+        assert sorted(got[name, last]) == [(k, s, v) for k, (s, v) in enumerate(want, 1)]
+
+
+def test_alerts_read_only_the_days_they_are_of(spark, tmp_path):
+    path, day = str(tmp_path / "alerts"), sinks.DAY_MS
+    write = sinks.alert_writer(path)
+    schema = "stream_id string, detector string, window_end long, detected_at long"
+    write(spark.createDataFrame([("s", "mmd", 5, 1), ("s", "mmd", day + 5, 1), (None, "mmd", None, 1)], schema), 0)
+    # what is no Parquet in another day's folder is not looked at
+    (tmp_path / "alerts" / "_day=7").mkdir()
+    (tmp_path / "alerts" / "_day=7" / "part.parquet").write_text("broken")
+    again = spark.createDataFrame([("s", "mmd", 5, 2), ("s", "mmd", day + 5, 2), ("s", "mmd", day + 6, 2), (None, "mmd", None, 2)], schema)
+    for _ in range(2):
+        write(again, 1)
+    write(again.limit(0), 2)
+    rows = [r for d in (0, 1) for r in spark.read.option("recursiveFileLookup", True).parquet(f"{path}/_day={d}").collect()]
+    assert sorted((str(r.window_end), r.epoch) for r in rows) == [("5", 0), (str(day + 5), 0), (str(day + 6), 1), ("None", 0)]
