@@ -3,7 +3,9 @@
 Every line is described by shares of character classes, repetition, length and the like, and by the same
 of the lines before and after it; values are cut into bins. The chain has two labels, a weight for each
 bin and label, and weights for the four transitions. It is trained on a bounded sample of labelled
-texts, whose lines take the label of the text. Forward-backward gives each line the probability to be
+texts. Labels of lines are hidden: the label of a text is what its lines show through a channel that lets
+a share of ``NOISE`` of them be of the other kind. So a line that good and bad texts have alike is not
+forced to the label of its text. Forward-backward gives each line the probability to be
 good; their mean, weighted by length, is the quality of the text, and a logistic curve fitted on the
 sample turns it into a score.
 
@@ -28,6 +30,10 @@ from driftloom.llm.common import fit_logistic, labelled_sample, list_column, map
 FIT_ROWS = 3_000
 BINS = 8
 STEPS, RATE, RIDGE = 120, 0.3, 2e-3
+#: Share of lines of a text that may be of the other label than the text.
+NOISE = 0.2
+#: Steps before the transitions move: contrasts between lines alone.
+CONTRAST_STEPS = 40
 
 NAMES = ("upper", "digit", "punctuation", "symbol", "bar", "distinct", "word_length", "length", "repeated", "bad_end")
 NEIGHBOURS = ("upper", "symbol", "bar", "distinct", "length")
@@ -131,24 +137,29 @@ def forward_backward(emission: np.ndarray, lengths: np.ndarray, transitions: np.
 
 
 def train(bins: np.ndarray, lengths: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and transitions of the largest penalised likelihood, by adaptive gradient steps."""
+    """Weights and transitions by adaptive gradient steps on the likelihood of the texts' labels.
+
+    With the hidden labels of lines summed out, the gradient is what the chain expects given the label
+    of the text less what it expects without it.
+    """
     weights, transitions = np.zeros((bins.shape[1], BINS, 2)), np.zeros((2, 2))
     y = np.repeat(labels, lengths)
-    observed = np.zeros((2, 2))
-    for label in (0, 1):
-        observed[label, label] = np.maximum(lengths[labels == label] - 1, 0).sum()
+    seen = np.log(np.where(np.eye(2)[y] == 1, 1 - NOISE, NOISE))
     columns = np.arange(bins.shape[1])
     flat = (columns * BINS + bins).ravel()
     squares = [np.full(weights.shape, 1e-8), np.full(transitions.shape, 1e-8)]
     # both classes weigh the same
     share = np.array([0.5 / max(1, (labels == k).sum()) for k in (0, 1)]) * len(labels)
-    for _ in range(STEPS):
-        p, pairs = forward_backward(potentials(bins, weights), lengths, transitions)
-        gap = (np.eye(2)[y] - p) * share[y][:, None]
+    for number in range(STEPS):
+        emission = potentials(bins, weights)
+        free, free_pairs = forward_backward(emission, lengths, transitions)
+        given, given_pairs = forward_backward(emission + seen, lengths, transitions)
+        gap = (given - free) * share[y][:, None]
         gradient = np.stack([np.bincount(flat, weights=np.repeat(gap[:, k], bins.shape[1]), minlength=bins.shape[1] * BINS) for k in (0, 1)], axis=1)
-        gradient = gradient.reshape(weights.shape) / len(y) - RIDGE * weights
-        between = (observed - pairs) / len(y) - RIDGE * transitions
-        for value, change, square in ((weights, gradient, squares[0]), (transitions, between, squares[1])):
+        gradient = gradient.reshape(bins.shape[1], BINS, 2) / len(y) - RIDGE * weights
+        between = (given_pairs - free_pairs) / len(y) - RIDGE * transitions
+        moves = [(weights, gradient, squares[0])] + [(transitions, between, squares[1])] * (number >= CONTRAST_STEPS)
+        for value, change, square in moves:
             square += change**2
             value += RATE * change / np.sqrt(square)
     return weights, transitions
@@ -197,20 +208,26 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, rows: int = FI
     return Model(edges, weights, transitions, curve, float(y.mean()))
 
 
+def good_lines(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(probability of each line to be good, length of each line, number of lines of each text)."""
+    features, sizes, lengths = line_features(texts)
+    p, _ = forward_backward(potentials(binned(features, model.edges), model.weights), lengths, model.transitions)
+    return p[:, 1], sizes, lengths
+
+
 def score_quality(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep``, ``score``, and ``good_lines``: the lines likelier good than bad."""
 
     def work():
         def step(batch: pa.RecordBatch) -> dict:
             texts = texts_of(batch)
-            features, sizes, lengths = line_features(texts)
             if model.weights is None:
                 score, good = np.full(len(texts), model.prior), np.zeros(len(texts), np.int64)
             else:
-                p, _ = forward_backward(potentials(binned(features, model.edges), model.weights), lengths, model.transitions)
-                quality = text_quality(p[:, 1], sizes, lengths)
+                p, sizes, lengths = good_lines(texts, model)
+                quality = text_quality(p, sizes, lengths)
                 score = np.where(np.isnan(quality), model.prior, sigmoid(np.nan_to_num(quality) * model.curve[0] + model.curve[1]))
-                good = np.bincount(np.repeat(np.arange(len(texts)), lengths), weights=(p[:, 1] >= 0.5) & (sizes > 0), minlength=len(texts)).astype(np.int64)
+                good = np.bincount(np.repeat(np.arange(len(texts)), lengths), weights=(p >= 0.5) & (sizes > 0), minlength=len(texts)).astype(np.int64)
             return {c: batch.column(c) for c in keep} | {"score": pa.array(score, pa.float64()), "good_lines": pa.array(good, pa.int64())}
 
         return step

@@ -87,6 +87,39 @@ def test_without_labels_and_odd_rows(spark, documents, labels):
     assert toxicity.score_toxicity(empty, toxicity.learn(empty, none, F.lit(True))).count() == 0
 
 
+def prose_and_boilerplate(rng):
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 8)))
+    prose = lambda: " ".join(word() for _ in range(12)).capitalize() + "."
+    chrome = lambda: " | ".join(word().upper() for _ in range(4)) + " >> " + str(rng.randint(10, 99))
+    return prose, chrome
+
+
+def test_lines_of_one_text_are_told_apart(documents, labels):
+    rng = random.Random(8)
+    prose, chrome = prose_and_boilerplate(rng)
+    rows, marks = [], []
+    for i in range(240):
+        # a good text has a line in six of the other kind, a bad one two
+        kinds = [i % 2 == 0] * 5 + [i % 2 == 1] if i % 3 else [i % 2 == 0] * 4 + [i % 2 == 1] * 2
+        rng.shuffle(kinds)
+        rows.append((i, "\n".join(prose() if good else chrome() for good in kinds)))
+        marks.append((i, int(i % 2 == 0), 0))
+    model = quality.learn(documents(rows), labels(marks), F.lit(True))
+    truth, texts = [], []
+    for k in range(40):
+        halves = [True] * 6 + [False] * 6 if k % 2 else [False] * 6 + [True] * 6
+        truth += halves
+        texts.append("\n".join(prose() if good else chrome() for good in halves))
+    p, _, lengths = quality.good_lines(texts, model)
+    assert lengths.tolist() == [12] * 40 and np.mean((p >= 0.5) == np.array(truth)) >= 0.95
+    share = np.add.reduceat(p >= 0.5, np.arange(0, len(p), 12))
+    assert all(4 <= n <= 8 for n in share)
+    extra = [(500, texts[0]), (501, "\n\n\n"), (502, "a\n" * 50_000)]
+    out = {r.doc_id: r for r in quality.score_quality(documents([*ODD, *extra]), model).collect() if r.doc_id is not None}
+    assert all(0 <= r.score <= 1 for r in out.values())
+    assert 4 <= out[500].good_lines <= 8 and out[501].good_lines == 0 and out[501].score == model.prior
+
+
 def test_chain_equals_all_paths():
     rng = np.random.default_rng(0)
     lengths = np.array([3, 1, 4, 2])
