@@ -212,6 +212,37 @@ def test_shards_are_even_and_keep_groups(documents):
     assert shards.assign_shards(documents([])).count() == 0
 
 
+def test_large_groups_lie_in_few_shards(documents):
+    # two groups that fit one shard each, one that fills several, and pairs
+    rows = [(i, f"only {i}") for i in range(1500)] + [(10_000 + i, "first") for i in range(240)] + [(20_000 + i, "second") for i in range(200)]
+    rows += [(30_000 + i, None) for i in range(1300)] + [(40_000 + i, f"pair {i % 400}") for i in range(800)]
+    out = shards.assign_shards(documents(rows), 16)
+    found = out.collect()
+    counts = np.bincount([r.shard for r in found], minlength=16)
+    assert len(found) == len(rows) and counts.max() - counts.min() <= 1
+    room, where = len(rows) / 16, {r.doc_id: r.shard for r in found}
+    for start, n in ((10_000, 240), (20_000, 200), (30_000, 1300)):
+        assert len({where[start + i] for i in range(n)}) <= -(-n // room) + 1
+    by_hash = out.withColumn("shard", F.expr("pmod(xxhash64(doc_id, 5), 16)"))
+    (now,), (hashed,) = shards.cut_links(out).collect(), shards.cut_links(by_hash).collect()
+    # no placement keeps a group together that is larger than a shard
+    least = 1300 - room
+    assert now.links == hashed.links and now.cut - least <= 150 and now.cut - least < (hashed.cut - least) / 4
+
+
+def test_parts_follow_the_larger_side_under_quotas(spark):
+    nodes = spark.createDataFrame([(i, 10, "k", i) for i in range(40)], "node long, weight long, key string, part long")
+    links = shards.tree_links(nodes, 4)
+    pairs = {(r.a, r.b) for r in links.collect()}
+    assert pairs == {(i, (i - 1) // 4) for i in range(1, 40)}
+    labels = shards.propagate(nodes, links, 4, 1600).collect()
+    assert sorted(r.node for r in labels) == list(range(40)) and sum(r.weight for r in labels) == 400
+    where = {r.node: r.shard for r in labels}
+    before = {r.node: r.shard for r in shards.propagate(nodes, links, 4, 1600, rounds=0).collect()}
+    split = lambda w: sum(w[a] != w[b] for a, b in pairs)
+    assert split(where) < split(before) / 2
+
+
 def test_quota_is_kept():
     demand = {(a, b): 50 for a in range(4) for b in range(4) if a != b} | {(0, 1): 500}
     sizes = dict.fromkeys(range(4), 600)
