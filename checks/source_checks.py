@@ -94,11 +94,14 @@ def s2(spark, sf):
     return out.select(F.col("sourceCategory").alias("category"), F.col("sequenceNumber").alias("seq"), F.col("timestamp").alias("ms"), F.col("driftLabel").alias("drift_label"))
 
 
-def _batches(spark, sf):
+def _windowed(spark, sf):
     docs = wn.clean_documents(_raw_docs(spark, sf))
-    windowed = wn.hopping(docs, "timestamp", sc.SIZE, sc.ADVANCE)
+    return wn.hopping(docs, "timestamp", sc.SIZE, sc.ADVANCE)
+
+
+def _batches(spark, sf):
     fields = [f.split()[0] for f in topics.PROCESSED.split(", ")]
-    return wn.batch_messages(windowed, ["sourceCategory"], "sequenceNumber", fields)
+    return wn.batch_messages(_windowed(spark, sf), ["sourceCategory"], "sequenceNumber", fields)
 
 
 def s7(spark, sf):
@@ -108,17 +111,21 @@ def s7(spark, sf):
     return sent.select("key", start.alias("window_start"), count.alias("document_count"))
 
 
-def _topic_rows(spark, sf):
-    """Batches and alerts on one frame of messages; the alert of a batch carries its count as score."""
-    sent = _batches(spark, sf)
-    number = F.col("documentCount").cast("double")
+def _alert_rows(spark, sf):
+    """One alert of each batch, however many messages the batch was sent in; it carries the batch's count as score."""
+    sent = wn.window_batches(_windowed(spark, sf), ["sourceCategory"])
+    number = F.col("document_count").cast("double")
     alerts = sent.select(
-        F.when(F.col("documentCount") % 2 == 0, "mmd").otherwise("padd").alias("detector"), number.alias("score"), (number / 2).alias("threshold"),
-        F.col("windowEnd").alias("detected_at"), F.col("windowType").alias("window_type"), F.col("windowStart").alias("window_start"),
-        F.col("windowEnd").alias("window_end"), F.col("documentCount").alias("doc_count"),
+        F.when(F.col("document_count") % 2 == 0, "mmd").otherwise("padd").alias("detector"), number.alias("score"), (number / 2).alias("threshold"),
+        F.col("window_end").alias("detected_at"), "window_type", *wn.WINDOW, F.col("document_count").cast("int").alias("doc_count"),
     )
-    both = topics.batch_messages(sent).withColumn("topic", F.lit(topics.BATCH_TOPIC))
-    return both.unionByName(topics.alert_messages(alerts).withColumn("topic", F.lit(topics.ALERT_TOPIC)))
+    return topics.alert_messages(alerts).withColumn("topic", F.lit(topics.ALERT_TOPIC))
+
+
+def _topic_rows(spark, sf):
+    """Batches and alerts on one frame of messages."""
+    sent = topics.batch_messages(_batches(spark, sf)).withColumn("topic", F.lit(topics.BATCH_TOPIC))
+    return sent.unionByName(_alert_rows(spark, sf))
 
 
 def s3(spark, sf):

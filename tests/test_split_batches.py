@@ -7,7 +7,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from checks import stream_checks
+from checks import source_checks, stream_checks
 
 N = 10_050
 HOUR = 3_600_000
@@ -31,3 +31,8 @@ def test_documents_of_a_batch_are_put_together(spark, hot):
     for r in rows:
         assert r.document_count == N
         assert r.ids.split(",") == [str(i) for i in range(N)]
+
+
+def test_inputs_of_an_evaluation_have_one_alert_a_batch(spark, hot):
+    rows = source_checks.s4(spark, hot).collect()
+    assert sorted((r.n_docs, r.n_alerts, r.top_score) for r in rows) == [(N, 1, float(N))] * 4
