@@ -105,10 +105,11 @@ def _batches(spark, sf):
 
 
 def s7(spark, sf):
+    """Batches as their receiver finds them: the messages of one batch together, by the documents they carry."""
     sent = topics.batch_messages(_batches(spark, sf))
-    count = F.get_json_object("value", "$.documentCount").cast("long")
-    start = F.get_json_object("value", "$.windowStart").cast("long")
-    return sent.select("key", start.alias("window_start"), count.alias("document_count"))
+    read = sent.select("key", F.from_json("value", "batchId string, windowStart long, documents array<struct<docId: string>>").alias("m"))
+    whole = read.groupBy("key", "m.batchId", "m.windowStart").agg(F.sum(F.size("m.documents")).cast("long").alias("document_count"))
+    return whole.select("key", F.col("windowStart").alias("window_start"), "document_count")
 
 
 def _alert_rows(spark, sf):

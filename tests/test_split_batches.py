@@ -36,3 +36,9 @@ def test_documents_of_a_batch_are_put_together(spark, hot):
 def test_inputs_of_an_evaluation_have_one_alert_a_batch(spark, hot):
     rows = source_checks.s4(spark, hot).collect()
     assert sorted((r.n_docs, r.n_alerts, r.top_score) for r in rows) == [(N, 1, float(N))] * 4
+
+
+def test_messages_of_a_batch_count_as_one(spark, hot):
+    rows = source_checks.s7(spark, hot).collect()
+    assert len({r.window_start for r in rows}) == 4
+    assert [(r.key, r.document_count) for r in rows] == [("click", N)] * 4
