@@ -42,3 +42,9 @@ def test_messages_of_a_batch_count_as_one(spark, hot):
     rows = source_checks.s7(spark, hot).collect()
     assert len({r.window_start for r in rows}) == 4
     assert [(r.key, r.document_count) for r in rows] == [("click", N)] * 4
+
+
+def test_a_batch_raises_one_alert(spark, hot):
+    rows = source_checks.s8(spark, hot).collect()
+    assert len({r.window_end for r in rows}) == 4
+    assert [(r.detector, r.score, r.threshold, r.doc_count) for r in rows] == [("mmd", float(N), N / 2, N)] * 4
