@@ -1,6 +1,7 @@
 """Balanced shards by label propagation. DataFrame functions only.
 
-Rows of an equal text are contracted into parts of at most ``PART`` rows, or a quarter of a shard. Parts
+Rows of a text of at most ``FAN`` copies are parts of their own; those of any other are contracted into
+``FAN`` parts, or as many more as keep parts below about ``PART`` rows, or a quarter of a shard. Parts
 are nodes that weigh as many rows as they hold; the parts of a text are linked in a tree of fan-out
 ``FAN``, so that no node has many links and no task a whole group. Each node starts in a shard drawn by
 a hash. In each round nodes look at the shards of what they are linked to, count the rows there, and ask
@@ -51,9 +52,9 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 
 def parts_of_texts(rows: DataFrame, part: int = PART) -> DataFrame:
-    """(row, key, part) of the rows whose text is repeated."""
+    """(row, key, part) of the rows whose text is repeated; every such text has several parts, which propagation brings together."""
     groups = rows.groupBy("key").agg(F.count("*").alias("copies")).where("copies > 1")
-    number = F.expr(f"pmod(xxhash64(row), ceil(copies / {part}))")
+    number = F.expr(f"if(copies <= {FAN}, row, pmod(xxhash64(row), greatest({FAN}, ceil(copies / {part}))))")
     return rows.select("row", "key").join(groups, "key").select("row", "key", number.alias("part"))
 
 

@@ -243,6 +243,21 @@ def test_parts_follow_the_larger_side_under_quotas(spark):
     assert split(where) < split(before) / 2
 
 
+def test_texts_of_few_copies_take_part_in_propagation(documents):
+    rows = [(i, f"only {i}") for i in range(400)] + [(1000 + i, f"text {i % 100}") for i in range(500)] + [(3000 + i, "more") for i in range(50)]
+    parts = shards.parts_of_texts(shards.numbered(documents(rows)))
+    nodes = shards.weighted_nodes(parts)
+    by = defaultdict(list)
+    for r in nodes.collect():
+        by[r.key].append(r.weight)
+    assert sorted(sum(w) for w in by.values()) == [5] * 100 + [50] and all(len(w) > 1 for w in by.values())
+    links = shards.tree_links(nodes).collect()
+    assert len(links) == sum(len(w) - 1 for w in by.values())
+    # what the rounds find decides where a text lies
+    start, end = ({r.doc_id: r.shard for r in shards.assign_shards(documents(rows), 16, rounds=n).collect()} for n in (0, 10))
+    assert start != end
+
+
 def test_quota_is_kept():
     demand = {(a, b): 50 for a in range(4) for b in range(4) if a != b} | {(0, 1): 500}
     sizes = dict.fromkeys(range(4), 600)
