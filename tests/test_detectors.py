@@ -198,3 +198,16 @@ def test_embedding_and_noise(spark):
     noise = em.noise_documents(vocab, 6, 4).collect()
     assert len(noise) == 6 and all(len(r.text.split()) == 4 for r in noise)
     assert sorted(r.word_rank for r in vocab.collect()) == [0, 1, 2]
+
+
+def test_vocabulary_reads_each_text_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def read(text):
+        seen.add(1)
+        return text
+
+    docs = spark.createDataFrame([(f"w{i} w{i + 1}",) for i in range(60)], "t string").select(read.asNondeterministic()("t").alias("t"))
+    noise = em.noise_documents(em.vocabulary(docs, "t"), 6, 4).collect()
+    assert len(noise) == 6 and seen.value == 60
