@@ -166,8 +166,9 @@ def s10(spark, sf):
 
 
 def s12(spark, sf):
+    """Files of about equal size, as many as the texts need, read back as they are found."""
     path = _folder(spark, "watched")
-    table(spark, sf, "documents").select(F.col("text")).repartition(3).write.json(path)
+    table(spark, sf, "documents").select(F.col("text")).hint("rebalance").write.json(path)
     seen = corpus_files.watch_directory(spark, path, "text string", "json")
     out = _run(seen.select("text", F.col("file_path").isNotNull().alias("has_file"), F.col("file_time").isNotNull().alias("has_time")), "watched")
     return out.select(F.md5("text").alias("text_md5"), "has_file", "has_time")

@@ -3,6 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from checks import source_checks
 from driftloom.operators import report as rp
 from driftloom.sources import corpus_files, topics
 from driftloom.sources.results import RESULT_COLUMNS, append_results, read_results
@@ -113,3 +114,19 @@ def test_messages(spark):
 def test_cut_and_small(spark):
     df = spark.range(100)
     assert cut(df).count() == 100
+
+
+def test_watched_files_grow_in_number(spark, tmp_path, monkeypatch):
+    spark.range(4000).select(F.concat(F.lit("text "), F.repeat(F.md5(F.col("id").cast("string")), 20)).alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(source_checks, "_folder", lambda spark, name, seen=iter(("watched", "out")): f"{tmp_path}/{next(seen)}")
+    small = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16k"}
+    before = {k: spark.conf.get(k) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        assert source_checks.s12(spark, str(tmp_path)).where("has_file and has_time").select("text_md5").distinct().count() == 4000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    sizes = [f.stat().st_size for f in (tmp_path / "watched").glob("part-*.json")]
+    assert len(sizes) >= 8 and max(sizes) < sum(sizes) / 4
