@@ -98,3 +98,14 @@ def test_rows_since_a_condition(spark):
         for at, (_, o, c) in enumerate(sorted(r for r in rows if r[0] == k)):
             last = at if c else last
             assert found[k, o] == (None if last is None else at - last, at + 1)
+
+
+def test_ranges_are_found_in_as_few_steps_as_there_are_borders(spark):
+    df = spark.range(2000).select(F.lit(1).alias("k"), F.col("id").alias("o"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    out = dense_position(df, ["k"], "o")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.pos for r in out.orderBy("o").collect()] == list(range(2000))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert "16,8,4,2,1" in plan.replace(" ", "") and "32,16" not in plan.replace(" ", "")
