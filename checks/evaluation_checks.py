@@ -129,7 +129,7 @@ def v7(spark, sf, params=PARAMS):
 
 def v8(spark, sf):
     docs, alerts, matched = _matched(spark, sf)
-    return ev.false_positives(alerts, matched, ev.sequence_states(docs, PARAMS.cooldown))
+    return ev.false_positives(alerts, matched, cut(ev.sequence_states(docs, PARAMS.cooldown)))
 
 
 def v9(spark, sf):

@@ -77,6 +77,27 @@ def test_window_lookup_falls_back_and_last_alert_wins(spark):
     assert got == {60: (7, 12), 75: (9, 20), 99: (1, None)}
 
 
+def test_only_batches_that_alerts_ask_for_are_grouped_by_count(spark):
+    ends = spark.createDataFrame([("r", 60, n, n, n) for n in range(50)], "run_id string, window_end long, doc_count long, arrival long, max_seq long")
+    one = spark.createDataFrame([("r", 60, 7), ("r", 60, 999)], "run_id string, window_end long, doc_count long")
+    found = ev.window_end_seq(one, ends, "arrival")
+    assert sorted((r.doc_count, r.window_end_seq) for r in found.collect()) == [(7, 7), (999, 0)]
+    assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("cooldown", [0, 1, 2, 5])
+def test_states_between_their_changes_are_those_of_the_change_before(spark, cooldown):
+    rng = random.Random(cooldown)
+    starts = [1 if rng.random() < p else None for p in (0.0, 0.9, 0.0, 1.0, 0.1, 0.0) for _ in range(40)]
+    for cut_off in (0, 45):  # without drift, and with drift, at the start
+        rows = ev.sequence_states(docs(spark, starts[cut_off:]), cooldown).orderBy("seq").collect()
+        state = "BASELINE"
+        for r in rows:
+            state = r.state if r.is_change else state
+            assert r.state == state
+        assert sum(r.is_change for r in rows) < sum(r.is_drift for r in rows)
+
+
 def loop(doc_rows, alert_rows, window, cooldown):
     """One run, document after document and alert after alert."""
     events, states, active, last, calm, left = [], {}, None, None, 0, 0
