@@ -153,26 +153,30 @@ class _SplitWindow(StatefulProcessor):
             held += arrived.where(arrived.notna(), None).itertuples(index=False, name=None)
             documents += len(frame)
             highest = max(int(frame[self.seq].max()), highest if highest is not None else int(frame[self.seq].max()))
-            while len(held) > self.chunk:  # one document stays behind for the part that closes the window
-                ready, held = held[: self.chunk], held[self.chunk :]
-                yield self._part(key, parts, documents, highest, ready, False)
-                parts += 1
+            full = max(0, len(held) - 1) // self.chunk  # one document stays behind for the part that closes the window
+            if full:  # all parts that the frame fills leave in one frame
+                ready = [held[k * self.chunk : (k + 1) * self.chunk] for k in range(full)]
+                yield self._parts(key, parts, documents, highest, ready, False)
+                parts, held = parts + full, held[full * self.chunk :]
         self.sent.update((parts, documents, highest))
         self.waiting.put(held)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         parts, documents, highest = self.sent.get()
         if documents >= self.min_batch:
-            yield self._part(key, parts, documents, highest, list(self.waiting.get()), True)
+            yield self._parts(key, parts, documents, highest, [list(self.waiting.get())], True)
         self.waiting.clear()
         self.sent.clear()
 
-    def _part(self, key, part: int, documents: int, highest: int, rows: list, last: bool) -> pd.DataFrame:
+    def _parts(self, key, first: int, documents: int, highest: int, ready: list[list], last: bool) -> pd.DataFrame:
         names = self.fields.fieldNames()
         at = names.index(self.seq)
-        docs = [dict(zip(names, r, strict=True)) for r in sorted(rows, key=lambda r: r[at])]
+        sent = []
+        for part, rows in enumerate(ready, first):
+            docs = [dict(zip(names, r, strict=True)) for r in sorted(rows, key=lambda r: r[at])]
+            sent.append((key[0], int(key[1]), int(key[2]), part, part * self.chunk, documents, highest, last, docs))
         columns = ["key", "window_start", "window_end", "part", "first_index", "document_count", "max_seq", "is_last", "documents"]
-        return pd.DataFrame([(key[0], int(key[1]), int(key[2]), part, part * self.chunk, documents, highest, last, docs)], columns=columns)
+        return pd.DataFrame(sent, columns=columns)
 
     def close(self) -> None:
         pass

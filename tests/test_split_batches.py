@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from checks import source_checks, stream_checks
+from driftloom.streaming.windows import _SplitWindow
 
 N = 10_050
 HOUR = 3_600_000
@@ -48,3 +51,39 @@ def test_a_batch_raises_one_alert(spark, hot):
     rows = source_checks.s8(spark, hot).collect()
     assert len({r.window_end for r in rows}) == 4
     assert [(r.detector, r.score, r.threshold, r.doc_count) for r in rows] == [("mmd", float(N), N / 2, N)] * 4
+
+
+class _Held:
+    """State of one key, and the clock, held in memory."""
+
+    value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value or []
+
+    def update(self, value):
+        self.value = value
+
+    put = update
+
+    def registerTimer(self, at):  # noqa: N802
+        pass
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return 0
+
+
+def test_the_parts_that_a_frame_fills_leave_in_one_frame():
+    window = _SplitWindow(StructType([StructField("n", LongType())]), "n", 40, 5)
+    window.handle, window.waiting, window.sent = _Held(), _Held(), _Held()
+    frames = [pd.DataFrame({"n": range(start, start + 500)}) for start in (0, 500)]
+    out = list(window.handleInputRows(("k", 0, 100), iter(frames), _Held()))
+    assert [len(f) for f in out] == [12, 12]
+    rows = pd.concat(out)
+    assert rows["part"].tolist() == list(range(24)) and rows["first_index"].tolist() == list(range(0, 960, 40))
+    assert rows["document_count"].tolist() == [500] * 12 + [1000] * 12 and not rows["is_last"].any()
+    assert [d["n"] for docs in rows["documents"] for d in docs] == list(range(960))
+    assert [n for (n,) in window.waiting.value] == list(range(960, 1000)) and window.sent.value == (24, 1000, 999)
