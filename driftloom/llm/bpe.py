@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import base64
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -398,15 +398,21 @@ _words: dict[tuple[int, str], Words] = {}
 ENCODE_BYTES = 2_000_000
 
 
-def encode(spark: SparkSession, docs: DataFrame, rank_path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def encode(
+    spark: SparkSession, docs: DataFrame, rank_path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",),
+    into: tuple[str, str, Callable[[pa.ListArray], pa.Array]] = ("token_ids", "array<int>", lambda ids: ids),
+) -> DataFrame:
     """Columns ``keep`` and ``token_ids`` (array of int) of every row's whole ``text``.
 
+    ``into`` names another column for the ids, its type, and what makes it from them in the same task.
+
     ``rank_path`` is a file of base64 tokens and ranks, read by the driver and broadcast: its size is
     that of the vocabulary. ``pattern`` splits a text into pieces, each encoded separately. It must be
     one (as those of public byte-level vocabularies) whose matches begin anew at a space after another
     character, do not look behind, and look ahead within white space only.
     """
     file = spark.sparkContext.broadcast(Path(rank_path).read_bytes())
+    name, kind, made = into
 
     def work():
         merges = _merges(file.value)
@@ -418,12 +424,12 @@ def encode(spark: SparkSession, docs: DataFrame, rank_path: str, pattern: str, k
         def step(batch: pa.RecordBatch) -> dict:
             parts = [words.encode_all(part.column("text").fill_null("")) for part in _slices(batch, ENCODE_BYTES)]
             ids, lengths = (np.concatenate(found) for found in zip(*parts, strict=True))
-            return {c: batch.column(c) for c in keep} | {"token_ids": list_column(ids, lengths.tolist(), pa.int32())}
+            return {c: batch.column(c) for c in keep} | {name: made(list_column(ids, lengths.tolist(), pa.int32()))}
 
         return step
 
     kinds = dict(docs.dtypes)
-    return map_batches(docs, [*keep, "text"], ", ".join(f"{c} {kinds[c]}" for c in keep) + ", token_ids array<int>", work)
+    return map_batches(docs, [*keep, "text"], ", ".join(f"{c} {kinds[c]}" for c in keep) + f", {name} {kind}", work)
 
 
 BLOCK = 65_536

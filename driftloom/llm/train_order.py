@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -95,20 +96,25 @@ def id_bytes(docs: DataFrame) -> int:
     return ID_BYTES if "tokens" in docs.columns else 1
 
 
+def pack(token_ids: pa.ListArray) -> pa.Array:
+    """Ids of each row as little-endian numbers of two bytes, none for null; larger ids are an error."""
+    found = token_ids.flatten().to_numpy(zero_copy_only=False)
+    if len(found) and not 0 <= found.min() <= found.max() < SEPARATOR:
+        raise ValueError(f"ids of {ID_BYTES} bytes must be below {SEPARATOR}")
+    lengths = pc.fill_null(pc.list_value_length(token_ids), 0).to_numpy().astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(lengths * ID_BYTES)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(token_ids), [None, pa.py_buffer(ends), pa.py_buffer(found.astype("<u2"))])
+
+
+#: For ``bpe.encode``: ids packed in the task that makes them.
+PACKED = ("tokens", "binary", pack)
+
+
 def packed_ids(encoded: DataFrame) -> DataFrame:
-    """(doc_id, tokens): ``token_ids`` as little-endian numbers of two bytes; larger ids are an error."""
+    """(doc_id, tokens): ``token_ids`` packed (:func:`pack`)."""
 
     def work():
-        def step(batch: pa.RecordBatch) -> dict:
-            packed = []
-            for ids in batch.column("token_ids"):
-                found = np.zeros(0, np.int64) if ids.values is None else ids.values.to_numpy(zero_copy_only=False)
-                if len(found) and not 0 <= found.min() <= found.max() < SEPARATOR:
-                    raise ValueError(f"ids of {ID_BYTES} bytes must be below {SEPARATOR}")
-                packed.append(found.astype("<u2").tobytes())
-            return {"doc_id": batch.column("doc_id"), "tokens": pa.array(packed, pa.binary())}
-
-        return step
+        return lambda batch: {"doc_id": batch.column("doc_id"), "tokens": pack(batch.column("token_ids"))}
 
     return map_batches(encoded, ["doc_id", "token_ids"], f"doc_id {dict(encoded.dtypes)['doc_id']}, tokens binary", work)
 

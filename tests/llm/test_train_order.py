@@ -5,6 +5,8 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pytest
 
 from driftloom.llm import bpe, train_order
 from driftloom.llm.queries import RANKS, op5_train_order
@@ -90,6 +92,19 @@ def test_odd_rows_as_ids_of_a_vocabulary(spark, documents, tmp_path):
     assert found == {r.doc_id: [*r.token_ids, train_order.SEPARATOR] for r in encoded.collect()}
 
 
+def test_ids_are_packed_in_the_task_that_makes_them(spark, documents):
+    docs = documents(ODD)
+    one = bpe.encode(spark, docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, into=train_order.PACKED)
+    two = train_order.packed_ids(bpe.encode(spark, docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN))
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+    assert one._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    rows = pa.array([[1, 65_533], None, [], [7]], pa.list_(pa.int32()))
+    assert train_order.pack(rows).to_pylist() == [b"\x01\x00\xfd\xff", b"", b"", b"\x07\x00"]
+    assert train_order.pack(rows.slice(1)).to_pylist() == [b"", b"", b"\x07\x00"]
+    with pytest.raises(ValueError):
+        train_order.pack(pa.array([[train_order.SEPARATOR]]))
+
+
 def test_query_writes_ids_of_the_vocabulary(spark, sf):
     index = [Row(r, 2) for r in op5_train_order(spark, sf).collect()]
     root = os.path.join(spark.conf.get("spark.checkpoint.dir"), "train_order")
