@@ -13,7 +13,7 @@ The merges never run over a text. Instead:
 * A token is emitted once all boundaries from which another token may still grow agree on it. None
   grows longer than the longest token, which bounds the lookahead.
 
-Outputs of pieces are remembered. All memories are bounded and change no result.
+Outputs of words are remembered. All memories are bounded and change no result.
 
 Decoding joins token bytes and hands out complete characters; an incremental UTF-8 machine
 (:class:`Utf8`) carries the open ones, at most three bytes, to the next block.
@@ -27,6 +27,7 @@ from __future__ import annotations
 import base64
 from array import array
 from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate, chain
 from pathlib import Path
 
 import numpy as np
@@ -219,6 +220,123 @@ class Transducer:
         return self._path(last, len(data))
 
 
+class Lockstep:
+    """The machine of a :class:`Transducer` on many pieces at once, one byte of each at a time.
+
+    Its steps, the tokens that end in a state and which tokens join are copied into arrays as they become known.
+    Pieces beyond :data:`LONGEST` bytes, and those that come to a state beyond :data:`STATES`, go one by one.
+    """
+
+    #: Pieces taken together, longest piece, states with a row in the table of steps, places for joins.
+    TOGETHER, LONGEST, STATES, PLACES = 16_384, 64, 32_768, 1 << 20
+
+    def __init__(self, machine: Transducer):
+        self.machine = machine
+        self.length = np.zeros(max(machine.length) + 1, np.int64)
+        self.length[list(machine.length)] = list(machine.length.values())
+        self.table = np.full((64, 256), -1, np.int32)
+        # tokens that end in a state lie from first[state] up to first[state + 1], longest first
+        self.first, self.ended = np.zeros(1, np.int64), np.zeros(0, np.int32)
+        self.pairs, self.joined = np.full(self.PLACES, -1, np.int64), np.zeros(self.PLACES, bool)
+
+    def _learn(self, states: np.ndarray, octets: np.ndarray) -> None:
+        """Makes the steps that are not in the table yet."""
+        steps = self.machine.steps
+        for key in np.unique(states.astype(np.int64) << 8 | octets).tolist():
+            state, byte = key >> 8, key & 0xFF
+            found = steps[state].get(byte)
+            found = self.machine._step(state, byte) if found is None else found
+            if state >= len(self.table):
+                self.table = np.concatenate([self.table, np.full((max(len(self.table), state), 256), -1, np.int32)])[: self.STATES]
+            self.table[state, byte] = found
+        more = self.machine.ended[len(self.first) - 1 : self.STATES]
+        if more:
+            self.ended = np.concatenate([self.ended, np.array([token for tokens in more for _, token in tokens], np.int32)])
+            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum([len(tokens) for tokens in more])])
+
+    def _joins(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left.astype(np.int64) << 32 | right
+        place = (keys * -0x61C8864680B583EB >> 40) & (self.PLACES - 1)
+        out = self.joined.take(place)
+        unknown = np.flatnonzero(self.pairs.take(place) != keys)
+        if len(unknown):
+            new, back = np.unique(keys[unknown], return_inverse=True)
+            held = np.fromiter((self.machine.merges.joins(k >> 32, k & 0xFFFFFFFF) for k in new.tolist()), bool, len(new))
+            out[unknown] = held[back]
+            at = place[unknown]
+            self.pairs[at], self.joined[at] = keys[unknown], held[back]
+        return out
+
+    def encode(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece, as the bytes of 32-bit numbers."""
+        out: list[bytes] = [b""] * len(pieces)
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        order = np.argsort(-sizes, kind="stable")
+        rest = order[: np.searchsorted(-sizes[order], -self.LONGEST)].tolist()
+        for start in range(len(rest), len(order), self.TOGETHER):
+            rest += self._together(pieces, order[start : start + self.TOGETHER], sizes, out)
+        for k in rest:
+            out[k] = array("i", self.machine.encode(pieces[k])).tobytes()
+        return out
+
+    def _together(self, pieces: list[bytes], some: np.ndarray, sizes: np.ndarray, out: list[bytes]) -> list[int]:
+        """Fills ``out`` for the pieces ``some``, longest first; gives those that have to go one by one."""
+        lengths, n = sizes[some], len(some)
+        longest = int(lengths[0])
+        data = np.frombuffer(b"".join([pieces[k].ljust(longest, b"\0") for k in some.tolist()]), np.uint8).reshape(n, longest).T.copy()
+        last = np.zeros((longest + 1, n), np.int32)
+        state, alone, flat = np.zeros(n, np.int64), np.zeros(n, bool), last.ravel()
+        for at in range(1, longest + 1):
+            live = int(np.searchsorted(-lengths, -at, "right"))
+            before, octets = state[:live], data[at - 1, :live]
+            if before.max() >= len(self.table):
+                self._learn(before[before >= len(self.table)], octets[before >= len(self.table)])
+            step = before << 8 | octets
+            after = self.table.ravel().take(step)
+            missing = after < 0
+            if missing.any():
+                self._learn(before[missing], octets[missing])
+                after = self.table.ravel().take(step)
+            beyond = after >= self.STATES
+            if beyond.any():
+                alone[:live] |= beyond
+                after[beyond] = 0
+            state[:live] = after
+            left = np.flatnonzero(~alone[:live])
+            after = after.take(left)
+            here, final = self.first.take(after), self.first.take(after + 1) - 1
+            while len(left):
+                token = self.ended.take(here)
+                back = at - self.length.take(token)
+                # a token that is the whole prefix, or the last that is possible, needs no look at the one before
+                good = (back == 0) | (here == final)
+                ask = np.flatnonzero(~good)
+                good[ask] = self._joins(flat.take(back.take(ask) * n + left.take(ask)), token.take(ask))
+                won, lost = np.flatnonzero(good), np.flatnonzero(~good)
+                last[at, left.take(won)] = token.take(won)
+                left, here, final = left.take(lost), here.take(lost) + 1, final.take(lost)
+        # back along the tokens of each piece
+        end, live, found = lengths.copy(), np.flatnonzero(lengths > 0), []
+        end[alone] = 0
+        live = live[end[live] > 0]
+        while len(live):
+            token = flat.take(end.take(live) * n + live)
+            found.append((live, token))
+            end[live] -= self.length[token]
+            live = live[end[live] > 0]
+        counts = np.zeros(n, np.int64)
+        for who, _ in found:
+            counts[who] += 1
+        ends = np.cumsum(counts)
+        ids = np.zeros(int(ends[-1]), np.int32)
+        for k, (who, token) in enumerate(found, 1):
+            ids[ends[who] - k] = token
+        raw, borders = ids.tobytes(), [0, *(4 * ends).tolist()]
+        for k, a, z in zip(some.tolist(), borders[:-1], borders[1:], strict=True):
+            out[k] = raw[a:z]
+        return some[alone].tolist()
+
+
 class Memory(dict):
     """A bounded memory of what :meth:`make` gives. A key is kept from its second coming on.
 
@@ -230,37 +348,72 @@ class Memory(dict):
         self.older: dict = {}
         self.seen = bytearray(1 << 22)
 
-    def make(self, key: str) -> bytes | None:
+    def make(self, keys: list[str]) -> list[bytes | None]:
         raise NotImplementedError
 
-    def __missing__(self, key: str) -> bytes | None:
-        out = self.older.get(key)
-        if out is None:
-            out = self.make(key)
-            slot = hash(key) & 0x3FFFFF
-            if not self.seen[slot]:
-                self.seen[slot] = 1
-                return out
+    def look_up(self, keys: list[str]) -> list[bytes | None]:
+        """The values of different keys; those that are not remembered are made together."""
+        out = list(map(self.get, keys))
+        missing = [k for k, value in enumerate(out) if value is None]
+        if self.older:
+            for k in missing:
+                out[k] = self.older.get(keys[k])
+                if out[k] is not None:
+                    self._keep(keys[k], out[k])
+            missing = [k for k in missing if out[k] is None]
+        new = [keys[k] for k in missing]
+        seen = self.seen
+        for k, key, slot, value in zip(missing, new, [hash(key) & 0x3FFFFF for key in new], self.make(new), strict=True):
+            out[k] = value
+            if seen[slot] and value is not None:
+                self._keep(key, value)
+            else:
+                seen[slot] = 1
+        return out
+
+    def _keep(self, key: str, value: bytes) -> None:
         if len(key) <= 64:
             if len(self) >= MEMORY:
                 self.older = dict(self)
                 self.clear()
-                self.seen = bytearray(1 << 22)
-            self[key] = out
-        return out
+                self.seen[:] = bytes(1 << 22)
+            self[key] = value
+
+
+def _laid_out(groups: list[list[str]]) -> tuple[list[str], list[int]]:
+    """Groups end to end, and where each begins."""
+    ends = list(accumulate(map(len, groups), initial=0))
+    return list(chain.from_iterable(groups)), ends[:-1]
 
 
-class Pieces(Memory):
-    """Token ids of a piece, as the bytes of 32-bit numbers, by the transducer."""
+def _strings(words: pa.Array) -> list[str]:
+    """Words without a space in them, taken out of Arrow as one string."""
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")
+    return joined[0].as_py().split(" ") if len(words) else []
+
+
+class Pieces:
+    """Token ids of pieces, as the bytes of 32-bit numbers, by the transducer."""
 
     def __init__(self, merges: Merges):
-        super().__init__()
-        self.merges, self.machine = merges, Transducer(merges)
+        self.merges, self.machine = merges, Lockstep(Transducer(merges))
+
+    def make(self, keys: list[str]) -> list[bytes]:
+        data = [key.encode("utf-8", "replace") for key in keys]
+        out = [b"" if whole is None else whole.to_bytes(4, "little") for whole in map(self.merges.ranks.get, data)]
+        several = [k for k, ids in enumerate(out) if not ids]
+        for k, ids in zip(several, self.machine.encode([data[k] for k in several]), strict=True):
+            out[k] = ids
+        return out
 
-    def make(self, key: str) -> bytes:
-        data = key.encode("utf-8", "replace")
-        whole = self.merges.ranks.get(data)
-        return array("i", (whole,) if whole is not None else self.machine.encode(data)).tobytes()
+    def join(self, pieces: list[str], starts: list[int]) -> list[bytes]:
+        """The ids of several pieces laid end to end, for each group of them; each different piece is encoded once."""
+        different = list(dict.fromkeys(pieces))
+        ids = dict(zip(different, self.make(different), strict=True))
+        each = list(map(ids.__getitem__, pieces))
+        ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, each), np.int64, len(each)))])
+        raw, borders = b"".join(each), ends[[*starts, len(each)]].tolist()
+        return [raw[a:z] for a, z in zip(borders[:-1], borders[1:], strict=True)]
 
 
 class Words(Memory):
@@ -273,10 +426,23 @@ class Words(Memory):
         super().__init__()
         self.pieces, self.split = pieces, split
 
-    def make(self, key: str) -> bytes | None:
-        if key == "" or key[-1].isspace():
-            return None
-        return b"".join(map(self.pieces.__getitem__, self.split(" " + key)))
+    def make(self, keys: list[str]) -> list[bytes | None]:
+        good = [k for k, key in enumerate(keys) if key and not key[-1].isspace()]
+        out: list[bytes | None] = [None] * len(keys)
+        for k, ids in zip(good, self.pieces.join(*self._pieces_of([keys[k] for k in good])), strict=True):
+            out[k] = ids
+        return out
+
+    def _pieces_of(self, words: list[str]) -> tuple[list[str], list[int]]:
+        """The pieces of all words, each with a space before it, and where those of each begin.
+
+        They are split together, since no piece goes on beyond its word.
+        """
+        pieces = self.split(" " + " ".join(words)) if words else []
+        starts = [k for k, piece in enumerate(pieces) if piece[0] == " "]
+        if len(starts) == len(words) and (not words or starts[0] == 0):
+            return pieces, starts
+        return _laid_out([self.split(" " + word) for word in words])  # a pattern that leaves spaces out
 
     def encode(self, text: str) -> bytes:
         """Ids of one text."""
@@ -298,19 +464,23 @@ class Words(Memory):
         # a word is looked up as one that follows a space; those that begin a text have no space before them
         wanted = np.zeros(len(words.dictionary), bool)
         wanted[place[~first]] = True
-        found = [self[w] if follows else b"" for w, follows in zip(words.dictionary.to_pylist(), wanted.tolist(), strict=True)]
-        fits = np.array([f is not None for f in found], bool)
-        pool = [f or b"" for f in found]
+        pool: list[bytes] = [b""] * len(words.dictionary)
+        fits = np.ones(len(words.dictionary), bool)
+        asked = np.flatnonzero(wanted)
+        for k, ids in zip(asked.tolist(), self.look_up(_strings(words.dictionary.take(pa.array(asked)))), strict=True):
+            if ids is None:
+                fits[k] = False
+            else:
+                pool[k] = ids
         whole = np.zeros(len(texts), bool)
         whole[np.repeat(np.arange(len(texts)), np.diff(offsets))[~first][~fits[place[~first]]]] = True
         at = np.where(first, 0, place)
         begins = values.take(pa.array(offsets[:-1])).to_pylist()
-        for k, begin in enumerate(begins):
-            if begin and begin[-1].isspace():
-                whole[k] = True
-            at[offsets[k]] = len(pool)
-            pool.append(b"".join(map(self.pieces.__getitem__, self.split(texts[k].as_py() if whole[k] else begin))))
-        sizes = np.array([len(f) // 4 for f in pool], np.int64)
+        whole |= np.fromiter((begin != "" and begin[-1].isspace() for begin in begins), bool, len(begins))
+        alone = [self.split(texts[k].as_py() if whole[k] else begin) for k, begin in enumerate(begins)]
+        at[offsets[:-1]] = len(pool) + np.arange(len(texts))
+        pool += self.pieces.join(*_laid_out(alone))
+        sizes = np.fromiter(map(len, pool), np.int64, len(pool)) // 4
         starts = np.cumsum(sizes) - sizes
         lengths = sizes[at]
         lengths[np.repeat(whole, np.diff(offsets)) & ~first] = 0
@@ -395,7 +565,7 @@ _words: dict[tuple[int, str], Words] = {}
 
 
 #: Text that is cut into words at once: some twenty times as many bytes are held for it.
-ENCODE_BYTES = 2_000_000
+ENCODE_BYTES = 6_000_000
 
 
 def encode(

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -96,3 +97,32 @@ def test_query_on_given_documents(spark, sf, library):
         ids = library.encode_ordinary(texts[r.doc_id])
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_pieces_in_step_equal_the_merges(merges, library, monkeypatch):
+    rng, tokens = random.Random(6), list(merges.ranks)
+    letters = ["a", "e", "th", "ing", "er", " ", "=", "--", "1", "ñ", "😀", "the", "Z", "\n"]
+    cases = ["".join(rng.choices(letters, k=rng.randint(1, 50))).encode() for _ in range(1500)]
+    cases += [b"".join(rng.choices(tokens, k=rng.randint(1, 6))) for _ in range(1500)] + [rng.randbytes(rng.randint(1, 70)) for _ in range(300)]
+    cases += [b"ab" * 3000, b"x" * 64, b"x" * 65, b"\0", b""]
+    expected = [np.array(library._encode_single_piece(c), np.int32).tobytes() if c else b"" for c in cases]
+    assert bpe.Lockstep(bpe.Transducer(merges)).encode(cases) == expected
+    # few places for joins, states beyond the table, small groups
+    for name, value in {"PLACES": 64, "STATES": 100, "TOGETHER": 50}.items():
+        monkeypatch.setattr(bpe.Lockstep, name, value)
+        machine = bpe.Lockstep(bpe.Transducer(merges))
+        assert machine.encode(cases) == expected and machine.encode(cases[::-1]) == expected[::-1]
+    assert bpe.Lockstep(bpe.Transducer(merges)).encode([]) == []
+
+
+def test_words_of_a_batch_go_through_the_machine_together(merges, library, monkeypatch):
+    calls = []
+    encode = bpe.Lockstep.encode
+    monkeypatch.setattr(bpe.Lockstep, "encode", lambda self, pieces: (calls.append(len(pieces)), encode(self, pieces))[1])
+    words = bpe.Words(bpe.Pieces(merges), regex.compile(public_tokenizers.PATTERN).findall)
+    draws = [random.Random(k) for k in range(30)]
+    texts = [" ".join("".join(rng.choices("qzxvwkjy", k=8)) + ", x" for _ in range(40)) for rng in draws]
+    ids, lengths = words.encode_all(pa.array(texts))
+    assert len(calls) <= 2 and sum(calls) > 1000
+    assert np.split(ids, np.cumsum(lengths)[:-1])[7].tolist() == library.encode_ordinary(texts[7])
+    assert ids.tolist() == [i for t in texts for i in library.encode_ordinary(t)]
