@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from driftloom.llm.common import _slices, list_column, map_batches
+from driftloom.llm.common import _slices, held, list_column, map_batches
 
 _NEVER = 1 << 60
 #: Keys remembered in a generation; two are kept.
@@ -549,19 +549,21 @@ def decode_stream(blocks: Iterable[np.ndarray], joiner: Joiner) -> Iterator[str]
     yield machine.close()
 
 
-_loaded: dict[int, Merges] = {}
-
-
 def _merges(rank_file: bytes) -> Merges:
     """One vocabulary a worker process, kept between tasks."""
-    key = hash(rank_file)
-    if key not in _loaded:
-        _loaded.clear()
-        _loaded[key] = Merges(rank_file)
-    return _loaded[key]
+    memory, key = held(__name__), hash(rank_file)
+    if memory.get("file") != key:
+        memory.clear()
+        memory |= {"file": key, "merges": Merges(rank_file)}
+    return memory["merges"]
 
 
-_words: dict[tuple[int, str], Words] = {}
+def _words(merges: Merges, pattern: str) -> Words:
+    """One encoder a worker process, kept between tasks."""
+    memory = held(__name__)
+    if memory.get("pattern") != pattern or memory["words"].pieces.merges is not merges:
+        memory |= {"pattern": pattern, "words": Words(Pieces(merges), regex.compile(pattern).findall)}
+    return memory["words"]
 
 
 #: Text that is cut into words at once: some twenty times as many bytes are held for it.
@@ -585,11 +587,7 @@ def encode(
     name, kind, made = into
 
     def work():
-        merges = _merges(file.value)
-        if (id(merges), pattern) not in _words:
-            _words.clear()
-            _words[id(merges), pattern] = Words(Pieces(merges), regex.compile(pattern).findall)
-        words = _words[id(merges), pattern]
+        words = _words(_merges(file.value), pattern)
 
         def step(batch: pa.RecordBatch) -> dict:
             parts = [words.encode_all(part.column("text").fill_null("")) for part in _slices(batch, ENCODE_BYTES)]

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftloom.llm.common import held
 from driftloom.storage import cut
 
 #: A table of whole groups, and where each starts; the last entry is the table's length.
@@ -26,6 +27,7 @@ def map_groups(df: DataFrame, keys: list[str], schema: str, work: Callable[[pa.T
     names = [f.name for f in df.sparkSession.createDataFrame([], schema).schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held(work.__module__)
         for table, starts in _whole_groups(batches, keys):
             out = work(table, starts)
             yield pa.RecordBatch.from_arrays([out[n] for n in names], names=names)
@@ -90,18 +92,22 @@ def components(edges: DataFrame) -> DataFrame:
 
     In every round each node hooks onto its least neighbour, if that is smaller, and on to where that one
     hooks. Nodes that share a hook become one, so the edges that are left between different ones, and with
-    them the work of a round, shrink quickly. Each round is written to the shared folder and starts there.
+    them the work of a round, shrink quickly. Each round is written to the shared folder, in as many files as its
+    edges need, and starts there.
     """
     both = cut(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).where("u <> v").distinct())
-    found = cut(both.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())
-    while not both.isEmpty():
-        hooks = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("hook")))
+    all_edges = n_edges = both.count()
+    found = cut(both.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct(), all_edges)
+    while n_edges:
+        hooks = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("hook")), n_edges)
         onward = hooks.select(F.col("u").alias("hook"), F.col("hook").alias("next"))
-        hooks = cut(hooks.join(onward, "hook").select("u", F.col("next").alias("hook")))
+        hooks = cut(hooks.join(onward, "hook").select("u", F.col("next").alias("hook")), n_edges)
         found = cut(
-            found.join(hooks.withColumnRenamed("u", "component"), "component", "left").select("node", F.coalesce("hook", "component").alias("component"))
+            found.join(hooks.withColumnRenamed("u", "component"), "component", "left").select("node", F.coalesce("hook", "component").alias("component")),
+            all_edges,
         )
         left = both.join(hooks, "u").select(F.col("hook").alias("a"), "v")
         right = hooks.select(F.col("u").alias("v"), F.col("hook").alias("b"))
-        both = cut(left.join(right, "v").where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
+        both = cut(left.join(right, "v").where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), n_edges)
+        n_edges = both.count()
     return found

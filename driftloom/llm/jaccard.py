@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftloom.llm.common import map_batches, texts_of
+from driftloom.llm.common import held, map_batches, texts_of
 from driftloom.llm.groups import components, map_groups, stars
 from driftloom.storage import cut
 
@@ -55,16 +55,14 @@ def bands_and_rows(threshold: float, recall: float, hashes: int = HASHES) -> tup
     raise ValueError("more hash functions are needed for this recall")
 
 
-_words: dict[str, int] = {}
+class _WordHashes(dict):
+    """Hash of each word, for words seen lately."""
 
-
-def _word_hash(word: str) -> int:
-    out = _words.get(word)
-    if out is None:
-        if len(_words) >= 400_000:
-            _words.clear()
-        out = _words[word] = xxhash.xxh3_64_intdigest(word)
-    return out
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 400_000:
+            self.clear()
+        out = self[word] = xxhash.xxh3_64_intdigest(word)
+        return out
 
 
 def shingles(text: str, n: int = N) -> np.ndarray:
@@ -72,7 +70,9 @@ def shingles(text: str, n: int = N) -> np.ndarray:
     words = WORD.findall(text.lower())
     if not words:
         return np.zeros(0, np.uint64)
-    codes = np.fromiter(map(_word_hash, words), np.uint64, len(words))
+    memory = held(__name__)
+    hashes = memory["words"] if "words" in memory else memory.setdefault("words", _WordHashes())
+    codes = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     width = min(n, len(codes))
     out = np.full(len(codes) - width + 1, width, np.uint64)
     for i in range(width):
@@ -251,9 +251,10 @@ def _components_of_texts(docs: DataFrame, threshold: float, n: int, recall: floa
     bands, rows = bands_and_rows(threshold, recall)
     classes = cut(_classes(docs, bands, rows, n))
     near = components(_candidates(classes, bands))
+    n_near = near.count()
     near = near.withColumnRenamed("node", "key").join(classes.select("key", "grams"), "key")
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("grams") * 8 / BLOCK_BYTES))
-    members = cut(near.join(near.groupBy("component").agg(blocks.alias("blocks")), "component").select("key", "component", "blocks"))
+    members = cut(near.join(near.groupBy("component").agg(blocks.alias("blocks")), "component").select("key", "component", "blocks"), n_near)
     verified = cut(_verified(docs, classes, members, threshold, n))
     links = verified.groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))
     joined = components(verified.where("b is not null").select("a", "b")).withColumnRenamed("node", "key")

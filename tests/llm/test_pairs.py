@@ -8,7 +8,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftloom.llm import decontaminate, jaccard, shards, topk
+from driftloom import storage
+from driftloom.llm import bpe, decontaminate, jaccard, shards, topk
+from driftloom.llm.common import held
+from driftloom.llm.groups import components
 from driftloom.llm.queries import op2_top_products, op3_shards, op9_decontaminate
 from tests.llm.conftest import ODD
 
@@ -81,6 +84,33 @@ def test_one_of_each_with_null_and_repeated_ids(documents):
     assert {r.text for r in kept if r.doc_id == 3} == {apart[0]} and "quite another text" in {r.text for r in kept}
 
 
+def test_few_edges_go_to_few_files(spark, monkeypatch):
+    """Each file of a checkpoint costs its executor a process or two, however few rows it has."""
+    sizes = []
+    monkeypatch.setattr("driftloom.llm.groups.cut", lambda df, rows=None, cut=storage.cut: (out := cut(df, rows), sizes.append(out.rdd.getNumPartitions()))[0])
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "30"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        edges = spark.range(40).where("id % 10 < 9").select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+        found = {r.node: r.component for r in components(edges).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found == {i: i // 10 * 10 for i in range(40)}
+    assert len(sizes) > 5 and sizes[1:] == [1] * (len(sizes) - 1)
+
+
+def test_a_worker_keeps_the_memory_of_one_operator():
+    jaccard.shingles("one two three")
+    assert held(jaccard.__name__)["words"]
+    held(bpe.__name__)["words"] = "kept"
+    held(bpe.__name__)
+    assert held(bpe.__name__) == {"words": "kept"}
+    assert held(jaccard.__name__) == {} and held(bpe.__name__) == {}
+
+
 def test_bands_reach_the_recall():
     bands, rows = jaccard.bands_and_rows(0.8, 0.9999)
     p = 0.8**rows
