@@ -346,7 +346,7 @@ class Memory(dict):
     def __init__(self) -> None:
         super().__init__()
         self.older: dict = {}
-        self.seen = bytearray(1 << 22)
+        self.seen = np.zeros(1 << 22, bool)
 
     def make(self, keys: list[str]) -> list[bytes | None]:
         raise NotImplementedError
@@ -356,19 +356,22 @@ class Memory(dict):
         out = list(map(self.get, keys))
         missing = [k for k, value in enumerate(out) if value is None]
         if self.older:
-            for k in missing:
-                out[k] = self.older.get(keys[k])
-                if out[k] is not None:
-                    self._keep(keys[k], out[k])
+            kept = list(map(self.older.get, map(keys.__getitem__, missing)))
+            for k, value in zip(missing, kept, strict=True):
+                if value is not None:
+                    out[k] = value
+                    self._keep(keys[k], value)
             missing = [k for k in missing if out[k] is None]
         new = [keys[k] for k in missing]
-        seen = self.seen
-        for k, key, slot, value in zip(missing, new, [hash(key) & 0x3FFFFF for key in new], self.make(new), strict=True):
+        made = self.make(new)
+        for k, value in zip(missing, made, strict=True):
             out[k] = value
-            if seen[slot] and value is not None:
-                self._keep(key, value)
-            else:
-                seen[slot] = 1
+        slots = np.fromiter(map(hash, new), np.int64, len(new)) & (len(self.seen) - 1)
+        again = np.flatnonzero(self.seen.take(slots))
+        self.seen[slots] = True
+        for k in again.tolist():
+            if made[k] is not None:
+                self._keep(new[k], made[k])
         return out
 
     def _keep(self, key: str, value: bytes) -> None:
@@ -376,7 +379,7 @@ class Memory(dict):
             if len(self) >= MEMORY:
                 self.older = dict(self)
                 self.clear()
-                self.seen[:] = bytes(1 << 22)
+                self.seen[:] = False
             self[key] = value
 
 
@@ -572,11 +575,12 @@ ENCODE_BYTES = 2_000_000
 
 def encode(
     spark: SparkSession, docs: DataFrame, rank_path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",),
-    into: tuple[str, str, Callable[[pa.ListArray], pa.Array]] = ("token_ids", "array<int>", lambda ids: ids),
+    into: tuple[str, str, Callable[[pa.ListArray], pa.Array]] = ("token_ids", "array<int>", lambda ids: ids), at_once: int = ENCODE_BYTES,
 ) -> DataFrame:
     """Columns ``keep`` and ``token_ids`` (array of int) of every row's whole ``text``.
 
-    ``into`` names another column for the ids, its type, and what makes it from them in the same task.
+    ``into`` names another column for the ids, its type, and what makes it from them in the same task. ``at_once`` bytes of
+    text are cut into words at a time; more look up a repeated word less often, in more memory.
 
     ``rank_path`` is a file of base64 tokens and ranks, read by the driver and broadcast: its size is
     that of the vocabulary. ``pattern`` splits a text into pieces, each encoded separately. It must be
@@ -590,7 +594,7 @@ def encode(
         words = _words(_merges(file.value), pattern)
 
         def step(batch: pa.RecordBatch) -> dict:
-            parts = [words.encode_all(part.column("text").fill_null("")) for part in _slices(batch, ENCODE_BYTES)]
+            parts = [words.encode_all(part.column("text").fill_null("")) for part in _slices(batch, at_once)]
             ids, lengths = (np.concatenate(found) for found in zip(*parts, strict=True))
             return {c: batch.column(c) for c in keep} | {name: made(list_column(ids, lengths.tolist(), pa.int32()))}
 

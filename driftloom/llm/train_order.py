@@ -8,7 +8,8 @@ keyed permutation gives each number its global slot: a Feistel network over the
 walked along its cycle until it lands below the number of sequences. The permutation needs no state, can
 be undone, and costs the same on any slice.
 
-Rows are dealt to the shard that their slot falls into and written in order, one task a shard; a shard is a file in
+What a task cuts for one shard travels as one compressed row for every 16 MB of ids it has read. One task a shard
+puts the sequences in their places; a shard is a file in
 which sequence ``s`` begins at byte ``(s - first) * stride``. A shard is written to a name of its own attempt and
 renamed when whole, so a lost executor leaves nothing half done and a second attempt writes the same
 bytes. A shard that is already there in its full size is not written again. The index names the pieces of
@@ -123,11 +124,25 @@ def _separator(width: int) -> bytes:
     return (SEPARATOR & (1 << 8 * width) - 1).to_bytes(width, "little")  # 0xFE and 0xFF are no bytes of UTF-8
 
 
-FRAGMENT = "slot bigint, number bigint, at bigint, n_tokens bigint, doc_ids array<{kind}>, starts array<bigint>, lengths array<bigint>, tokens binary"
+#: Bytes of ids that a task holds before it deals them to their shards.
+BUNDLE_BYTES = 16_000_000
+#: What one task has for one shard: its stretches of sequences, the pieces of texts in each, and their ids laid end to end.
+BUNDLE = (
+    "shard bigint, slots array<bigint>, at array<bigint>, n_tokens array<bigint>, pieces array<bigint>, "
+    "doc_ids array<{kind}>, starts array<bigint>, lengths array<bigint>, size bigint, tokens binary"
+)
 
 
-def _fragments(stream: bytes, at: int, docs: list, begins: np.ndarray, width: int, stride: int) -> dict:
-    """Rows for the ids ``at ..`` of the whole table: one for each sequence they fall into, with its pieces of texts.
+def _codec() -> pa.Codec:
+    return pa.Codec("zstd", compression_level=3)
+
+
+def _lists(values: np.ndarray | pa.Array, ends: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values if isinstance(values, pa.Array) else pa.array(values, pa.int64()))
+
+
+def _bundles(stream: bytes, at: int, docs: pa.Array, begins: np.ndarray, width: int, stride: int, total: int, key: int, per_shard: int) -> pa.RecordBatch:
+    """:data:`BUNDLE` rows for the ids ``at ..`` of the whole table, cut at the borders of sequences.
 
     ``begins`` says where the texts ``docs`` begin in ``stream``, the first perhaps before it.
     """
@@ -135,21 +150,35 @@ def _fragments(stream: bytes, at: int, docs: list, begins: np.ndarray, width: in
     edges = np.unique(np.concatenate([[0], np.arange(-at % stride, n, stride)]))
     cuts = np.unique(np.concatenate([edges, begins[(begins > 0) & (begins < n)]]))
     owner, part = np.searchsorted(begins, cuts, "right") - 1, np.searchsorted(edges, cuts, "right") - 1
+    sizes = np.diff(np.append(edges, n))
+    slots = feistel_slots((at + edges) // stride, total, key)
+    order = np.argsort(slots // per_shard, kind="stable")
+    shards = (slots // per_shard)[order]
+    borders = np.concatenate([[0], np.flatnonzero(np.diff(shards)) + 1, [len(shards)]])
+    # the pieces of texts in the order of their stretches
     pieces = np.bincount(part, minlength=len(edges))
-    ends = np.append(edges[1:], n)
-    return {
-        "number": (at + edges) // stride,
-        "at": (at + edges) % stride,
-        "n_tokens": ends - edges,
-        "doc_ids": ([docs[k] for k in owner.tolist()], pieces),
-        "starts": (cuts - begins[owner], pieces),
-        "lengths": (np.diff(np.append(cuts, n)), pieces),
-        "tokens": [stream[a * width : z * width] for a, z in zip(edges.tolist(), ends.tolist(), strict=True)],
+    by_part = _lists(np.arange(len(cuts)), np.concatenate([[0], np.cumsum(pieces)])).take(pa.array(order)).flatten().to_numpy()
+    piece_borders = np.concatenate([[0], np.cumsum(pieces[order])])[borders]
+    view, codec = memoryview(stream), _codec()
+    taken = [view[a * width : z * width] for a, z in zip(edges[order].tolist(), (edges + sizes)[order].tolist(), strict=True)]
+    joined = [b"".join(taken[a:z]) for a, z in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True)]
+    columns = {
+        "shard": pa.array(shards[borders[:-1]], pa.int64()),
+        "slots": _lists(slots[order], borders),
+        "at": _lists(((at + edges) % stride)[order], borders),
+        "n_tokens": _lists(sizes[order], borders),
+        "pieces": _lists(pieces[order], borders),
+        "doc_ids": _lists(docs.take(pa.array(owner[by_part])), piece_borders),
+        "starts": _lists((cuts - begins[owner])[by_part], piece_borders),
+        "lengths": _lists(np.diff(np.append(cuts, n))[by_part], piece_borders),
+        "size": pa.array([len(data) for data in joined], pa.int64()),
+        "tokens": pa.array([codec.compress(data, asbytes=True) for data in joined], pa.binary()),
     }
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
-def sequences(docs: DataFrame, key: int, stride: int = STRIDE) -> tuple[DataFrame, int, int]:
-    """Rows of :data:`FRAGMENT`, the number of sequences and that of ids, separators included.
+def sequences(docs: DataFrame, key: int, stride: int = STRIDE, per_shard: int = PER_SHARD) -> tuple[DataFrame, int, int]:
+    """Rows of :data:`BUNDLE`, the number of sequences and that of ids, separators included.
 
     ``docs`` must give the same rows in the same partitions each time it is read, as a written table
     does: the first pass counts the ids of each partition, the second numbers them from there.
@@ -159,13 +188,17 @@ def sequences(docs: DataFrame, key: int, stride: int = STRIDE) -> tuple[DataFram
     kind = dict(docs.dtypes)["doc_id"]
     width = id_bytes(docs)
     separator = _separator(width)
+    texts = docs.select("doc_id", "tokens" if width > 1 else "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = sum(len(d) // width + 1 for b in batches for part in _slices(b) for d in _raw(part))
+        n = 0
+        for batch in batches:
+            lengths = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy()
+            n += int((lengths // width + 1).sum())
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([n])], names=["p", "n"])
 
-    texts = docs.select("doc_id", "tokens" if width > 1 else "text")
-    # one number for each partition of the table, as many as Spark's own list of its tasks
+    # one number for each partition of the table, as many as Spark's own list of its tasks; the plan below reads the
+    # same columns in the same way, so that its partitions are the same
     found = dict(texts.mapInArrow(count, "p bigint, n bigint").collect())
     sizes = np.zeros(max(found, default=-1) + 2, np.int64)
     for p, n in found.items():
@@ -175,43 +208,24 @@ def sequences(docs: DataFrame, key: int, stride: int = STRIDE) -> tuple[DataFram
     total = -(-ids // stride)
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, stream, docs_here, begins = int(firsts.value[TaskContext.get().partitionId()]), b"", [], np.zeros(0, np.int64)
-        kind_of = None
-
-        def rows(n: int) -> pa.RecordBatch:
-            made = _fragments(stream[: n * width], at, docs_here, begins, width, stride)
-            if at + n == ids:  # the end of the table fills up its sequence
-                made["tokens"][-1] += b"\xff" * (-ids % stride * width)
-            made["slot"] = feistel_slots(made["number"], total, key)
-            arrays = []
-            for name in names:
-                value = made[name]
-                if isinstance(value, tuple):
-                    offsets = pa.array(np.concatenate([[0], np.cumsum(value[1])]).astype(np.int32))
-                    arrays.append(pa.ListArray.from_arrays(offsets, pa.array(value[0], kind_of if name == "doc_ids" else pa.int64())))
-                else:
-                    arrays.append(pa.array(value, pa.binary() if name == "tokens" else pa.int64()))
-            return pa.RecordBatch.from_arrays(arrays, names=names)
-
+        at, stream, docs_here, begins = int(firsts.value[TaskContext.get().partitionId()]), b"", None, np.zeros(0, np.int64)
         for batch in (part for b in batches for part in _slices(b)):
-            data, kind_of = _raw(batch), batch.column("doc_id").type
+            data, names = _raw(batch), batch.column("doc_id")
             lengths = np.array([len(d) // width + 1 for d in data], np.int64)
             begins = np.concatenate([begins, len(stream) // width + np.cumsum(lengths) - lengths])
-            docs_here = docs_here + batch.column("doc_id").to_pylist()
+            docs_here = names if docs_here is None else pa.concat_arrays([docs_here, names])
             stream += b"".join(x for d in data for x in (d, separator))
             n = len(stream) // width
             whole = (at + n) // stride * stride - at  # what is left goes with the next batch
-            if whole > 0:
-                yield rows(whole)
+            if whole > 0 and len(stream) >= BUNDLE_BYTES:
+                yield _bundles(stream[: whole * width], at, docs_here, begins, width, stride, total, key, per_shard)
                 keep = int(np.searchsorted(begins, whole, "right")) - 1 if whole < n else len(docs_here)
                 docs_here, begins = docs_here[keep:], begins[keep:] - whole
                 stream, at = stream[whole * width :], at + whole
         if stream:
-            yield rows(len(stream) // width)
+            yield _bundles(stream, at, docs_here, begins, width, stride, total, key, per_shard)
 
-    schema = FRAGMENT.format(kind=kind)
-    names = ["slot", "number", "at", "n_tokens", "doc_ids", "starts", "lengths", "tokens"]
-    return texts.mapInArrow(cut_up, schema), total, ids
+    return texts.mapInArrow(cut_up, BUNDLE.format(kind=kind)), total, ids
 
 
 def shard_name(shard: int) -> str:
@@ -224,47 +238,62 @@ def write_shards(docs: DataFrame, folder: str, key: int, stride: int = STRIDE, p
     Index: slot, shard, offset (bytes), n_tokens, the pieces' doc_ids, starts and lengths, crc32 of the bytes. The
     files are there once the index has been computed; computing it again finds them and does not write.
     """
-    rows, total, _ = sequences(docs, key, stride)
+    rows, total, _ = sequences(docs, key, stride, per_shard)
     width = id_bytes(docs)
     stride *= width
     shards = max(1, -(-total // per_shard))
-    dealt = rows.drop("number").withColumn("shard", F.expr(f"slot div {per_shard}L"))
-    ordered = dealt.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("slot", "at")
+    dealt = rows.repartitionById(shards, F.col("shard").cast("int"))
     kind = dict(docs.dtypes)["doc_id"]
-    names = ["slot", "shard", "offset", "n_tokens", "doc_ids", "starts", "lengths", "crc32"]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, root = pyarrow.fs.FileSystem.from_uri(folder)
-        files.create_dir(root, recursive=True)
-        shard = stream = None
-        temporary = ""
+        shard, image, parts, codec = None, bytearray(), [], _codec()
+        for batch in batches:
+            for row in range(batch.num_rows):
+                bundle = {c: batch.column(c)[row] for c in batch.schema.names}
+                if shard is None:
+                    shard = bundle["shard"].as_py()
+                    # what no id falls on, the end of the last sequence, stays filled up
+                    image = bytearray(b"\xff") * (min(per_shard, total - shard * per_shard) * stride)
+                elif bundle["shard"].as_py() != shard:
+                    raise ValueError("a partition must hold one shard")
+                parts.append(_placed(bundle, image, codec, shard * per_shard, stride, width))
+        if shard is None:
+            return
+        _written(folder, shard, image)
+        index = pa.concat_tables(parts).combine_chunks()
+        index = index.append_column("shard", pa.array(np.full(index.num_rows, shard))).select(names)
+        index = index.take(pa.array(np.lexsort([index.column("offset").to_numpy()])))
+        yield from index.to_batches(max_chunksize=10_000)
 
-        def close() -> None:
-            if stream is not None:
-                stream.close()
-                files.move(temporary, f"{root}/{shard_name(shard)}")
+    names = ["slot", "shard", "offset", "n_tokens", "doc_ids", "starts", "lengths", "crc32"]
+    return dealt.mapInArrow(write, f"slot bigint, shard bigint, offset bigint, n_tokens bigint, doc_ids array<{kind}>, starts array<bigint>, lengths array<bigint>, crc32 bigint")
 
-        for batch in batches:
-            data = batch.column("tokens").to_pylist()
-            of = batch.column("shard").to_numpy()
-            borders = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
-            for start, end in zip(borders[:-1], borders[1:], strict=True):
-                if end > start and of[start] != shard:
-                    close()
-                    shard, stream = int(of[start]), None
-                    size = min(per_shard, total - shard * per_shard) * stride
-                    there = files.get_file_info(f"{root}/{shard_name(shard)}")
-                    if there.type != pyarrow.fs.FileType.File or there.size != size:
-                        temporary = f"{root}/.{shard_name(shard)}.{uuid.uuid4().hex}"
-                        stream = files.open_output_stream(temporary)
-                if stream is not None:
-                    stream.write(b"".join(data[start:end]))
-            offset = (batch.column("slot").to_numpy() - of * per_shard) * stride + batch.column("at").to_numpy() * width
-            columns = {"offset": pa.array(offset), "crc32": pa.array([zlib.crc32(d[: n * width]) for d, n in zip(data, batch.column("n_tokens").to_pylist(), strict=True)], pa.int64())}
-            yield pa.RecordBatch.from_arrays([columns.get(n) if n in columns else batch.column(n) for n in names], names=names)
-        close()
-
-    return ordered.mapInArrow(write, f"slot bigint, shard bigint, offset bigint, n_tokens bigint, doc_ids array<{kind}>, starts array<bigint>, lengths array<bigint>, crc32 bigint")
+
+def _placed(bundle: dict[str, pa.Scalar], image: bytearray, codec: pa.Codec, first: int, stride: int, width: int) -> pa.Table:
+    """Puts a bundle's ids in their places in the shard's ``image``; the index of its stretches without the shard."""
+    slots, at, n_tokens, pieces = (bundle[c].values.to_numpy() for c in ("slots", "at", "n_tokens", "pieces"))
+    data = memoryview(codec.decompress(bundle["tokens"].as_buffer(), bundle["size"].as_py(), asbytes=True))
+    offsets, ends = (slots - first) * stride + at * width, np.cumsum(n_tokens * width)
+    sums = []
+    for to, a, z in zip(offsets.tolist(), (ends - n_tokens * width).tolist(), ends.tolist(), strict=True):
+        image[to : to + z - a] = data[a:z]
+        sums.append(zlib.crc32(data[a:z]))
+    borders = np.concatenate([[0], np.cumsum(pieces)])
+    lists = {c: _lists(bundle[c].values, borders) for c in ("doc_ids", "starts", "lengths")}
+    return pa.table({"slot": slots, "offset": offsets, "n_tokens": n_tokens, "crc32": pa.array(sums, pa.int64()), **lists})
+
+
+def _written(folder: str, shard: int, image: bytearray) -> None:
+    """Writes a shard and renames it, unless it is there in its full size."""
+    files, root = pyarrow.fs.FileSystem.from_uri(folder)
+    files.create_dir(root, recursive=True)
+    there = files.get_file_info(f"{root}/{shard_name(shard)}")
+    if there.type == pyarrow.fs.FileType.File and there.size == len(image):
+        return
+    temporary = f"{root}/.{shard_name(shard)}.{uuid.uuid4().hex}"
+    with files.open_output_stream(temporary) as stream:
+        stream.write(image)
+    files.move(temporary, f"{root}/{shard_name(shard)}")
 
 
 def read_sequences(folder: str, first: int, count: int, stride: int = STRIDE, per_shard: int = PER_SHARD) -> Iterator[bytes]:

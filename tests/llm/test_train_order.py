@@ -76,6 +76,17 @@ def test_shards_that_are_there_are_left(spark, documents, tmp_path):
     assert {f: os.stat(out / f).st_mtime_ns for f in files[1:]} == kept and os.stat(out / files[0]).st_size == 64 * 32
 
 
+def test_ids_travel_as_one_compressed_row_for_each_task_and_shard(spark, documents, tmp_path):
+    documents([(i, f"text {i % 7} " * 40) for i in range(400)]).coalesce(2).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs").coalesce(2)
+    rows, total, ids = train_order.sequences(docs, key=3, stride=32, per_shard=1500)
+    rows = rows.collect()
+    shards, parts = -(-total // 1500), docs.rdd.getNumPartitions()
+    assert len(rows) <= shards * parts and {r.shard for r in rows} == set(range(shards))
+    assert sum(len(r.slots) for r in rows) <= total + parts and sum(map(sum, (r.n_tokens for r in rows))) == ids
+    assert sum(len(r.tokens) for r in rows) < 0.5 * ids
+
+
 def test_no_rows(spark, documents, tmp_path):
     path = str(tmp_path / "docs")
     documents([]).write.parquet(path)
