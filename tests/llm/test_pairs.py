@@ -183,6 +183,19 @@ def test_seeds_join_without_broadcast(spark, documents, monkeypatch):
     assert [r.matched for r in decontaminate.find_passages(documents([(1, text), (2, "no")]), bench).collect()] == [14]
 
 
+def test_texts_are_not_moved_to_drop_some(spark, documents, monkeypatch):
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    bench = spark.createDataFrame([(1, text)], "item_id long, text string")
+    docs = documents([(1, text), (1, text), (None, "x " + text), (2, "no"), (None, "no"), (2, "no"), (3, None), (4, "")])
+    kept = decontaminate.without_passages(docs, bench)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+    rows = sorted(map(str, kept.collect()))
+    assert len(rows) == 5
+    monkeypatch.setattr(decontaminate, "BROADCAST_KEYS", 0)
+    assert sorted(map(str, decontaminate.without_passages(docs, bench).collect())) == rows
+
+
 def test_planted_passages_on_given_documents(spark, sf):
     norm = lambda t: " " + " ".join(re.findall(r"\w+", t.lower())) + " "
     bench = [(r.item_id, norm(r.text)) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
