@@ -183,6 +183,17 @@ def test_seeds_join_without_broadcast(spark, documents, monkeypatch):
     assert [r.matched for r in decontaminate.find_passages(documents([(1, text), (2, "no")]), bench).collect()] == [14]
 
 
+def test_words_of_texts_are_made_once(spark, documents):
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    bench = spark.createDataFrame([(1, text)], "item_id long, text string")
+    found = decontaminate.find_passages(documents([(1, text), (2, "no"), (3, None)]), bench)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # no filter on their number below the projection that makes them, no second hash to see that it is not null
+    assert not [x for x in plan.splitlines() if "Filter" in x and "regexp_extract_all" in x and ">= 12" in x]
+    assert "isnotnull(CASE" not in plan
+    assert [(r.doc_id, r.matched) for r in found.collect()] == [(1, 14)]
+
+
 def test_texts_are_not_moved_to_drop_some(spark, documents, monkeypatch):
     text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
     bench = spark.createDataFrame([(1, text)], "item_id long, text string")
